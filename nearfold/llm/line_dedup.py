@@ -121,7 +121,7 @@ def candidate_pairs(lines: DataFrame) -> DataFrame:
     keys = lines.select("rank", F.explode("keys").alias("key"))
     holders = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")).where("n > 1"), "holders")
     bound = max(RARE_HOLDERS, lines.count() // RARE_ONE_IN)
-    shared = keys.join(holders, "key").distinct()  # rows equal in id and text meet here
+    shared = keys.join(holders.hint("shuffle_hash"), "key").distinct()  # rows equal in id and text meet here
     least = F.min("n").over(Window.partitionBy("rank"))
     rare = shared.withColumn("least", least).where((F.col("n") <= bound) | (F.col("n") == F.col("least")))
     return rare.where("first <> rank").select("rank", "first").distinct()
@@ -141,7 +141,7 @@ def removed_lines(lines: DataFrame) -> DataFrame:
 def without_blocks(docs: DataFrame) -> DataFrame:
     """docs without the deleted lines; those of which nothing is left are dropped. n_chars, if there, follows the text."""
     removed = written(removed_lines(hashed_lines(docs)), "removed")
-    joined = docs.withColumn("_rank", rank_column()).join(removed.withColumnRenamed("rank", "_rank"), "_rank", "left")
+    joined = docs.withColumn("_rank", rank_column()).join(removed.withColumnRenamed("rank", "_rank").hint("shuffle_hash"), "_rank", "left")
     left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("removed"), i))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     kept = joined.withColumn("text", text).where(F.col("removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))

@@ -89,14 +89,14 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     found = ranked.mapInArrow(_digests, "digest binary, rank binary, unit int, start int, end int, words int")
     groups = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
     repeated = written(groups.where("n > 1").select("digest", "first"), "repeated-units")
-    occurrences = found.join(repeated, "digest").repartition("rank").sortWithinPartitions("rank")
+    occurrences = found.join(repeated.hint("shuffle_hash"), "digest").repartition("rank").sortWithinPartitions("rank")
     return occurrences.mapInArrow(_runs, "rank binary, start int, end int, words int, first binary")
 
 
 def without_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """docs with the runs cut out of their texts."""
     spans = runs.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    joined = docs.withColumn("rank", rank_column()).join(spans, "rank", "left")
+    joined = docs.withColumn("rank", rank_column()).join(spans.hint("shuffle_hash"), "rank", "left")
     from_ = F.concat(F.array(F.lit(0)), F.transform("spans", lambda x: x["end"]))
     to = F.concat(F.transform("spans", lambda x: x["start"]), F.array(F.length("text")))
     kept = F.array_join(F.transform(F.arrays_zip(from_.alias("a"), to.alias("b")), lambda x: F.substring(F.col("text"), x["a"] + 1, x["b"] - x["a"])), "")
