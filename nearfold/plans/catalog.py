@@ -1,4 +1,1074 @@
-"""Every query of the library by name, with its SQL where SQL can express it."""
+"""Every query of the library by name, with its SQL where SQL can express it.
+
+Queries are the rows whose vec_id is divisible by 100, against all rows. Model
+tables that training would make come from fixed rules here, so that SQL can
+state them too: levels of a normal distribution of deviation 1/8, the reflection
+as rotation, and a tree seeded by four rows without iterations.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from nearfold.functions import vector as V
+from nearfold.operators import blocks as B
+from nearfold.operators import graph as G
+from nearfold.operators import kmeans as K
+from nearfold.operators import knn as N
+from nearfold.operators import quantize as Z
+from nearfold.operators import rerank as R
+from nearfold.operators import tree as T
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+SIGMA, BITS, RESIDUAL_BITS = 0.125, 2, 4
+QUANT = Z.Quantiser.analytic(SIGMA, BITS, RESIDUAL_BITS)
+K2, K3, LEAF, TOP = 3, 2, 16, 10
+ROOTS = "vec_id % 125 = 0 AND vec_id < 500"
+SIGN_DIMS = [0, 1, 2, 3]
+
+
+def unsigned_zero(sql: str) -> str:
+    """round(...) becomes (round(...) + 0.0): a negative zero equals zero here, but not in every engine's output."""
+    out, at = "", 0
+    while (i := sql.find("round(", at)) >= 0:
+        j, depth = i + 6, 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            j += 1
+        out += f"{sql[at:i]}(round({unsigned_zero(sql[i + 6 : j - 1])}) + 0.0)"
+        at = j
+    return out + sql[at:]
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with SQL after the common tables."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = unsigned_zero(sql)
+        return f
+
+    return add
+
+
+# The same expressions in SQL.
+
+
+def s_l2(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
+
+
+def s_dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda t: t[1] * t[2]))"
+
+
+def s_sq(a: str) -> str:
+    return f"list_sum(list_transform({a}, lambda x: x * x))"
+
+
+def s_sub(a: str, b: str) -> str:
+    return f"list_transform(list_zip({a}, {b}), lambda t: t[1] - t[2])"
+
+
+def s_add(a: str, b: str) -> str:
+    return f"list_transform(list_zip({a}, {b}), lambda t: t[1] + t[2])"
+
+
+def s_list(xs) -> str:
+    return "[" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in xs) + "]"
+
+
+def s_quant(a: str, levels) -> str:
+    mids = [(p + q) / 2 for p, q in zip(levels, levels[1:])]
+    return f"list_transform({a}, lambda x: CAST({' + '.join(f'(CASE WHEN x >= CAST({m!r} AS DOUBLE) THEN 1 ELSE 0 END)' for m in mids)} AS INTEGER))"
+
+
+def s_rec(a: str, levels) -> str:
+    return f"list_transform({a}, lambda c: {s_list(levels)}[c + 1])"
+
+
+E = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT vec_id AS qid, v AS q FROM e WHERE vec_id % 100 = 0)"
+PAIRS = f"{E}, pairs AS (SELECT qid, vec_id, q, v, round({s_l2('q', 'v')}, 6) AS dist FROM q, e), knn AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS INTEGER) AS rank, vec_id, dist FROM pairs QUALIFY rank <= {TOP})"
+CODED = f"{E}, c0 AS (SELECT *, {s_quant('v', QUANT.primary)} AS code FROM e), c1_ AS (SELECT *, {s_rec('code', QUANT.primary)} AS y FROM c0), c2_ AS (SELECT *, {s_quant(s_sub('v', 'y'), QUANT.residual)} AS residual_code FROM c1_), coded AS (SELECT *, {s_rec('residual_code', QUANT.residual)} AS z FROM c2_)"
+
+
+def _down(rows: str, level: str, by: str, name: str) -> str:
+    on = f"USING ({by})" if by else "ON TRUE"
+    keep = f"{by}, " if by else ""
+    return f"SELECT vec_id, label, v, {keep}{name}, {s_sub('r', 'cent')} AS r FROM (SELECT a.*, l.{name}, l.cent, row_number() OVER (PARTITION BY vec_id ORDER BY {s_l2('a.r', 'l.cent')}, l.{name}) AS rn FROM {rows} a JOIN {level} l {on}) WHERE rn = 1"
+
+
+TREE = f"""{E},
+l1 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS c1, v AS cent FROM e WHERE {ROOTS}),
+a0 AS (SELECT *, v AS r FROM e),
+a1 AS ({_down('a0', 'l1', '', 'c1')}),
+l2 AS (SELECT c1, row_number() OVER (PARTITION BY c1 ORDER BY vec_id) - 1 AS c2, r AS cent FROM a1 QUALIFY c2 < {K2}),
+a2 AS ({_down('a1', 'l2', 'c1', 'c2')}),
+l3 AS (SELECT c1, c2, row_number() OVER (PARTITION BY c1, c2 ORDER BY vec_id) - 1 AS c3, r AS cent FROM a2 QUALIFY c3 < {K3}),
+a3 AS (SELECT *, (c1 * {K2} + c2) * {K3} + c3 AS cell_id FROM ({_down('a2', 'l3', 'c1, c2', 'c3')})),
+absolute AS (SELECT (l3.c1 * {K2} + l3.c2) * {K3} + l3.c3 AS cell_id, l3.c1, l3.c2, l3.c3, {s_add(s_add('l1.cent', 'l2.cent'), 'l3.cent')} AS cent FROM l3 JOIN l2 USING (c1, c2) JOIN l1 USING (c1)),
+offsets AS (SELECT cell_id, n, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS first_row, CAST(coalesce(sum(ceil(n / {LEAF}.0)) OVER w, 0) AS BIGINT) AS first_block FROM (SELECT cell_id, count(*) AS n FROM a3 GROUP BY cell_id) WINDOW w AS (ORDER BY cell_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+packed AS (SELECT a3.*, CAST(first_block + (row_number() OVER (PARTITION BY cell_id ORDER BY vec_id) - 1) // {LEAF} AS BIGINT) AS block_id, CAST((row_number() OVER (PARTITION BY cell_id ORDER BY vec_id) - 1) % {LEAF} AS INTEGER) AS pos FROM a3 JOIN offsets USING (cell_id)),
+comp AS (SELECT block_id, min(cell_id) AS cell_id, count(DISTINCT vec_id) AS n FROM packed GROUP BY block_id),
+mean_parts AS (SELECT block_id, i, avg(v[i]) AS m FROM packed, range(1, 65) t(i) GROUP BY block_id, i),
+block AS (SELECT block_id, cell_id, n, cent FROM comp JOIN (SELECT block_id, list(m ORDER BY i) AS cent FROM mean_parts GROUP BY block_id) USING (block_id)),
+r1 AS (SELECT qid, q, c1, d, {s_sub('q', 'cent')} AS r FROM (SELECT qid, q, c1, cent, {s_l2('q', 'cent')} AS d FROM q, l1) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, c1) <= 2),
+r2 AS (SELECT qid, q, c1, c2, d, {s_sub('r', 'cent')} AS r FROM (SELECT qid, q, c1, c2, r, cent, {s_l2('r', 'cent')} AS d FROM r1 JOIN l2 USING (c1)) QUALIFY row_number() OVER (PARTITION BY qid, c1 ORDER BY d, c2) <= 2),
+r3 AS (SELECT qid, q, c1, c2, c3, d, (c1 * {K2} + c2) * {K3} + c3 AS cell_id FROM (SELECT qid, q, c1, c2, c3, {s_l2('r', 'cent')} AS d FROM r2 JOIN l3 USING (c1, c2)) QUALIFY row_number() OVER (PARTITION BY qid, c1, c2 ORDER BY d, c3) <= 1),
+visit AS (SELECT DISTINCT qid, q, block_id FROM r3 JOIN block USING (cell_id)),
+d0 AS (SELECT packed.*, {s_sub('v', 'cent')} AS r3 FROM packed JOIN absolute USING (cell_id)),
+d1 AS (SELECT *, {s_rec(s_quant('r3', QUANT.residual), QUANT.residual)} AS dec FROM d0),
+d2 AS (SELECT d1.*, {s_add('absolute.cent', 'dec')} AS decoded, sqrt({s_l2('r3', 'dec')}) AS eps FROM d1 JOIN absolute USING (cell_id)),
+scan AS (SELECT qid, q, block_id, vec_id, v, {s_l2('q', 'decoded')} AS adc, eps, round({s_l2('q', 'v')}, 6) AS dist FROM visit JOIN d2 USING (block_id)),
+bound AS (SELECT *, greatest(0, sqrt(adc) - eps) * greatest(0, sqrt(adc) - eps) AS low2, (sqrt(adc) + eps) * (sqrt(adc) + eps) AS high2 FROM scan),
+tau AS (SELECT qid, max(high2) AS tau2 FROM (SELECT qid, high2 FROM bound QUALIFY row_number() OVER (PARTITION BY qid ORDER BY high2, vec_id) <= {TOP}) GROUP BY qid)"""
+
+
+def embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet")
+
+
+def vectors(spark, d) -> DataFrame:
+    return embeddings(spark, d).select("vec_id", "label", V.doubles("embedding").alias("v"))
+
+
+def queries_of(spark, d) -> DataFrame:
+    return embeddings(spark, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), V.doubles("embedding").alias("q"))
+
+
+def knn(spark, d) -> DataFrame:
+    return N.exact_knn(embeddings(spark, d), queries_of(spark, d), TOP)
+
+
+def coded(spark, d) -> DataFrame:
+    return QUANT.encode(embeddings(spark, d))
+
+
+def tree(spark, d) -> T.Tree:
+    return T.seeded_tree(embeddings(spark, d), F.expr(ROOTS), K2, K3)
+
+
+def cells(spark, d) -> DataFrame:
+    return tree(spark, d).assign(embeddings(spark, d))
+
+
+def packed(spark, d) -> DataFrame:
+    return B.pack(cells(spark, d), LEAF)
+
+
+def block_table(spark, d, p: DataFrame | None = None) -> DataFrame:
+    p = packed(spark, d) if p is None else p
+    owner = p.groupBy("block_id").agg(F.min("cell_id").alias("cell_id"))
+    return B.block_centroids(p).join(owner, "block_id")
+
+
+def visited(spark, d, p: DataFrame) -> DataFrame:
+    routes = tree(spark, d).route(queries_of(spark, d), 2, 2, 1).select("qid", "cell_id")
+    return routes.join(p.select("cell_id", "block_id").distinct(), "cell_id").select("qid", "block_id").distinct()
+
+
+def scanned(spark, d) -> DataFrame:
+    p = packed(spark, d)
+    base = tree(spark, d).absolute().select("cell_id", "cent")
+    dec = V.reconstruct(V.quantize(F.col("r3"), QUANT.residual), QUANT.residual)
+    decoded = p.join(F.broadcast(base), "cell_id").select("block_id", "vec_id", V.add(F.col("cent"), dec).alias("decoded"), F.sqrt(V.l2sq(F.col("r3"), dec)).alias("eps"))
+    return R.code_scan(visited(spark, d, p), decoded, queries_of(spark, d))
+
+
+def bounded(spark, d) -> DataFrame:
+    return R.bounds(scanned(spark, d))
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+# Scans and sources
+
+
+@query("SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings")
+def scan_parquet(spark, d):
+    return embeddings(spark, d).select("vec_id", "label", F.size("embedding").alias("dim"))
+
+
+@query("SELECT CAST(len(embedding) AS INTEGER) AS dim, count(*) AS n, len(embedding) = 64 AS valid FROM embeddings GROUP BY ALL")
+def validate_dim(spark, d):
+    return embeddings(spark, d).groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).withColumn("valid", F.col("dim") == 64)
+
+
+@query(f"WITH {E} SELECT vec_id, round(list_sum(v), 5) AS total FROM e")
+def parse_embedding(spark, d):
+    text = embeddings(spark, d).select("vec_id", F.to_json("embedding").alias("s"))
+    return text.select("vec_id", F.round(F.aggregate(V.doubles(V.parse_embedding(F.col("s"))), F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id < 250")
+def scan_range(spark, d):
+    return embeddings(spark, d).where("vec_id < 250").select("vec_id", "label")
+
+
+def _round_trip(spark, d, kind: str, table: DataFrame) -> DataFrame:
+    """table, written and read again in a binary format."""
+    import tempfile
+    import uuid
+
+    from nearfold.sources import vecs
+
+    vecs.register(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/nearfold-scratch"
+    path = f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    table.repartitionByRange(2, "vec_id").sortWithinPartitions("vec_id").write.format(kind).mode("append").save(path)
+    return spark.read.format(kind).load(path)
+
+
+# The rows of a file are numbered in their order, so the rank stands for vec_id.
+ORDERED = "o AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, embedding FROM embeddings)"
+
+
+@query(f"WITH {ORDERED} SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM o")
+def scan_fvecs(spark, d):
+    got = _round_trip(spark, d, "fvecs", embeddings(spark, d).select("vec_id", "embedding"))
+    return got.select("vec_id", F.size("embedding").alias("dim"), r6(F.aggregate(V.doubles("embedding"), F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+INT8 = "CAST(round(x * 127.0) AS INTEGER)"
+
+
+def _int8(spark, d):
+    return embeddings(spark, d).select("vec_id", V.to_int8(V.doubles("embedding")).alias("embedding"))
+
+
+SUM8 = f"WITH {ORDERED} SELECT vec_id, CAST(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: {INT8})) AS INTEGER) AS total FROM o"
+
+
+def _total(df):
+    return df.select("vec_id", F.aggregate("embedding", F.lit(0), lambda a, x: a + x.cast("int")).alias("total"))
+
+
+@query(SUM8)
+def scan_bvecs(spark, d):
+    return _total(_round_trip(spark, d, "bvecs", _int8(spark, d)))
+
+
+@query(f"WITH {E}, f AS (SELECT CASE WHEN vec_id >= 0 THEN 1 END AS one, vec_id, v FROM e) SELECT vec_id, CAST(list_sum(list_transform(v, lambda x: {INT8})) AS INTEGER) AS total FROM f")
+def cast_vec(spark, d):
+    return _total(_int8(spark, d))
+
+
+@query(SUM8)
+def scan_i8bin(spark, d):
+    # One file has one header; each partition writes one.
+    return _total(_round_trip(spark, d, "i8bin", _int8(spark, d)))
+
+
+@query(f"WITH {PAIRS} SELECT (qid // 100) AS vec_id, list(CAST(vec_id AS INTEGER) ORDER BY rank) AS neighbours FROM knn GROUP BY qid")
+def scan_ivecs(spark, d):
+    rows = knn(spark, d).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))).alias("s"))
+    table = rows.select(F.expr("qid div 100").alias("vec_id"), F.transform("s", lambda x: x["vec_id"].cast("int")).alias("embedding"))
+    return _round_trip(spark, d, "ivecs", table).select("vec_id", F.col("embedding").alias("neighbours"))
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS local_id, vec_id AS global_id FROM embeddings WHERE vec_id % 3 = 0")
+def scan_i32bin(spark, d):
+    ids = embeddings(spark, d).where("vec_id % 3 = 0").select("vec_id", F.array(F.col("vec_id").cast("int")).alias("embedding"))
+    return _round_trip(spark, d, "i32bin", ids).select(F.col("vec_id").alias("local_id"), F.col("embedding")[0].cast("long").alias("global_id"))
+
+
+IDMAP = "idmap AS (SELECT vec_id // 3 AS local_id, vec_id AS global_id FROM embeddings WHERE vec_id % 3 = 0)"
+
+
+def _id_map(spark, d):
+    return embeddings(spark, d).where("vec_id % 3 = 0").select(F.expr("vec_id div 3").alias("local_id"), F.col("vec_id").alias("global_id"))
+
+
+@query(f"WITH {IDMAP}, s AS (SELECT local_id, CASE WHEN local_id % 10 = 7 THEN global_id - 6 ELSE global_id END AS global_id FROM idmap) SELECT a.local_id, a.global_id, b.global_id AS before FROM s a JOIN s b ON b.local_id + 1 = a.local_id WHERE b.global_id >= a.global_id")
+def idmap_monotonic(spark, d):
+    from nearfold.sources.vecs import not_increasing
+
+    spoilt = _id_map(spark, d).withColumn("global_id", F.when(F.col("local_id") % 10 == 7, F.col("global_id") - 6).otherwise(F.col("global_id")))
+    return not_increasing(spoilt).select("local_id", "global_id", "before")
+
+
+@query(f"WITH {IDMAP} SELECT e.vec_id, local_id FROM embeddings e LEFT JOIN idmap ON e.vec_id = global_id")
+def idmap_join(spark, d):
+    e, m = embeddings(spark, d), _id_map(spark, d)
+    return e.join(m, e["vec_id"] == m["global_id"], "left").select("vec_id", "local_id")
+
+
+@query(f"WITH {PAIRS}, {IDMAP}, k AS (SELECT qid, rank, local_id FROM knn JOIN idmap ON vec_id = global_id) SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS INTEGER) AS rank, local_id, count(*) OVER (PARTITION BY qid) AS survivors FROM k QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) <= 3")
+def gt_restrict(spark, d):
+    return N.restrict_truth(knn(spark, d), _id_map(spark, d), 3)
+
+
+# Vector functions
+
+
+@query(f"WITH {E} SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * 3 / sqrt({s_sq('list_transform(v, lambda y: y * 3)')}))), 6) AS total FROM e")
+def l2_normalize(spark, d):
+    tripled = vectors(spark, d).withColumn("v", F.transform("v", lambda x: x * 3))
+    return tripled.select("vec_id", r6(F.aggregate(V.l2_normalize(F.col("v")), F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+def _pairs(spark, d):
+    """All rows with all queries: a stated query set, in broadcast blocks of bounded size."""
+    return vectors(spark, d).crossJoin(F.broadcast(queries_of(spark, d)))
+
+
+@query(f"WITH {PAIRS} SELECT qid, vec_id, dist FROM pairs")
+def l2sq(spark, d):
+    return _pairs(spark, d).select("qid", "vec_id", r6(V.l2sq(F.col("q"), F.col("v"))).alias("dist"))
+
+
+@query(f"WITH {E}, i AS (SELECT vec_id, list_transform(v, lambda x: {INT8}) AS b FROM e) SELECT a.vec_id AS qid, i.vec_id, CAST({s_l2('a.b', 'i.b')} AS INTEGER) AS dist FROM i, i a WHERE a.vec_id % 100 = 0")
+def l2sq_int(spark, d):
+    rows = _int8(spark, d)
+    q = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return rows.crossJoin(F.broadcast(q)).select("qid", "vec_id", V.l2sq_int(F.col("q"), F.col("embedding")).alias("dist"))
+
+
+@query(f"WITH {E} SELECT qid, vec_id, round({s_sq('v')} - 2 * {s_dot('q', 'v')}, 6) AS dist, round({s_sq('q')} + {s_sq('v')} - 2 * {s_dot('q', 'v')}, 6) AS full_dist FROM q, e")
+def l2_expanded(spark, d):
+    q, v = F.col("q"), F.col("v")
+    return _pairs(spark, d).select("qid", "vec_id", r6(V.l2_expanded(q, v, V.sqnorm(v))).alias("dist"), r6(V.sqnorm(q) + V.sqnorm(v) - 2 * V.dot(q, v)).alias("full_dist"))
+
+
+@query(f"WITH {E} SELECT qid, vec_id, round({s_dot('q', 'v')}, 6) AS dot FROM q, e")
+def dot(spark, d):
+    return _pairs(spark, d).select("qid", "vec_id", r6(V.dot(F.col("q"), F.col("v"))).alias("dot"))
+
+
+@query(f"WITH {E} SELECT vec_id, round({s_sq('v')}, 6) AS norm FROM e")
+def sqnorm(spark, d):
+    return vectors(spark, d).select("vec_id", r6(V.sqnorm(F.col("v"))).alias("norm"))
+
+
+W = s_list(1.0 / (i + 1) for i in range(64))
+
+
+@query(f"WITH {E}, w AS (SELECT {W} AS w) SELECT vec_id, list_transform(list_zip(v, w), lambda t: round(t[1] - t[2] * (2 * {s_dot('v', 'w')} / {s_sq('w')}), 5)) AS rotated FROM e, w")
+def jl_rotate(spark, d):
+    turned = V.matvec(Z.reflection(64), F.col("v"))
+    return vectors(spark, d).select("vec_id", F.transform(turned, lambda x: F.round(x, 5)).alias("rotated"))
+
+
+PROJECTION = [[1.0 if (i * j + i + j) % 3 else -1.0 for j in range(64)] for i in range(8)]
+
+
+@query(f"WITH {E} SELECT vec_id, [" + ", ".join(f"round({s_dot('v', s_list(r))}, 6)" for r in PROJECTION) + "] AS projected FROM e")
+def jl_project(spark, d):
+    return vectors(spark, d).select("vec_id", F.transform(V.matvec(PROJECTION, F.col("v")), r6).alias("projected"))
+
+
+@query(f"WITH {E} SELECT vec_id, {s_quant('v', QUANT.primary)} AS code FROM e")
+def quantize_1d(spark, d):
+    return vectors(spark, d).select("vec_id", V.quantize(F.col("v"), QUANT.primary).alias("code"))
+
+
+@query(f"WITH {CODED} SELECT vec_id, list_transform(range(0, 16), lambda g: CAST(code[4 * g + 1] + 4 * code[4 * g + 2] + 16 * code[4 * g + 3] + 64 * code[4 * g + 4] AS INTEGER)) AS packed FROM coded")
+def primary_encode(spark, d):
+    return coded(spark, d).select("vec_id", Z.packed_code(F.col("code"), BITS, 4).alias("packed"))
+
+
+@query(f"WITH {CODED} SELECT vec_id, residual_code, round(2 * {s_dot('y', 'z')}, 6) AS correction FROM coded")
+def residual_encode(spark, d):
+    return coded(spark, d).select("vec_id", "residual_code", r6("correction").alias("correction"))
+
+
+@query(f"WITH {TREE} SELECT vec_id, cell_id, {s_quant('r3', QUANT.residual)} AS code FROM d0")
+def fine_encode(spark, d):
+    return cells(spark, d).select("vec_id", "cell_id", V.quantize(F.col("r3"), QUANT.residual).alias("code"))
+
+
+@query(f"WITH {CODED}, p AS (SELECT vec_id, residual_code AS c, list_transform(range(0, 32), lambda g: CAST(residual_code[2 * g + 1] + 16 * residual_code[2 * g + 2] AS INTEGER)) AS packed FROM coded) SELECT vec_id, packed, c AS unpacked FROM p")
+def nibble_pack(spark, d):
+    p = coded(spark, d).select("vec_id", V.pack_nibbles(F.col("residual_code")).alias("packed"))
+    return p.withColumn("unpacked", V.unpack_nibbles(F.col("packed"), 64))
+
+
+@query(f"WITH {CODED} SELECT vec_id, round(list_sum(y), 6) AS total FROM coded")
+def reconstruct(spark, d):
+    return coded(spark, d).select("vec_id", r6(F.aggregate(V.reconstruct(F.col("code"), QUANT.primary), F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+@query(f"WITH {CODED} SELECT vec_id, round(sqrt({s_l2('v', s_add('y', 'z'))}), 6) AS eps FROM coded")
+def recon_error(spark, d):
+    return coded(spark, d).select("vec_id", r6(F.sqrt(V.l2sq(V.doubles("embedding"), QUANT.decode()))).alias("eps"))
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 7 <> 0")
+def finite_rows(spark, d):
+    spoilt = vectors(spark, d).withColumn("v", F.when(F.col("vec_id") % 7 == 0, F.transform("v", lambda x: x * float("nan"))).otherwise(F.col("v")))
+    return spoilt.where(V.is_finite(F.col("v"))).select("vec_id")
+
+
+@query(f"WITH {TREE} SELECT vec_id, cell_id FROM a3")
+def cell_id(spark, d):
+    return cells(spark, d).select("vec_id", "cell_id")
+
+
+@query(f"WITH {TREE} SELECT DISTINCT c1, c2, c3 FROM a3")
+def nonempty_cells(spark, d):
+    c = cells(spark, d).select("c1", "c2", "c3").distinct()
+    return tree(spark, d).l3.select("c1", "c2", "c3").join(c, ["c1", "c2", "c3"], "left_semi")
+
+
+@query(f"WITH {TREE} SELECT vec_id, cell_id, round({s_sq('r3')}, 6) AS norm FROM d0")
+def residual(spark, d):
+    return cells(spark, d).select("vec_id", "cell_id", r6(V.sqnorm(F.col("r3"))).alias("norm"))
+
+
+@query(f"WITH {TREE} SELECT qid, cell_id, round({s_sq(s_sub('q', 'cent'))}, 6) AS norm FROM (SELECT * FROM r3 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, cell_id) = 1) JOIN absolute USING (cell_id)")
+def best_route_residual(spark, d):
+    routes = tree(spark, d).route(queries_of(spark, d), 2, 2, 1)
+    return N.top_k(routes, 1, ["qid"], ["dist", "cell_id"]).select("qid", "cell_id", r6(V.sqnorm(F.col("r"))).alias("norm"))
+
+
+# Distances from codes
+
+
+@query(f"WITH {CODED} SELECT qid, vec_id, round({s_l2('q', 'y')}, 6) AS adc FROM q, coded")
+def adc_distance(spark, d):
+    return coded(spark, d).crossJoin(F.broadcast(queries_of(spark, d))).select("qid", "vec_id", r6(QUANT.code_distance(F.col("q"))).alias("adc"))
+
+
+@query(f"WITH {CODED} SELECT qid, vec_id, round({s_l2('q', s_add('y', 'z'))}, 5) AS dist FROM q, coded")
+def composite_distance(spark, d):
+    return coded(spark, d).crossJoin(F.broadcast(queries_of(spark, d))).select("qid", "vec_id", F.round(QUANT.composite_distance(F.col("q")), 5).alias("dist"))
+
+
+@query(f"WITH {TREE} SELECT qid, block_id, vec_id, round(adc, 6) AS adc FROM scan")
+def adc_corrected(spark, d):
+    return scanned(spark, d).select("qid", "block_id", "vec_id", r6("adc").alias("adc"))
+
+
+@query(f"WITH {E}, p AS (SELECT vec_id, [" + ", ".join(s_dot("v", s_list(r)) for r in PROJECTION) + f"] AS p FROM e) SELECT a.vec_id AS qid, p.vec_id, round({s_l2('a.p', 'p.p')}, 6) AS dist FROM p, p a WHERE a.vec_id % 100 = 0")
+def jl_scan(spark, d):
+    p = vectors(spark, d).select("vec_id", V.matvec(PROJECTION, F.col("v")).alias("p"))
+    q = p.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("p").alias("q"))
+    return p.crossJoin(F.broadcast(q)).select("qid", "vec_id", r6(V.l2sq(F.col("q"), F.col("p"))).alias("dist"))
+
+
+# Training
+
+
+@query(f"WITH {E} SELECT round(sqrt(sum({s_sq('v')}) / sum(len(v))), 6) AS sigma FROM e")
+def estimate_sigma(spark, d):
+    return Z.estimate_sigma(embeddings(spark, d)).select(r6("sigma").alias("sigma"))
+
+
+@query(f"WITH {CODED} SELECT round(sqrt(sum({s_sq(s_sub('v', 'y'))}) / sum(len(v))), 6) AS sigma FROM coded")
+def residual_sigma(spark, d):
+    left = coded(spark, d).select(V.subtract(V.doubles("embedding"), V.reconstruct(F.col("code"), QUANT.primary)).alias("r"))
+    return Z.estimate_sigma(left, "r").select(r6("sigma").alias("sigma"))
+
+
+@query(f"WITH {E} SELECT vec_id, CAST({' + '.join(f'(CASE WHEN v[{x + 1}] > 0 THEN {1 << m} ELSE 0 END)' for m, x in enumerate(SIGN_DIMS))} AS INTEGER) AS code FROM e")
+def sign_route(spark, d):
+    return T.sign_route(embeddings(spark, d), SIGN_DIMS)
+
+
+@query()
+def kmeans_1d(spark, d):
+    levels = Z.kmeans_1d(embeddings(spark, d).select(F.explode("embedding").alias("x")), 4)
+    return spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(levels)], "c int, level double")
+
+
+STRIDED = f"""{E}, s0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS c, v AS cent FROM e WHERE vec_id IN (SELECT i * (SELECT count(*) FROM e) // 8 FROM range(0, 8) t(i))),
+s1 AS (SELECT vec_id, label, v, arg_min(c, d) AS c FROM (SELECT e.*, c, {s_l2('v', 'cent')} AS d FROM e, s0 ORDER BY c) GROUP BY vec_id, label, v),
+m1 AS (SELECT c, i, avg(v[i]) AS m FROM s1, range(1, 65) t(i) GROUP BY c, i),
+u1 AS (SELECT c, list(m ORDER BY i) AS cent FROM m1 GROUP BY c)"""
+
+
+@query(f"WITH {STRIDED} SELECT c, list_transform(cent, lambda x: round(x, 6)) AS cent FROM u1")
+def kmeans_ivf(spark, d):
+    """One round of Lloyd's iterations from the strided start."""
+    cents = K.kmeans(embeddings(spark, d), 8, 1)
+    return K.centroid_table(spark, cents).select("c", F.transform("cent", r6).alias("cent"))
+
+
+@query(f"WITH {E} SELECT label AS c, i - 1 AS pos, round(avg(v[i]), 6) AS m FROM e, range(1, 65) t(i) GROUP BY label, i")
+def centroid_mean(spark, d):
+    means = Z.group_means(embeddings(spark, d), "label", "embedding")
+    return means.select(F.col("label").alias("c"), F.posexplode("mean").alias("pos", "m")).select("c", F.col("pos").cast("long").alias("pos"), r6("m").alias("m"))
+
+
+@query(f"WITH {E} SELECT label, i - 1 AS pos, round(sum(v[i]), 5) AS total, count(*) AS n FROM e, range(1, 65) t(i) GROUP BY label, i")
+def cluster_sums(spark, d):
+    rows = vectors(spark, d).select("label", F.posexplode("v").alias("pos", "x"))
+    return rows.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.round(F.sum("x"), 5).alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {E} SELECT i - 1 AS i, j - 1 AS j, round(avg(v[i] * v[j]), 6) AS m FROM e, range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j GROUP BY ALL")
+def second_moment(spark, d):
+    return Z.second_moment(embeddings(spark, d)).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6("m").alias("m"))
+
+
+@query()
+def pca_axes(spark, d):
+    axes = Z.principal_axes(embeddings(spark, d), 8)
+    return vectors(spark, d).select("vec_id", F.transform(V.matvec(axes.tolist(), F.col("v")), r6).alias("projected"))
+
+
+@query()
+def scatter_axes(spark, d):
+    axes = Z.class_scatter_axes(embeddings(spark, d), "label", 4)
+    return vectors(spark, d).select("vec_id", F.transform(V.matvec(axes.tolist(), F.col("v")), r6).alias("projected"))
+
+
+@query()
+def train_tree(spark, d):
+    t = T.train_tree(embeddings(spark, d), 4, K2, K3)
+    return t.assign(embeddings(spark, d)).select("vec_id", "c1", "c2", "c3", "cell_id")
+
+
+@query("SELECT vec_id, vec_id % 10 = 0 AS held_out FROM embeddings")
+def holdout_split(spark, d):
+    return embeddings(spark, d).select("vec_id", (F.col("vec_id") % 10 == 0).alias("held_out"))
+
+
+@query("SELECT count(*) AS n, min(vec_id) AS first_id, max(vec_id) AS last_id FROM embeddings WHERE vec_id < 300")
+def training_cap(spark, d):
+    return embeddings(spark, d).where("vec_id < 300").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"))
+
+
+# Assignment, routing and joins
+
+
+@query(f"WITH {STRIDED} SELECT vec_id, c FROM s1")
+def assign_nearest(spark, d):
+    cents = K.centroid_table(spark, K.strided_init(embeddings(spark, d), 8))
+    return K.nearest(embeddings(spark, d), cents).select("vec_id", "c")
+
+
+@query(f"WITH {TREE} SELECT vec_id, c1, c2 FROM a2")
+def assign_local(spark, d):
+    t = tree(spark, d)
+    rows = embeddings(spark, d).select("vec_id", V.doubles("embedding").alias("r"))
+    return T.level_down(T.level_down(rows, t.l1, [], "c1"), t.l2, ["c1"], "c2").select("vec_id", "c1", "c2")
+
+
+@query(f"WITH {TREE} SELECT qid, c1, round(d, 6) AS dist FROM r1")
+def route_l1(spark, d):
+    start = queries_of(spark, d).select("qid", "q", F.col("q").alias("r"))
+    return T.spread(start, tree(spark, d).l1, [], "c1", 2).select("qid", "c1", r6("dist").alias("dist"))
+
+
+@query(f"WITH {TREE} SELECT qid, c1, c2, round(d, 6) AS dist FROM r2")
+def route_l2(spark, d):
+    t = tree(spark, d)
+    start = queries_of(spark, d).select("qid", "q", F.col("q").alias("r"))
+    return T.spread(T.spread(start, t.l1, [], "c1", 2), t.l2, ["c1"], "c2", 2).select("qid", "c1", "c2", r6("dist").alias("dist"))
+
+
+@query(f"WITH {TREE} SELECT qid, cell_id, round(d, 6) AS dist FROM r3")
+def route_l3(spark, d):
+    return tree(spark, d).route(queries_of(spark, d), 2, 2, 1).select("qid", "cell_id", r6("dist").alias("dist"))
+
+
+@query(f"WITH {STRIDED} SELECT qid, c, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, c) AS INTEGER) AS rank FROM (SELECT qid, c, {s_l2('q', 'cent')} AS d FROM q, s0) QUALIFY rank <= 3")
+def ivf_probe(spark, d):
+    cents = K.centroid_table(spark, K.strided_init(embeddings(spark, d), 8))
+    return K.probes(queries_of(spark, d), cents, 3).select("qid", "c", "rank")
+
+
+@query(f"WITH {TREE} SELECT qid, block_id FROM visit")
+def gather_blocks(spark, d):
+    return visited(spark, d, packed(spark, d))
+
+
+@query(f"WITH {TREE} SELECT qid, block_id FROM visit")
+def explode_pairs(spark, d):
+    lists = visited(spark, d, packed(spark, d)).groupBy("qid").agg(F.collect_list("block_id").alias("blocks"))
+    return lists.select("qid", F.explode("blocks").alias("block_id"))
+
+
+@query(f"WITH {TREE} SELECT qid, block_id, vec_id FROM visit JOIN packed USING (block_id)")
+def pairs_by_block(spark, d):
+    p = packed(spark, d).select("block_id", "vec_id")
+    return visited(spark, d, packed(spark, d)).join(p, "block_id").select("qid", "block_id", "vec_id")
+
+
+@query(f"WITH {TREE} SELECT block_id, list(qid ORDER BY qid) AS qids, count(*) AS n FROM visit GROUP BY block_id")
+def block_fanin(spark, d):
+    return visited(spark, d, packed(spark, d)).groupBy("block_id").agg(F.sort_array(F.collect_list("qid")).alias("qids"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {PAIRS} SELECT qid, knn.vec_id, round(list_sum(v), 6) AS total FROM knn JOIN e USING (vec_id)")
+def fetch_vectors(spark, d):
+    got = knn(spark, d).join(vectors(spark, d), "vec_id")
+    return got.select("qid", "vec_id", r6(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+@query(f"WITH {TREE} SELECT c1, qid FROM r1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, c1) = 1")
+def group_queries(spark, d):
+    start = queries_of(spark, d).select("qid", "q", F.col("q").alias("r"))
+    first = T.spread(start, tree(spark, d).l1, [], "c1", 1).select("c1", "qid")
+    return first.repartitionByRange("c1").sortWithinPartitions("c1", "qid")
+
+
+@query(f"WITH {PAIRS} SELECT * FROM knn")
+def knn_exact(spark, d):
+    return knn(spark, d)
+
+
+CELL2 = "second AS (SELECT l2.c1, c2, {} AS cent FROM l2 JOIN l1 USING (c1))".format(s_add("l1.cent", "l2.cent"))
+SIBLING = f"sib AS (SELECT a.c1, a.c2, b.c2 AS near, CAST(row_number() OVER (PARTITION BY a.c1, a.c2 ORDER BY {s_l2('a.cent', 'b.cent')}, b.c2) AS INTEGER) AS rank FROM second a JOIN second b ON a.c1 = b.c1 AND a.c2 <> b.c2)"
+
+
+def _second(t):
+    one = t.l1.select("c1", F.col("cent").alias("a"))
+    return t.l2.join(one, "c1").select("c1", "c2", V.add(F.col("a"), F.col("cent")).alias("cent"))
+
+
+@query(f"WITH {TREE}, {CELL2}, {SIBLING} SELECT * FROM sib WHERE rank <= 2")
+def nearest_siblings(spark, d):
+    return G.sibling_cells(_second(tree(spark, d)), 2)
+
+
+@query(f"WITH {TREE} SELECT a.cell_id, b.cell_id AS near, CAST(row_number() OVER (PARTITION BY a.cell_id ORDER BY {s_l2('a.cent', 'b.cent')}, b.cell_id) AS INTEGER) AS rank FROM absolute a JOIN absolute b ON a.cell_id <> b.cell_id QUALIFY rank <= 3")
+def cell_knn(spark, d):
+    a = tree(spark, d).absolute().select("cell_id", "cent")
+    b = a.select(F.col("cell_id").alias("near"), F.col("cent").alias("other"))
+    pairs = a.crossJoin(F.broadcast(b)).where("cell_id <> near").withColumn("dist", V.l2sq(F.col("cent"), F.col("other")))  # cells of a bounded model table
+    return N.top_k(pairs, 3, ["cell_id"], ["dist", "near"]).select("cell_id", "near", "rank")
+
+
+CAND = f"""{CELL2}, {SIBLING},
+roots AS (SELECT a.c1, b.c1 AS d1 FROM l1 a JOIN l1 b ON a.c1 <> b.c1 QUALIFY row_number() OVER (PARTITION BY a.c1 ORDER BY {s_l2('a.cent', 'b.cent')}, b.c1) <= 2),
+away AS (SELECT a.c1, a.c2, d1, b.c2 AS d2 FROM second a JOIN roots USING (c1) JOIN second b ON b.c1 = d1 QUALIFY row_number() OVER (PARTITION BY a.c1, a.c2, d1 ORDER BY {s_l2('a.cent', 'b.cent')}, b.c2) <= 2),
+near AS (SELECT c1, c2, c1 AS d1, c2 AS d2 FROM second UNION SELECT c1, c2, c1, near FROM sib WHERE rank <= 4 UNION SELECT * FROM away),
+cand AS (SELECT DISTINCT a.cell_id AS cell, b.cell_id AS cand FROM absolute a JOIN near USING (c1, c2) JOIN absolute b ON b.c1 = d1 AND b.c2 = d2),
+graph AS (SELECT a.block_id AS src, CAST(row_number() OVER (PARTITION BY a.block_id ORDER BY round({s_l2('a.cent', 'b.cent')}, 6), b.block_id) AS INTEGER) AS rank, b.block_id AS dst FROM block a JOIN cand ON cell = a.cell_id JOIN block b ON cand = b.cell_id WHERE a.block_id <> b.block_id QUALIFY rank <= 4)"""
+
+
+def _candidates(spark, d):
+    t = tree(spark, d)
+    return G.candidate_cells(_second(t), t.l1, t.absolute().select("c1", "c2", "cell_id"))
+
+
+def graph_of(spark, d, blocks):
+    return G.block_graph(blocks, _candidates(spark, d), 4)
+
+
+@query(f"WITH {TREE}, {CAND} SELECT * FROM cand")
+def cand_cells(spark, d):
+    return _candidates(spark, d)
+
+
+@query(f"WITH {TREE}, {CAND} SELECT * FROM graph")
+def block_graph(spark, d):
+    return graph_of(spark, d, block_table(spark, d))
+
+
+# Aggregations
+
+
+@query(f"WITH {TREE} SELECT cell_id, count(*) AS n FROM a3 GROUP BY cell_id")
+def cell_counts(spark, d):
+    return B.cell_counts(cells(spark, d))
+
+
+@query(f"WITH {TREE} SELECT * FROM offsets")
+def cell_offsets(spark, d):
+    return B.cell_offsets(cells(spark, d), LEAF)
+
+
+@query(f"WITH {TREE} SELECT block_id, cell_id, n, list_transform(cent, lambda x: round(x, 6)) AS cent, round({s_sq('cent')}, 6) AS norm FROM block")
+def block_centroid(spark, d):
+    return block_table(spark, d).select("block_id", "cell_id", "n", F.transform("cent", r6).alias("cent"), r6("norm").alias("norm"))
+
+
+@query(f"WITH {TREE} SELECT cell_id, list_transform(cent, lambda x: round(x, 6)) AS cent FROM absolute")
+def abs_centroid(spark, d):
+    return tree(spark, d).absolute().select("cell_id", F.transform("cent", r6).alias("cent"))
+
+
+@query(f"WITH {TREE} SELECT block_id, CAST(pos // 4 AS INTEGER) AS part, round(max(eps), 6) AS eps FROM d2 GROUP BY ALL")
+def eps_bounds(spark, d):
+    dec = V.reconstruct(V.quantize(F.col("r3"), QUANT.residual), QUANT.residual)
+    rows = packed(spark, d).select("block_id", F.expr("cast(pos div 4 as int)").alias("part"), F.sqrt(V.l2sq(F.col("r3"), dec)).alias("eps"))
+    return rows.groupBy("block_id", "part").agg(r6(F.max("eps")).alias("eps"))
+
+
+APPROX = f"approx AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY adc, vec_id) AS INTEGER) AS rank, vec_id FROM (SELECT qid, vec_id, {s_l2('q', 'y')} AS adc FROM q, coded) QUALIFY rank <= {TOP})"
+TRUTH = f"truth AS (SELECT qid, vec_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS INTEGER) AS rank FROM (SELECT qid, vec_id, round({s_l2('q', 'v')}, 6) AS dist FROM q, e) QUALIFY rank <= 50)"
+
+
+def _approx(spark, d):
+    rows = coded(spark, d).crossJoin(F.broadcast(queries_of(spark, d))).withColumn("adc", QUANT.code_distance(F.col("q")))
+    return N.top_k(rows, TOP, ["qid"], ["adc", "vec_id"]).select("qid", "rank", "vec_id")
+
+
+@query(f"WITH {CODED}, {APPROX}, {TRUTH} SELECT count(*) / (SELECT count(*) * {TOP} FROM q) AS recall FROM approx JOIN truth USING (qid, vec_id) WHERE truth.rank <= {TOP}")
+def recall_at_k(spark, d):
+    return N.recall(_approx(spark, d), knn(spark, d), TOP)
+
+
+@query(f"WITH {CODED}, {APPROX}, {TRUTH} SELECT count(*) / (SELECT count(*) * {TOP} FROM q) AS recall FROM approx JOIN truth USING (qid, vec_id) WHERE truth.rank <= 50")
+def recall_k_at_m(spark, d):
+    return N.recall(_approx(spark, d), N.exact_knn(embeddings(spark, d), queries_of(spark, d), 50), TOP, 50)
+
+
+@query(f"WITH {CODED}, {APPROX}, {TRUTH}, a AS (SELECT qid, list(vec_id) AS a FROM approx GROUP BY qid), t AS (SELECT qid, list(vec_id) AS t FROM truth WHERE rank <= {TOP} GROUP BY qid) SELECT qid, len(list_intersect(a, t)) / {TOP}.0 AS recall FROM a JOIN t USING (qid)")
+def recall_intersect(spark, d):
+    a = _approx(spark, d).groupBy("qid").agg(F.collect_set("vec_id").alias("a"))
+    t = knn(spark, d).groupBy("qid").agg(F.collect_set("vec_id").alias("t"))
+    return a.join(t, "qid").select("qid", (F.size(F.array_intersect("a", "t")) / TOP).alias("recall"))
+
+
+@query(f"WITH {TREE}, n AS (SELECT eps, row_number() OVER (ORDER BY eps) AS r, count(*) OVER () AS c FROM d2) SELECT round(avg(eps), 6) AS mean, round(min(CASE WHEN r >= ceil(0.5 * c) THEN eps END), 6) AS p50, round(min(CASE WHEN r >= ceil(0.9 * c) THEN eps END), 6) AS p90, round(min(CASE WHEN r >= ceil(0.99 * c) THEN eps END), 6) AS p99 FROM n")
+def diag_percentiles(spark, d):
+    """Nearest-rank percentiles."""
+    dec = V.reconstruct(V.quantize(F.col("r3"), QUANT.residual), QUANT.residual)
+    rows = cells(spark, d).select(F.sqrt(V.l2sq(F.col("r3"), dec)).alias("eps"))
+    p = [F.expr(f"round(percentile_disc({x}) WITHIN GROUP (ORDER BY eps), 6)").alias(n) for x, n in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))]
+    return rows.agg(r6(F.avg("eps")).alias("mean"), *p)
+
+
+@query(f"WITH {TREE} SELECT count(DISTINCT block_id // 4) AS regions, count(DISTINCT block_id) AS blocks FROM visit")
+def region_distinct(spark, d):
+    v = visited(spark, d, packed(spark, d))
+    return v.agg(F.countDistinct(F.expr("block_id div 4")).alias("regions"), F.countDistinct("block_id").alias("blocks"))
+
+
+@query(f"WITH {TREE} SELECT count(*) / count(DISTINCT block_id) AS reuse FROM visit")
+def region_reuse(spark, d):
+    return visited(spark, d, packed(spark, d)).agg((F.count(F.lit(1)) / F.countDistinct("block_id")).alias("reuse"))
+
+
+# Top-k
+
+
+@query(f"WITH {PAIRS} SELECT vec_id, dist FROM pairs WHERE qid = 0 ORDER BY dist, vec_id LIMIT {TOP}")
+def topk_sort(spark, d):
+    return _pairs(spark, d).where("qid = 0").select("vec_id", r6(V.l2sq(F.col("q"), F.col("v"))).alias("dist")).orderBy("dist", "vec_id").limit(TOP)
+
+
+@query(f"WITH {E} SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS INTEGER) AS rank, vec_id, dist FROM (SELECT qid, vec_id, round({s_l2('q', 'v')}, 1) AS dist FROM q, e) QUALIFY rank <= {TOP}")
+def topk_tiebreak(spark, d):
+    coarse = _pairs(spark, d).select("qid", "vec_id", F.round(V.l2sq(F.col("q"), F.col("v")), 1).alias("dist"))
+    return N.top_k(coarse, TOP, ["qid"], ["dist", "vec_id"]).select("qid", "rank", "vec_id", "dist")
+
+
+@query(f"WITH {CODED}, l AS (SELECT coded.*, label AS list_id FROM coded), s AS (SELECT qid, vec_id, y, z, q, {s_l2('q', 'y')} AS adc FROM q, l WHERE list_id < 5), k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY adc, vec_id) <= 40) SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS INTEGER) AS rank, vec_id, dist FROM (SELECT qid, vec_id, round({s_l2('q', s_add('y', 'z'))}, 5) AS dist FROM k) QUALIFY rank <= {TOP}")
+def ivf_topck(spark, d):
+    """Lists are the labels; those below 5 are probed."""
+    lists = coded(spark, d).where("label < 5").crossJoin(F.broadcast(queries_of(spark, d))).withColumn("adc", QUANT.code_distance(F.col("q")))
+    kept = N.top_k(lists, 40, ["qid"], ["adc", "vec_id"], "_r").withColumn("dist", F.round(QUANT.composite_distance(F.col("q")), 5))
+    return N.top_k(kept, TOP, ["qid"], ["dist", "vec_id"]).select("qid", "rank", "vec_id", "dist")
+
+
+@query(f"WITH {TREE} SELECT qid, block_id, vec_id FROM scan QUALIFY row_number() OVER (PARTITION BY qid, block_id ORDER BY round(adc, 6), vec_id) <= 4")
+def topp_per_block(spark, d):
+    s = scanned(spark, d).withColumn("adc", r6("adc"))
+    return N.top_k(s, 4, ["qid", "block_id"], ["adc", "vec_id"]).select("qid", "block_id", "vec_id")
+
+
+@query(f"WITH {TREE}, p AS (SELECT * FROM scan QUALIFY row_number() OVER (PARTITION BY qid, block_id ORDER BY dist, vec_id) <= 4) SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS INTEGER) AS rank, vec_id, dist FROM p QUALIFY rank <= {TOP}")
+def merge_topk(spark, d):
+    s = R.exact(scanned(spark, d), embeddings(spark, d), queries_of(spark, d))
+    local = N.top_k(s, 4, ["qid", "block_id"], ["dist", "vec_id"], "_r")
+    return N.top_k(local, TOP, ["qid"], ["dist", "vec_id"]).select("qid", "rank", "vec_id", "dist")
+
+
+@query(f"WITH {PAIRS}, halves AS (SELECT qid, vec_id, dist FROM pairs QUALIFY row_number() OVER (PARTITION BY qid, vec_id % 2 ORDER BY dist, vec_id) <= {TOP}) SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS INTEGER) AS rank, vec_id, dist FROM halves QUALIFY rank <= {TOP}")
+def heap_accumulate(spark, d):
+    """Top-k of two key groups, merged."""
+    e, q = embeddings(spark, d), queries_of(spark, d)
+    parts = [N.exact_knn(e.where(f"vec_id % 2 = {i}"), q, TOP) for i in (0, 1)]
+    return N.top_k(parts[0].unionByName(parts[1]).drop("rank"), TOP, ["qid"], ["dist", "vec_id"]).select("qid", "rank", "vec_id", "dist")
+
+
+@query(f"WITH {TREE} SELECT cell_id, vec_id, row_number() OVER (PARTITION BY cell_id ORDER BY vec_id) - 1 + first_row AS row FROM a3 JOIN offsets USING (cell_id)")
+def sort_by_cell(spark, d):
+    c = cells(spark, d).select("cell_id", "vec_id")
+    placed = c.withColumn("r", F.row_number().over(Window.partitionBy("cell_id").orderBy("vec_id")) - 1)
+    return placed.join(B.cell_offsets(c, LEAF), "cell_id").select("cell_id", "vec_id", (F.col("r") + F.col("first_row")).cast("long").alias("row"))
+
+
+@query(f"WITH {TREE} SELECT qid, list(block_id ORDER BY block_id) AS blocks FROM visit GROUP BY qid")
+def sorted_leaves(spark, d):
+    return visited(spark, d, packed(spark, d)).groupBy("qid").agg(F.array_sort(F.collect_list("block_id")).alias("blocks"))
+
+
+@query(f"WITH {PAIRS} SELECT qid, dist FROM knn WHERE rank = {TOP}")
+def kth_smallest(spark, d):
+    return knn(spark, d).where(F.col("rank") == TOP).select("qid", "dist")
+
+
+@query(f"WITH {PAIRS}, few AS (SELECT qid, rank, vec_id, dist FROM knn WHERE rank <= 1 + qid // 100 % 4) SELECT q.qid, CAST(r.i AS INTEGER) AS rank, CAST(coalesce(vec_id, -1) AS BIGINT) AS vec_id, coalesce(dist, CAST('inf' AS DOUBLE)) AS dist FROM q CROSS JOIN range(1, 6) r(i) LEFT JOIN few ON few.qid = q.qid AND few.rank = r.i")
+def pad_topk(spark, d):
+    few = knn(spark, d).where("rank <= 1 + (qid div 100) % 4")
+    return N.pad_top_k(few, queries_of(spark, d), 5)
+
+
+# Sets, blocks and graphs
+
+
+@query(f"WITH {TREE} SELECT DISTINCT qid, vec_id FROM visit JOIN packed USING (block_id)")
+def distinct_cands(spark, d):
+    p = packed(spark, d)
+    return visited(spark, d, p).join(p.select("block_id", "vec_id"), "block_id").select("qid", "vec_id").distinct()
+
+
+@query(f"WITH {TREE} SELECT vec_id, cell_id, block_id, pos FROM packed")
+def pack_blocks(spark, d):
+    return packed(spark, d).select("vec_id", "cell_id", "block_id", "pos")
+
+
+@query(f"WITH {TREE}, p AS (SELECT a3.*, CAST(first_block + (row_number() OVER (PARTITION BY cell_id ORDER BY v[1], vec_id) - 1) // {LEAF} AS BIGINT) AS block_id FROM a3 JOIN offsets USING (cell_id)) SELECT vec_id, block_id FROM p")
+def pack_blocks_1d(spark, d):
+    return B.pack(cells(spark, d), LEAF, [V.doubles("embedding")[0], "vec_id"]).select("vec_id", "block_id")
+
+
+@query()
+def balanced_blocks(spark, d):
+    return B.balanced_blocks(cells(spark, d).select("vec_id", "cell_id", "embedding"), LEAF)
+
+
+@query()
+def bisect_blocks(spark, d):
+    return B.bisect_blocks(cells(spark, d).select("vec_id", "cell_id", "embedding"), LEAF)
+
+
+@query(f"WITH {TREE}, w AS (SELECT block_id, lag(block_id) OVER (PARTITION BY cell_id ORDER BY block_id) AS a, lead(block_id) OVER (PARTITION BY cell_id ORDER BY block_id) AS b FROM block) SELECT block_id AS src, a AS dst FROM w WHERE a IS NOT NULL UNION ALL SELECT block_id, b FROM w WHERE b IS NOT NULL")
+def block_chain(spark, d):
+    return G.chain(block_table(spark, d))
+
+
+ENTRY = f"placed AS (SELECT *, (row_number() OVER (PARTITION BY cell_id ORDER BY block_id) - 1) // 2 AS chunk FROM block), entry_ AS (SELECT qid, block_id FROM (SELECT qid, cell_id, chunk, block_id, round({s_l2('q', 'cent')}, 6) AS dist FROM r3 JOIN placed USING (cell_id)) QUALIFY row_number() OVER (PARTITION BY qid, cell_id, chunk ORDER BY dist, block_id) <= 1)"
+
+
+def _entries(spark, d, blocks):
+    routes = tree(spark, d).route(queries_of(spark, d), 2, 2, 1)
+    return G.entry_blocks(routes, blocks, 1, 2)
+
+
+@query(f"WITH {TREE}, {ENTRY} SELECT * FROM entry_")
+def entry_blocks(spark, d):
+    return _entries(spark, d, block_table(spark, d))
+
+
+def _walk(spark, d, **knobs):
+    blocks = block_table(spark, d).select("block_id", "cell_id", "cent").checkpoint()
+    edges = graph_of(spark, d, blocks).checkpoint()
+    entries = _entries(spark, d, blocks)
+    return G.beam_search(queries_of(spark, d), entries, blocks, edges, **knobs), blocks, edges, entries
+
+
+@query()
+def beam_search(spark, d):
+    return _with_dir(spark) or _walk(spark, d, ef=16)[0]
+
+
+@query()
+def beam_search_wide(spark, d):
+    return _with_dir(spark) or _walk(spark, d, ef=16, width=4, early_stop=True)[0]
+
+
+@query()
+def best_first(spark, d):
+    return _with_dir(spark) or _walk(spark, d, ef=8, width=1, early_stop=True)[0]
+
+
+def _with_dir(spark) -> None:
+    """Sets a checkpoint folder where the session names none."""
+    import tempfile
+
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/nearfold-scratch")
+
+
+BOTH = "both_ AS (SELECT src, dst FROM graph UNION SELECT dst, src FROM graph)"
+
+
+@query(f"WITH RECURSIVE {TREE}, {CAND}, {BOTH}, reach AS (SELECT block_id, block_id AS root, 0 AS depth FROM block UNION SELECT dst, root, depth + 1 FROM reach JOIN both_ ON src = block_id WHERE depth < 12), low AS (SELECT block_id, min(root) AS component FROM reach GROUP BY block_id) SELECT low.block_id, component, CAST(min(depth) AS INTEGER) AS depth FROM low JOIN reach ON reach.block_id = low.block_id AND root = component GROUP BY ALL")
+def bfs_order(spark, d):
+    _with_dir(spark)
+    blocks = block_table(spark, d).select("block_id", "cell_id", "cent").checkpoint()
+    return G.breadth_first(graph_of(spark, d, blocks).checkpoint(), blocks)
+
+
+@query(f"WITH RECURSIVE {TREE}, {CAND}, {ENTRY}, reach AS (SELECT qid, block_id, 0 AS hops FROM entry_ UNION SELECT qid, dst, hops + 1 FROM reach JOIN graph ON src = block_id WHERE hops < 1), truth AS (SELECT qid, vec_id FROM (SELECT qid, vec_id, round({s_l2('q', 'v')}, 6) AS dist FROM q, e) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= {TOP}), top AS (SELECT qid, vec_id FROM scan QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= 5) SELECT t.qid, t.vec_id, CASE WHEN EXISTS (SELECT 1 FROM top WHERE top.qid = t.qid AND top.vec_id = t.vec_id) THEN 'found' WHEN EXISTS (SELECT 1 FROM visit WHERE visit.qid = t.qid AND visit.block_id = p.block_id) THEN 'C' WHEN EXISTS (SELECT 1 FROM reach WHERE reach.qid = t.qid AND reach.block_id = p.block_id) THEN 'B' ELSE 'A' END AS kind FROM truth t JOIN packed p USING (vec_id)")
+def miss_classes(spark, d):
+    _with_dir(spark)
+    p = packed(spark, d)
+    blocks = block_table(spark, d, p).select("block_id", "cell_id", "cent").checkpoint()
+    edges = graph_of(spark, d, blocks).checkpoint()
+    reach = G.reachable(_entries(spark, d, blocks), edges, 1)
+    s = R.exact(scanned(spark, d), embeddings(spark, d), queries_of(spark, d))
+    found = N.top_k(s, 5, ["qid"], ["dist", "vec_id"])
+    return G.miss_classes(knn(spark, d), found, visited(spark, d, p), p, reach)
+
+
+@query(f"WITH {TREE}, truth AS (SELECT qid, vec_id FROM (SELECT qid, vec_id, round({s_l2('q', 'v')}, 6) AS dist FROM q, e) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= {TOP}), top AS (SELECT qid, vec_id FROM scan QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= {TOP}) SELECT (SELECT count(*) FROM top JOIN truth USING (qid, vec_id)) / (SELECT count(*) * {TOP} FROM q) AS recall")
+def oracle_recall(spark, d):
+    """Recall of an exact scan of the visited blocks."""
+    s = R.exact(scanned(spark, d), embeddings(spark, d), queries_of(spark, d))
+    return N.recall(N.top_k(s, TOP, ["qid"], ["dist", "vec_id"]), knn(spark, d), TOP)
+
+
+# Reranking and pruning
+
+
+@query(f"WITH {TREE}, k AS (SELECT * FROM scan QUALIFY row_number() OVER (PARTITION BY qid ORDER BY adc, vec_id) <= 30) SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS INTEGER) AS rank, vec_id, dist FROM k QUALIFY rank <= {TOP}")
+def rerank_global(spark, d):
+    return R.rerank_global(scanned(spark, d), embeddings(spark, d), queries_of(spark, d), 30, TOP).select("qid", "rank", "vec_id", "dist")
+
+
+@query(f"WITH {TREE}, a AS (SELECT * FROM scan QUALIFY row_number() OVER (PARTITION BY qid, block_id ORDER BY adc, vec_id) <= 8), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY qid, block_id ORDER BY dist, vec_id) <= 5) SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS INTEGER) AS rank, vec_id, dist FROM b QUALIFY rank <= {TOP}")
+def rerank_block(spark, d):
+    return R.rerank_blocks(scanned(spark, d), embeddings(spark, d), queries_of(spark, d), 8, 5, TOP).select("qid", "rank", "vec_id", "dist")
+
+
+@query(f"WITH {TREE} SELECT qid, vec_id, round(low2, 6) AS low2, round(high2, 6) AS high2, low2 <= dist + 1e-6 AND dist <= high2 + 1e-6 AS holds FROM bound")
+def prr_bounds(spark, d):
+    rows = R.exact(bounded(spark, d), embeddings(spark, d), queries_of(spark, d))
+    holds = (F.col("low2") <= F.col("dist") + 1e-6) & (F.col("dist") <= F.col("high2") + 1e-6)
+    return rows.select("qid", "vec_id", r6("low2").alias("low2"), r6("high2").alias("high2"), holds.alias("holds"))
+
+
+@query(f"WITH {TREE} SELECT qid, round(tau2, 6) AS tau2 FROM tau")
+def prr_tau(spark, d):
+    return R.threshold(bounded(spark, d), TOP).select("qid", r6("tau2").alias("tau2"))
+
+
+@query(f"WITH {TREE}, s AS (SELECT bound.* FROM bound JOIN tau USING (qid) WHERE low2 <= tau2 + 1e-9) SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS INTEGER) AS rank, vec_id, dist FROM s QUALIFY rank <= {TOP}")
+def prr_rerank(spark, d):
+    b = bounded(spark, d)
+    return R.prune_and_rerank(b, R.threshold(b, TOP), embeddings(spark, d), queries_of(spark, d), TOP).select("qid", "rank", "vec_id", "dist")
+
+
+SEED = f"seed AS (SELECT * FROM bound QUALIFY row_number() OVER (PARTITION BY qid, block_id ORDER BY high2, vec_id) <= 4), seeded AS (SELECT qid, max(dist) AS tau2 FROM (SELECT qid, dist FROM seed QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= {TOP}) GROUP BY qid)"
+
+
+@query(f"WITH {TREE}, {SEED} SELECT qid, tau2 FROM seeded")
+def prr_seed(spark, d):
+    return R.seeds(bounded(spark, d), embeddings(spark, d), queries_of(spark, d), 4, TOP)
+
+
+@query(f"WITH {TREE}, s AS (SELECT qid, block_id, count(*) AS n FROM bound JOIN tau USING (qid) WHERE low2 <= tau2 + 1e-9 GROUP BY qid, block_id) SELECT qid, CAST(sum(n) AS BIGINT) AS survivors, count(*) AS blocks, CAST(sum(CASE WHEN n > 8 THEN 1 ELSE 0 END) AS BIGINT) AS blocks_over FROM s GROUP BY qid")
+def prr_survivors(spark, d):
+    b = bounded(spark, d)
+    return R.survivor_counts(b, R.threshold(b, TOP), 8)
+
+
+@query(f"WITH {TREE} SELECT qid, true AS agree FROM q")
+def prr_agreement(spark, d):
+    """Pruned reranking agrees with an exact scan of the visited blocks."""
+    e, q, b = embeddings(spark, d), queries_of(spark, d), bounded(spark, d)
+    scan = N.top_k(R.exact(scanned(spark, d), e, q), TOP, ["qid"], ["dist", "vec_id"])
+    return R.agreement(scan, R.prune_and_rerank(b, R.threshold(b, TOP), e, q, TOP))
+
+
+# Whole indexes, storage and streams
+
+
+@query(f"WITH {PAIRS} SELECT qid, rank, vec_id FROM knn")
+def ivf_all_lists(spark, d):
+    """An index that probes every list and refines every candidate by raw vectors finds the exact neighbours."""
+    from nearfold.operators.ivf import IvfIndex
+
+    e, q = embeddings(spark, d), queries_of(spark, d)
+    index = IvfIndex(nlist=8, rounds=2).train(e).add(e)
+    n = 4 * TOP * 50
+    found = index.search(q, k=n, nprobe=8, alpha=1)
+    return R.rerank_global(found.withColumnRenamed("dist", "adc").drop("rank"), e, q, n, TOP).select("qid", "rank", "vec_id")
+
+
+@query()
+def ivf_search(spark, d):
+    from nearfold.operators.ivf import IvfIndex
+
+    e = embeddings(spark, d)
+    return IvfIndex(nlist=16, rounds=4).train(e).add(e).search(queries_of(spark, d), TOP, 4)
+
+
+@query()
+def flat_search(spark, d):
+    from nearfold.operators.ivf import flat_index
+
+    e = embeddings(spark, d)
+    return flat_index().train(e).add(e).search(queries_of(spark, d), TOP, 1)
+
+
+@query()
+def block_index_search(spark, d):
+    from nearfold.plans.index import BlockIndex
+
+    _with_dir(spark)
+    e = embeddings(spark, d)
+    return BlockIndex(k1=4, k2=3, k3=2, leaf=LEAF, degree=8).train(e).add(e).search(queries_of(spark, d), TOP, ef=16)
+
+
+@query(f"WITH {TREE} SELECT block_id // 4 AS region_id, count(DISTINCT block_id) AS blocks, count(*) AS n FROM packed GROUP BY 1")
+def region_files(spark, d):
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/nearfold-scratch"
+    p = packed(spark, d).select("block_id", "pos", "vec_id", "embedding")
+    got = B.write_regions(p, f"{root.rstrip('/')}/regions-{uuid.uuid4().hex}", 4)
+    return got.groupBy(F.col("region_id").cast("long").alias("region_id")).agg(F.countDistinct("block_id").alias("blocks"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {CODED}, {APPROX}, {TRUTH} SELECT k, round(count(*) / (SELECT count(*) * k FROM q), 6) AS recall FROM range(1, 11) t(k) JOIN approx ON approx.rank <= k JOIN truth ON truth.qid = approx.qid AND truth.vec_id = approx.vec_id AND truth.rank <= k GROUP BY k")
+def metrics_csv(spark, d):
+    """Recall at each k, written as CSV and read again."""
+    import tempfile
+    import uuid
+
+    a, t = _approx(spark, d), knn(spark, d).select("qid", F.col("rank").alias("true_rank"), "vec_id")
+    n = queries_of(spark, d).count()
+    hits = a.join(t, ["qid", "vec_id"]).select(F.greatest("rank", "true_rank").alias("at"))
+    rows = hits.select(F.explode(F.sequence(F.col("at"), F.lit(TOP))).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("hits"))
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/nearfold-scratch"
+    path = f"{root.rstrip('/')}/metrics-{uuid.uuid4().hex}"
+    rows.select("k", F.round(F.col("hits") / (F.col("k") * n), 6).alias("recall")).write.option("header", True).csv(path)
+    return spark.read.schema("k long, recall double").option("header", True).csv(path)
+
+
+@query("SELECT CAST(vec_id AS BIGINT) AS vec_id FROM embeddings")
+def stream_ingest(spark, d):
+    """All rows, through a stream of micro-batches into an index."""
+    import tempfile
+    import uuid
+
+    from nearfold.operators.ivf import IvfIndex
+    from nearfold.streaming.ingest import ingest
+
+    e = embeddings(spark, d).select("vec_id", "embedding")
+    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/nearfold-scratch").rstrip("/")
+    path = f"{root}/stream-{uuid.uuid4().hex}"
+    e.repartition(4, "vec_id").write.parquet(f"{path}/in")
+    index = IvfIndex(nlist=8, rounds=1).train(e)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    ingest(stream, index, f"{path}/lists", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/lists").select("vec_id")
+
+
+@query(f"WITH {PAIRS} SELECT qid, rank, vec_id, dist FROM knn")
+def stream_top_k(spark, d):
+    """Standing queries over a stream of all vectors: the last state of each."""
+    import tempfile
+    import uuid
+
+    from nearfold.streaming.ingest import standing_top_k
+
+    e = embeddings(spark, d).select("vec_id", "embedding")
+    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/nearfold-scratch").rstrip("/")
+    path = f"{root}/standing-{uuid.uuid4().hex}"
+    e.repartition(2, "vec_id").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+    def put(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/out")
+
+    standing_top_k(stream, queries_of(spark, d), TOP).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    last = out.groupBy("qid").agg(F.max("batch").alias("batch"))
+    return out.join(last, ["qid", "batch"]).select("qid", "rank", "vec_id", "dist")
