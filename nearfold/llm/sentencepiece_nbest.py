@@ -25,8 +25,10 @@ the blank mark itself decodes to a blank there, and round_trip is false.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ MARK = "▁"
 #: Scores at or below are sentinels, not of usual pieces.
 SENTINEL = -1e8
 BELOW = 10.0
-MEMO_WORDS = 250_000
+MEMO_WORDS = 200_000
 
 
 class Pieces:
@@ -141,11 +143,13 @@ class Pieces:
                 if j > n:
                     break
                 k = get(s[i:j])
-        path, j = [], n
+        ids, j = [], n
         while j:
-            path.append(chosen[j])
-            j = chosen[j][0]
-        return np.array(self.ids(s, path[::-1]), np.int32).tobytes(), first[n], first[n] - second[n]
+            i, k = chosen[j]
+            ids += [k] if k >= 0 else [self.byte_ids[b] for b in reversed(s[i].encode())]
+            j = i
+        ids.reverse()
+        return array("i", ids).tobytes(), first[n], first[n] - second[n]
 
     def decode(self, ids: list[int]) -> bytes:
         """The text, without the blank that encoding puts before it."""
@@ -157,47 +161,66 @@ CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 class Encoder:
-    """N-best encoding of whole texts with a memo of words."""
+    """N-best encoding of whole texts with a memo of words: two generations, of which the older is dropped when the younger is full."""
 
     def __init__(self, pieces: Pieces, n: int = N_BEST):
         self.pieces, self.n = pieces, n
         self.memo: dict[str, tuple[bytes, float, float]] = {}
+        self.older: dict[str, tuple[bytes, float, float]] = {}
+        self.parts: dict[str, tuple[bytes, float, float]] = {}
         self.paths: dict[str, list[tuple[float, list[int]]]] = {}
 
     def _chunk(self, chunk: str) -> tuple[bytes, float, float]:
-        found = self.memo.get(chunk)
-        if found is None:
-            beside = self.pieces.beside
-            cuts = [j for j in range(1, len(chunk)) if chunk[j - 1 : j + 1] not in beside]
-            if cuts:
-                parts = [self._chunk(chunk[i:j]) for i, j in zip([0, *cuts], [*cuts, len(chunk)])]
-                found = b"".join([x[0] for x in parts]), sum([x[1] for x in parts]), min([x[2] for x in parts])
-            else:
-                found = self.pieces.analyse(chunk)
-            if "\n" not in chunk:  # what stands around a line end rarely does so again
-                self.memo[chunk] = found
+        if chunk[1:].isalpha():
+            return self.pieces.analyse(chunk)
+        beside = self.pieces.beside
+        cuts = [j for j in range(1, len(chunk)) if chunk[j - 1 : j + 1] not in beside]
+        if not cuts:
+            return self.pieces.analyse(chunk)
+        found = []
+        for i, j in zip([0, *cuts], [*cuts, len(chunk)]):
+            part = chunk[i:j]
+            known = self.parts.get(part)
+            if known is None:
+                known = self.parts[part] = self.pieces.analyse(part)
+            found.append(known)
+        return b"".join([x[0] for x in found]), sum([x[1] for x in found]), min([x[2] for x in found])
+
+    def _word(self, word: str) -> tuple[bytes, float, float]:
+        """Of the word with a blank mark before it."""
+        found = self.older.get(word) or self._chunk(MARK + word)
+        if "\n" not in word:  # what stands around a line end rarely does so again
+            self.memo[word] = found
         return found
 
+    def _room(self) -> None:
+        if len(self.memo) > MEMO_WORDS:
+            self.memo, self.older = {}, self.memo
+        if len(self.parts) > MEMO_WORDS // 4:
+            self.parts.clear()
+        if len(self.paths) > MEMO_WORDS // 8:
+            self.paths.clear()
+
     def encode(self, text: str) -> tuple[np.ndarray, list[tuple[float, dict[int, list[int]]]], list[tuple[bytes, float, float]]]:
         """Ids of the best path; the n best scores, each with the chunks that differ from their best path and their ids; the chunks' analyses."""
         if not text:
             return np.zeros(0, np.int32), [(0.0, {})], []
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        if len(self.paths) > MEMO_WORDS // 10:
-            self.paths.clear()
-        marked = MARK + text.replace(" ", MARK)
-        if MARK * 2 in marked:
-            chunks = CHUNK.findall(marked)
+        self._room()
+        marked = text.replace(" ", MARK)
+        if MARK * 2 in marked or marked[0] == MARK:
+            chunks = CHUNK.findall(MARK + marked)
+            infos = [self._chunk(c) for c in chunks]
         else:
-            chunks = [MARK + w for w in marked[1:].split(MARK)]
-        get, make = self.memo.get, self._chunk
-        infos = [get(c) or make(c) for c in chunks]
-        total = float(sum([x[1] for x in infos]))
-        loss = np.array([x[2] for x in infos])
+            words = marked.split(MARK)
+            get, make = self.memo.get, self._word
+            infos = [get(w) or make(w) for w in words]
+            chunks = None
+        ids, scores, losses = zip(*infos)
+        total = float(sum(scores))
+        loss = np.array(losses)
         least = np.argsort(loss, kind="stable")[: self.n - 1] if len(loss) <= 64 else self._least(loss)
-        options = [(int(c), self._nbest(chunks[c])) for c in least if np.isfinite(loss[c])]
-        return np.frombuffer(b"".join([x[0] for x in infos]), np.int32), self._combine(total, options), infos
+        options = [(int(c), self._nbest(chunks[c] if chunks else MARK + words[c])) for c in least if np.isfinite(loss[c])]
+        return np.frombuffer(b"".join(ids), np.int32), self._combine(total, options), infos
 
     def _nbest(self, chunk: str) -> list[tuple[float, list[int]]]:
         found = self.paths.get(chunk)
@@ -228,9 +251,15 @@ class Encoder:
 FIELDS = "n_ids long, ids array<int>, nbest_scores array<double>, nbest_sizes array<long>, round_trip boolean"
 
 
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str, n: int) -> Encoder:
+    """One for each Python worker, which keeps its memo over many tasks."""
+    return Encoder(Pieces(path), n)
+
+
 def _encode(path: str, n: int):
     def run(batches):
-        encoder = Encoder(Pieces(path), n)
+        encoder = _encoder(path, n)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)

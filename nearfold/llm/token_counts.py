@@ -16,6 +16,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import pyarrow as pa
@@ -61,12 +62,18 @@ class WordTokens:
         return [sum(map(memo.__getitem__, words)) for words in split]
 
 
+@functools.lru_cache(maxsize=2)
+def _words(path: str, version: bytes) -> WordTokens:
+    """One for each Python worker, which keeps its memo over many tasks."""
+    return WordTokens(path)
+
+
 def _encode(path: str, version: bytes):
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordTokens(path)
+        words = _words(path, version)
         for batch in batches:
             texts, counts = as_bytes(batch.column("content")), []
             for i in range(0, len(texts), 500):
