@@ -79,3 +79,17 @@ def rank_column(doc_id: str = "doc_id", text: str = "text"):
     sign = F.lit(-(2**63))
     number = F.when(F.col(doc_id).isNull(), F.lit("01" + "F" * 16)).otherwise(F.concat(F.lit("00"), F.lpad(F.hex(F.col(doc_id).cast("long").bitwiseXOR(sign)), 16, "0")))
     return F.unhex(F.concat(number, F.lpad(F.hex(F.xxhash64(text_or_empty(text))), 16, "0")))
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """doc, a struct of all columns, and rank. No name that an operator adds can clash with one of docs; unboxed by select("doc.*")."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), rank_column().alias("rank"))
+
+
+def with_text(docs: DataFrame, text, changed):
+    """doc with a new text where changed; n_chars, if there, follows."""
+    fields = docs.schema
+    new = F.col("doc").withField("text", text)
+    if "n_chars" in fields.names:
+        new = new.withField("n_chars", F.length(text).cast(fields["n_chars"].dataType))
+    return F.when(changed, new).otherwise(F.col("doc")).alias("doc")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import as_bytes, rank_column, table, text_or_empty, written
+from nearfold.llm.common import as_bytes, boxed, rank_column, table, text_or_empty, with_text, written
 
 KEY_WORDS = 5
 RARE_HOLDERS = 100
@@ -141,13 +141,11 @@ def removed_lines(lines: DataFrame) -> DataFrame:
 def without_blocks(docs: DataFrame) -> DataFrame:
     """docs without the deleted lines; those of which nothing is left are dropped. n_chars, if there, follows the text."""
     removed = written(removed_lines(hashed_lines(docs)), "removed")
-    joined = docs.withColumn("_rank", rank_column()).join(removed.withColumnRenamed("rank", "_rank").hint("shuffle_hash"), "_rank", "left")
-    left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("removed"), i))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    kept = joined.withColumn("text", text).where(F.col("removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    joined = boxed(docs).join(removed.hint("shuffle_hash"), "rank", "left")
+    left = F.filter(F.split(F.col("doc.text"), "\n"), lambda _, i: ~F.array_contains(F.col("removed"), i))
+    changed = F.col("removed").isNotNull()
+    kept = joined.select(with_text(docs, F.array_join(left, "\n"), changed), changed.alias("changed"))
+    return kept.where(~F.col("changed") | F.col("doc.text").rlike(r"[^\x20\x09-\x0D]")).select("doc.*")
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

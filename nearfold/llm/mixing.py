@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import WORD, rank_column, table, text_or_empty, written
+from nearfold.llm.common import WORD, boxed, rank_column, table, text_or_empty, with_text, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -78,16 +78,14 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     Rows equal in doc_id and text share what they give. n_chars, if there, follows the text.
     """
-    plan = mix(docs.withColumn("_rank", rank_column()), ("_rank",)).where("taken > 0").groupBy("_rank").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
-    rows = docs.withColumn("_rank", rank_column()).dropDuplicates(["_rank"]).join(written(plan, "plan").hint("shuffle_hash"), "_rank")
-    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")))))
-    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
-    cut = words < F.col("_size")
-    pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each a word with the blanks before it
-    out = copies.withColumn("_cut", cut).withColumn("text", F.when(cut, F.array_join(F.slice(pieces, F.lit(1), words), "")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    plan = mix(docs.select("doc_id", "source", "text", rank_column().alias("rank")), ("rank",))
+    plan = plan.where("taken > 0").groupBy("rank").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"))
+    rows = boxed(docs).dropDuplicates(["rank"]).join(written(plan, "plan").hint("shuffle_hash"), "rank")
+    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    pieces = F.split(F.col("doc.text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each a word with the blanks before it
+    cut = F.array_join(F.slice(pieces, F.lit(1), words), "")
+    return copies.select(with_text(docs, cut, words < F.col("size"))).select("doc.*")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import as_bytes, rank_column, segments, table, written
+from nearfold.llm.common import as_bytes, boxed, rank_column, segments, table, written
 from nearfold.llm.components import components
 
 SHINGLE = 4
@@ -202,8 +202,8 @@ def near_dedup(docs: DataFrame, refine: bool | None = None) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each component the document of the smallest doc_id (null last), then text hash; of equal rows one."""
     ranked = near_dedup(docs.select(rank_column().alias("doc_id"), "text"))
-    kept = written(ranked.where("doc_id = component_id").select(F.col("doc_id").alias("_rank")).distinct(), "kept")
-    return docs.withColumn("_rank", rank_column()).dropDuplicates(["_rank"]).join(kept.hint("shuffle_hash"), "_rank", "left_semi").select(*docs.columns)
+    kept = written(ranked.where("doc_id = component_id").select(F.col("doc_id").alias("rank")).distinct(), "kept")
+    return boxed(docs).dropDuplicates(["rank"]).join(kept.hint("shuffle_hash"), "rank", "left_semi").select("doc.*")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

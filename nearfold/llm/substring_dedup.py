@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import rank_column, segments, table, text_or_empty, written
+from nearfold.llm.common import boxed, rank_column, segments, table, text_or_empty, with_text, written
 
 MIN_UNIT_WORDS = 4
 MIN_RUN_WORDS = 25
@@ -96,11 +96,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 def without_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """docs with the runs cut out of their texts."""
     spans = runs.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    joined = docs.withColumn("rank", rank_column()).join(spans.hint("shuffle_hash"), "rank", "left")
+    text = F.col("doc.text")
+    joined = boxed(docs).join(spans.hint("shuffle_hash"), "rank", "left")
     from_ = F.concat(F.array(F.lit(0)), F.transform("spans", lambda x: x["end"]))
-    to = F.concat(F.transform("spans", lambda x: x["start"]), F.array(F.length("text")))
-    kept = F.array_join(F.transform(F.arrays_zip(from_.alias("a"), to.alias("b")), lambda x: F.substring(F.col("text"), x["a"] + 1, x["b"] - x["a"])), "")
-    return joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    to = F.concat(F.transform("spans", lambda x: x["start"]), F.array(F.length(text)))
+    kept = F.array_join(F.transform(F.arrays_zip(from_.alias("a"), to.alias("b")), lambda x: F.substring(text, x["a"] + 1, x["b"] - x["a"])), "")
+    return joined.select(with_text(docs, kept, F.col("spans").isNotNull())).select("doc.*")
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
