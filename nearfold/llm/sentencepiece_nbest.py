@@ -8,8 +8,7 @@ backwards: the first N paths that reach the start are the N best, in order.
 No piece continues over a blank mark that follows another character, so the
 lattice of a text is a chain of lattices of its words, and its N best paths
 combine those of its words. Words are analysed once for a memo of bounded size:
-their best path, and by how much their second path is worse. They are cut between
-characters that stand side by side in no piece. Only the N - 1
+their best path, and by how much their second path is worse. Only the N - 1
 words of least loss in a text can differ from their best path in its N best;
 these are searched by A*, and their paths combined best-first. Texts with runs
 of blanks are cut at those runs only.
@@ -42,6 +41,51 @@ MARK = "▁"
 SENTINEL = -1e8
 BELOW = 10.0
 MEMO_WORDS = 200_000
+#: Characters of the longest word that is analysed together with others.
+LONGEST = 48
+
+
+#: Powers of an odd base modulo 2^64 and their inverses: hashes of substrings come from sums of prefixes.
+BASE = 0x9E3779B97F4A7C15
+POWERS = np.array([pow(BASE, i, 1 << 64) for i in range(LONGEST + 1)], np.uint64)
+INVERSES = np.array([pow(BASE, -i, 1 << 64) for i in range(LONGEST + 1)], np.uint64)
+
+
+def points(words: list[str], n: int) -> np.ndarray:
+    """Code points of words of n characters, a row each."""
+    return np.array(words, f"<U{n}").view(np.uint32).reshape(len(words), n)
+
+
+class HashTable:
+    """Distinct hashes with ids and scores, in buckets of a quarter of an entry on average."""
+
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray, scores: np.ndarray):
+        bits = max(4, int(4 * len(hashes)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        slot = self._slot(hashes)
+        order = np.argsort(slot, kind="stable")
+        self.hashes, self.ids, self.scores = hashes[order], ids[order], scores[order]
+        self.count = np.bincount(slot, minlength=1 << bits)
+        self.start = np.cumsum(self.count) - self.count
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> self.shift).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the hashes that are there, ascending, and their places."""
+        slot = self._slot(wanted)
+        left = self.count[slot]
+        found = np.full(len(wanted), -1)
+        rows = np.flatnonzero(left)
+        at = self.start[slot[rows]]
+        while len(rows):
+            hit = self.hashes[at] == wanted[rows]
+            found[rows[hit]] = at[hit]
+            left[rows] -= 1
+            more = ~hit & (left[rows] > 0)
+            rows, at = rows[more], at[more] + 1
+        rows = np.flatnonzero(found >= 0)
+        return rows, found[rows]
 
 
 class Pieces:
@@ -63,9 +107,14 @@ class Pieces:
             for j in range(1, len(p)):
                 self.prefixes.setdefault(p[:j], -1)
             self.prefixes[p] = i
-        # Characters that stand side by side in some piece; a lattice can be cut between any others.
-        self.beside = {x + y for i in usual for x, y in zip(self.piece[i], self.piece[i][1:])}
         self.byte_ids = {int(self.piece[i][3:5], 16): i for i in ids if model.is_byte(i)}
+        # Ids of single bytes by code point, and for each length the pieces by hash.
+        self.ascii_ids = np.array([self.byte_ids.get(b, -1) for b in range(128)])
+        self.by_length: dict[int, HashTable] = {}
+        for n in sorted({len(self.piece[i]) for i in usual}):
+            same = np.array([i for i in usual if len(self.piece[i]) == n])
+            hashes = (points([self.piece[i] for i in same], n).astype(np.uint64) * POWERS[:n]).sum(axis=1, dtype=np.uint64)
+            self.by_length[n] = HashTable(hashes, same, np.array(self.score)[same])
         values = {i: b for b, i in self.byte_ids.items()}
         self.bytes_of = [bytes([values[i]]) if i in values else b"" if model.is_control(i) or model.is_unknown(i) else self.piece[i].replace(MARK, " ").encode() for i in ids]
 
@@ -151,11 +200,77 @@ class Pieces:
         ids.reverse()
         return array("i", ids).tobytes(), first[n], first[n] - second[n]
 
+    def _analyse_equal(self, words: list[str], n: int) -> list[tuple[bytes, float, float] | None]:
+        """analyse for words of n characters at once. None for words with a character of several bytes that is no piece."""
+        cp = points(words, n)
+        sums = np.zeros((len(words), n + 1), np.uint64)
+        np.cumsum(cp.astype(np.uint64) * POWERS[:n], axis=1, out=sums[:, 1:])
+        first = np.full((n + 1, len(words)), -np.inf)
+        second = first.copy()
+        first[0] = 0.0
+        chosen, back = np.full((n + 1, len(words)), -1), np.zeros((n + 1, len(words)), np.int64)
+        for j in range(1, n + 1):
+            for size in sorted((m for m in self.by_length if m <= j), reverse=True):  # of equal paths the longest last piece
+                i = j - size
+                table_ = self.by_length[size]
+                rows, at = table_.find((sums[:, j] - sums[:, i]) * INVERSES[i])
+                if size == 1 and len(rows) < len(words):
+                    piece, gain = np.full(len(words), -1), np.full(len(words), self.unknown)
+                    piece[rows], gain[rows] = table_.ids[at], table_.scores[at]
+                    rows = slice(None)
+                elif not len(rows):
+                    continue
+                else:
+                    piece, gain = table_.ids[at], table_.scores[at]
+                x, y = first[i, rows] + gain, second[i, rows] + gain
+                f = first[j, rows]
+                better = x > f
+                second[j, rows] = np.where(better, np.maximum(f, y), np.maximum(second[j, rows], x))
+                first[j, rows] = np.where(better, x, f)
+                chosen[j, rows] = np.where(better, piece, chosen[j, rows])
+                back[j, rows] = np.where(better, size, back[j, rows])
+        path, count = np.zeros((len(words), n), np.int32), np.zeros(len(words), np.int64)
+        odd = np.zeros(len(words), bool)
+        at, row = np.full(len(words), n), np.arange(len(words))
+        while len(row):
+            piece = chosen[at, row]
+            single = piece < 0
+            if single.any():
+                code = cp[row, at - 1].astype(np.int64)
+                odd[row[single & (code >= 128)]] = True
+                piece = np.where(single, self.ascii_ids[np.minimum(code, 127)], piece)
+            count[row] += 1
+            path[row, n - count[row]] = piece
+            at = at - back[at, row]
+            row, at = row[at > 0], at[at > 0]
+        data, width = path.tobytes(), 4 * n
+        loss = (first[n] - second[n]).tolist()
+        return [None if o else (data[(r + 1) * width - 4 * c : (r + 1) * width], f, d) for r, (o, c, f, d) in enumerate(zip(odd.tolist(), count.tolist(), first[n].tolist(), loss))]
+
+    def analyse_many(self, words: list[str]) -> dict[str, tuple[bytes, float, float]]:
+        """analyse of each word. Words of equal length are analysed together, a few thousand at a time."""
+        by: dict[int, list[str]] = {}
+        for w in words:
+            by.setdefault(len(w), []).append(w)
+        out = {}
+        for n, same in by.items():
+            for lo in range(0, len(same), 8192):
+                part = same[lo : lo + 8192]
+                if n > LONGEST or len(part) < 8:
+                    out |= {w: self.analyse(w) for w in part}
+                else:
+                    out |= {w: x or self.analyse(w) for w, x in zip(part, self._analyse_equal(part, n))}
+        return out
+
     def decode(self, ids: list[int]) -> bytes:
         """The text, without the blank that encoding puts before it."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).removeprefix(b" ")
 
 
+def lattice_of(word: str) -> str:
+    return word if word[:1] == MARK else MARK + word
+
+
 #: Runs of blanks with what follows up to the next blank.
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -165,67 +280,59 @@ class Encoder:
 
     def __init__(self, pieces: Pieces, n: int = N_BEST):
         self.pieces, self.n = pieces, n
+        #: By word, without the blank marks before it if it is one mark, with them if they are several.
         self.memo: dict[str, tuple[bytes, float, float]] = {}
         self.older: dict[str, tuple[bytes, float, float]] = {}
-        self.parts: dict[str, tuple[bytes, float, float]] = {}
         self.paths: dict[str, list[tuple[float, list[int]]]] = {}
 
-    def _chunk(self, chunk: str) -> tuple[bytes, float, float]:
-        if chunk[1:].isalpha():
-            return self.pieces.analyse(chunk)
-        beside = self.pieces.beside
-        cuts = [j for j in range(1, len(chunk)) if chunk[j - 1 : j + 1] not in beside]
-        if not cuts:
-            return self.pieces.analyse(chunk)
-        found = []
-        for i, j in zip([0, *cuts], [*cuts, len(chunk)]):
-            part = chunk[i:j]
-            known = self.parts.get(part)
-            if known is None:
-                known = self.parts[part] = self.pieces.analyse(part)
-            found.append(known)
-        return b"".join([x[0] for x in found]), sum([x[1] for x in found]), min([x[2] for x in found])
-
-    def _word(self, word: str) -> tuple[bytes, float, float]:
-        """Of the word with a blank mark before it."""
-        found = self.older.get(word) or self._chunk(MARK + word)
-        if "\n" not in word:  # what stands around a line end rarely does so again
-            self.memo[word] = found
-        return found
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """The words of a text: each stands for itself with a blank mark before it, or holds its marks if there are several."""
+        marked = text.replace(" ", MARK)
+        if MARK * 2 in marked or marked[:1] == MARK:
+            return [c[1:] if c[1:2] != MARK else c for c in CHUNK.findall(MARK + marked)]
+        return marked.split(MARK)
 
-    def _room(self) -> None:
+    def encode_all(self, texts: list[str]):
+        """For each text: ids of the best path; the n best scores, each with the words that differ from their best path and their ids; the words' analyses."""
         if len(self.memo) > MEMO_WORDS:
             self.memo, self.older = {}, self.memo
-        if len(self.parts) > MEMO_WORDS // 4:
-            self.parts.clear()
         if len(self.paths) > MEMO_WORDS // 8:
             self.paths.clear()
+        split = [self.split(t) if t else [] for t in texts]
+        memo, older = self.memo, self.older
+        fresh = set().union(*split).difference(memo)
+        once = {}
+        for w in [w for w in fresh if w in older]:
+            memo[w] = older[w]
+            fresh.discard(w)
+        if fresh:
+            marked = {lattice_of(w): w for w in fresh}
+            for m, found in self.pieces.analyse_many(list(marked)).items():
+                w = marked[m]
+                (once if "\n" in w else memo)[w] = found  # what stands around a line end rarely does so again
+        get = memo.get
+        for words in split:
+            if not words:
+                yield np.zeros(0, np.int32), [(0.0, {})], []
+                continue
+            infos = [get(w) or once[w] for w in words]
+            ids, scores, losses = zip(*infos)
+            loss = np.array(losses)
+            least = np.argsort(loss, kind="stable")[: self.n - 1] if len(loss) <= 64 else self._least(loss)
+            options = [(int(c), self._nbest(lattice_of(words[c]), ids[c])) for c in least if np.isfinite(loss[c])]
+            yield np.frombuffer(b"".join(ids), np.int32), self._combine(float(sum(scores)), options), infos
 
-    def encode(self, text: str) -> tuple[np.ndarray, list[tuple[float, dict[int, list[int]]]], list[tuple[bytes, float, float]]]:
-        """Ids of the best path; the n best scores, each with the chunks that differ from their best path and their ids; the chunks' analyses."""
-        if not text:
-            return np.zeros(0, np.int32), [(0.0, {})], []
-        self._room()
-        marked = text.replace(" ", MARK)
-        if MARK * 2 in marked or marked[0] == MARK:
-            chunks = CHUNK.findall(MARK + marked)
-            infos = [self._chunk(c) for c in chunks]
-        else:
-            words = marked.split(MARK)
-            get, make = self.memo.get, self._word
-            infos = [get(w) or make(w) for w in words]
-            chunks = None
-        ids, scores, losses = zip(*infos)
-        total = float(sum(scores))
-        loss = np.array(losses)
-        least = np.argsort(loss, kind="stable")[: self.n - 1] if len(loss) <= 64 else self._least(loss)
-        options = [(int(c), self._nbest(chunks[c] if chunks else MARK + words[c])) for c in least if np.isfinite(loss[c])]
-        return np.frombuffer(b"".join(ids), np.int32), self._combine(total, options), infos
-
-    def _nbest(self, chunk: str) -> list[tuple[float, list[int]]]:
+    def encode(self, text: str):
+        return next(self.encode_all([text]))
+
+    def _nbest(self, chunk: str, best: bytes) -> list[tuple[float, list[int]]]:
         found = self.paths.get(chunk)
         if found is None:
-            found = self.paths[chunk] = self.pieces.nbest(chunk, self.n)
+            found = self.pieces.nbest(chunk, self.n)
+            # Of equal paths the one that the analysis chose comes first.
+            chosen = np.frombuffer(best, np.int32).tolist()
+            found = self.paths[chunk] = [(found[0][0], chosen), *(x for x in found if x[1] != chosen)][: self.n]
         return found
 
     def _least(self, loss: np.ndarray) -> np.ndarray:
@@ -264,9 +371,8 @@ def _encode(path: str, n: int):
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 flat, sizes, scores, counts, trips = [], [], [], [], []
-                for text in part.column("text").to_pylist():
-                    text = text or ""
-                    ids, best, infos = encoder.encode(text)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                for text, (ids, best, infos) in zip(texts, encoder.encode_all(texts)):
                     flat.append(ids)
                     sizes.append(len(ids))
                     scores.append([s for s, _ in best])
