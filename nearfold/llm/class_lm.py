@@ -146,7 +146,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
                 before[:, b] += bigrams[u]
         if not moved:
             break
-    return member
+    return np.unique(member, return_inverse=True)[1]  # an empty class has no number
 
 
 class Model:
@@ -226,11 +226,14 @@ def train(train_docs: DataFrame) -> tuple[Model, DataFrame]:
     counts = written(train_docs.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
     head = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow().to_pylist()]
+    texts = train_docs.count()
+    if texts and END not in dict(head):
+        head.append((END, texts))
     top = list(dict.fromkeys([*(w for w, _ in head[:CLUSTERED]), END]))
     endings = {bytes(r["ending"]): [r["n"], r["v"]] for r in counts.groupBy(F.substring("word", -2, 2).alias("ending")).agg(F.sum("n").alias("n"), F.count("n").alias("v")).toArrow().to_pylist()}
-    own = dict(head)
+    own = dict(head) | {END: texts}
     for w in top:
-        if w in own:
+        if w[-2:] in endings and own[w]:
             endings[w[-2:]][0] -= own[w]
             endings[w[-2:]][1] -= 1
     types = sorted((t for t, (n, v) in endings.items() if v), key=lambda t: (-endings[t][0], t))[:TYPES]
