@@ -89,8 +89,9 @@ class _Reader(DataSourceReader):
     def read(self, part: Part):
         from pyarrow import fs
 
+        if part is None:  # no records
+            return
         system, _ = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
-        width = np.dtype(self.dtype).itemsize
         fields = ([] if self.headed else [("d", "<i4")]) + [("v", self.dtype, (part.dim,))]
         dtype = np.dtype(fields)
         with system.open_input_file(part.path) as f:
@@ -104,7 +105,6 @@ class _Reader(DataSourceReader):
         values = rows["v"].reshape(part.rows, part.dim)
         if self.minus:
             values = (values.astype(np.int16) - self.minus).astype(np.int8)
-        assert width
         flat = pa.array(np.ascontiguousarray(values).ravel())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(part.rows + 1, dtype=np.int32) * part.dim), flat)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.first, part.first + part.rows, dtype=np.int64)), lists], names=["vec_id", "embedding"])
