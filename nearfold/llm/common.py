@@ -81,6 +81,12 @@ def rank_column(doc_id: str = "doc_id", text: str = "text"):
     return F.unhex(F.concat(number, F.lpad(F.hex(F.xxhash64(text_or_empty(text))), 16, "0")))
 
 
+def afresh(digest: str = "digest"):
+    """A digest of 32 bytes under an expression of its own. Where rows dealt out by the digest meet a join or a
+    grouping by this, they are dealt anew, so a large partition of the join can be split."""
+    return F.substring(digest, 1, 32)
+
+
 def boxed(docs: DataFrame) -> DataFrame:
     """doc, a struct of all columns, and rank. No name that an operator adds can clash with one of docs; unboxed by select("doc.*")."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), rank_column().alias("rank"))

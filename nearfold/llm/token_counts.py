@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import as_bytes, scratch_path, text_or_empty
+from nearfold.llm.common import afresh, as_bytes, scratch_path, text_or_empty
 
 #: Words held by one Python worker's memo; it starts anew when full.
 MEMO_WORDS = 300_000
@@ -104,7 +104,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     misses.select("digest", "content").mapInArrow(_encode(tokenizer_path, version), CACHE).write.mode("append").parquet(cache_path)
     # One count for each digest, even where two jobs appended the same one.
     counts = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.select("doc_id", "n_bytes", "digest").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
+    counts = counts.select(afresh().alias("known"), "n_tokens")
+    return keyed.select("doc_id", "n_bytes", "digest").join(counts, F.col("digest") == F.col("known")).select("doc_id", "n_bytes", "n_tokens")
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
