@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import BLANK, segments, table, text_or_empty, written
+from nearfold.llm.common import BLANK, afresh, segments, table, text_or_empty, written
 
 #: Keys of one filter, on average.
 SHARD_KEYS = 50_000
@@ -170,7 +170,7 @@ def exact_dedup(docs: DataFrame, is_history) -> DataFrame:
     marked = keyed_texts(docs.where(is_history)), keyed_texts(docs.where(~F.coalesce(is_history, F.lit(False))))
     repeated = written(duplicate_digests(*(buckets_of(x.select("digest")) for x in marked)), "repeated")
     # Equal bytes: rows whose digests occur more than once, by their bare text. First the longest, then the smallest doc_id.
-    suspects = keyed.join(repeated.hint("shuffle_hash"), "digest", "left_semi")
+    suspects = keyed.join(repeated.hint("shuffle_hash"), "digest", "left_semi").withColumn("digest", afresh())
     longest = suspects.groupBy("digest", "bare", "points").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
     groups = longest.groupBy("digest", "bare").agg(F.sum("n").alias("group_size"), F.max(F.struct("points", (-F.col("least")).alias("order"), "least")).alias("best"))
     groups = written(groups.select("digest", F.crc32(F.col("bare").cast("binary")).alias("check"), "group_size", F.col("best.least").alias("keep_id")), "groups")
