@@ -121,7 +121,8 @@ def candidate_pairs(lines: DataFrame) -> DataFrame:
     keys = lines.select("rank", F.explode("keys").alias("key"))
     holders = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")).where("n > 1"), "holders")
     bound = max(RARE_HOLDERS, lines.count() // RARE_ONE_IN)
-    shared = keys.join(holders.hint("shuffle_hash"), "key").distinct()  # rows equal in id and text meet here
+    # Rows equal in id and text meet by distinct(), under another key than the join's, so that a common line's rows can be split there.
+    shared = keys.join(holders.hint("shuffle_hash"), "key").withColumn("key", F.bitwise_not("key")).distinct()
     least = F.min("n").over(Window.partitionBy("rank"))
     rare = shared.withColumn("least", least).where((F.col("n") <= bound) | (F.col("n") == F.col("least")))
     return rare.where("first <> rank").select("rank", "first").distinct()
