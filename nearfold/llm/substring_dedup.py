@@ -5,7 +5,8 @@ grouped over the whole corpus. The earliest occurrence by document rank and
 place stays. Every other occurrence is a repeat; repeats that follow each other
 in a document form a run, and runs of MIN_RUN_WORDS or more are returned with
 their offsets in the original text, in code points. Units of under
-MIN_UNIT_WORDS words are not hashed: between two repeats they belong to the run.
+MIN_UNIT_WORDS words (what is left at the end of a line) are not hashed: between
+two repeats they belong to the run.
 
 Groups of any size are summed with partial aggregation; only digests that occur
 more than once are joined to their occurrences, and that join can be split.
@@ -27,13 +28,21 @@ MIN_UNIT_WORDS = 4
 MIN_RUN_WORDS = 25
 
 
-def units(text: str) -> list[tuple[str, int, int]]:
-    """Non-empty units with their offsets."""
+def units(text: str) -> list[tuple[list[str], int, int]]:
+    """Lower-case words of each unit, with its offsets. A line is cut at the ends of sentences, but sentences of under MIN_UNIT_WORDS words are joined to the next one of the line."""
     out, at = [], 0
-    for line in text.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n"):  # of equal length
-        if line:
-            out.append((line, at, at + len(line)))
-        at += len(line) + 1
+    for line in text.split("\n"):
+        words: list[str] = []
+        start = at
+        for part in line.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n"):  # of equal length
+            end = at + len(part)
+            words += part.lower().split()
+            if len(words) >= MIN_UNIT_WORDS:
+                out.append((words, start, end))
+                words, start = [], end + 1
+            at = end + 1
+        if words:
+            out.append((words, start, at - 1))
     return out
 
 
@@ -44,8 +53,7 @@ def _digests(batches):
         rows: list[list] = [[], [], [], [], [], []]
         for rank, text in zip(batch.column("rank").to_pylist(), batch.column("text").to_pylist()):
             n = 0
-            for unit, start, end in units(text):
-                words = unit.lower().split()
+            for words, start, end in units(text):
                 if len(words) >= MIN_UNIT_WORDS:
                     for column, value in zip(rows, (xxhash.xxh3_128_digest(" ".join(words).encode()), rank, n, start, end, len(words))):
                         column.append(value)

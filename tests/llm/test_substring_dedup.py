@@ -3,8 +3,9 @@ from tests.llm.conftest import prose
 
 
 def test_units_keep_offsets():
-    text = "Ein Satz. Noch einer!\n\nlast ünit? end"
-    assert [(text[a:b], u) for u, a, b in U.units(text)] == [(u, u) for u in ("Ein Satz.", "Noch einer!", "last ünit?", "end")]
+    text = "Ein Satz steht hier. Noch einer! Und der  LETZTE.\n\nünit? end\nA!! B!! C!! D!! E!!"
+    want = ["Ein Satz steht hier.", "Noch einer! Und der  LETZTE.", "ünit? end", "A!! B!! C!! D!!", "E!!"]
+    assert [(w, text[a:b]) for w, a, b in U.units(text)] == [(x.lower().split(), x) for x in want]
 
 
 def brute(texts):
@@ -12,8 +13,7 @@ def brute(texts):
     seen, out = {}, {}
     for d in order:
         n, runs = 0, []
-        for u, a, b in U.units(d[2]):
-            w = u.lower().split()
+        for w, a, b in U.units(d[2]):
             if len(w) < U.MIN_UNIT_WORDS:
                 continue
             key = " ".join(w)
