@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import as_bytes, table, written
+from nearfold.llm.common import as_bytes, table, to_python, written
 from nearfold.llm.simhash import TO_LOWER
 
 HEAD = 200_000
@@ -221,11 +221,25 @@ def _score(shared, kind: str):
     return run
 
 
+def frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """Words and counts of at most HEAD words, by falling count: those above the least bound, in steps of a sixteenth of a power of 2, that leaves no more."""
+    step = F.floor(F.log2("n") * 16)
+    left, bound = HEAD, None
+    for s, words in sorted(((r["s"], r["words"]) for r in counts.groupBy(step.alias("s")).agg(F.count("n").alias("words")).collect()), reverse=True):
+        if words > left:
+            break
+        left, bound = left - words, s
+    if bound is None:
+        return []
+    found = counts.where(step >= bound).toArrow()
+    return sorted(zip((bytes(w) for w in found.column("word").to_pylist()), found.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
+
+
 def train(train_docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and the table of all word counts (word, n)."""
-    counts = written(train_docs.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    counts = written(to_python(train_docs.select("text")).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
-    head = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow().to_pylist()]
+    head = frequent(counts)
     texts = train_docs.count()
     if texts and END not in dict(head):
         head.append((END, texts))
@@ -241,7 +255,7 @@ def train(train_docs: DataFrame) -> tuple[Model, DataFrame]:
     kinds = {units.types[t]: tuple(endings[t]) for t in types}
     left = [nv for t, nv in endings.items() if t not in units.types]
     kinds[units.rest] = (sum(n for n, _ in left), sum(v for _, v in left))
-    pairs = train_docs.select("text").mapInArrow(_count_bigrams(units), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs = to_python(train_docs.select("text")).mapInArrow(_count_bigrams(units), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     bigrams = np.zeros(units.size**2)
     bigrams[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
     return Model(units, bigrams.reshape(units.size, units.size), head, kinds, total, distinct), counts
@@ -254,7 +268,7 @@ def class_scores(docs: DataFrame, held_out) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = f"doc_id {kind}, text_key long, word binary, n long, n_tokens long, n_known long, base_score double, score double"
-    rows = docs.select("doc_id", "text").mapInArrow(_score(shared, kind), fields)
+    rows = to_python(docs.select("doc_id", "text")).mapInArrow(_score(shared, kind), fields)
     joined = rows.join(counts.withColumnRenamed("n", "c"), "word", "left")
     log = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))
     copies = F.sum(F.when(F.col("n") == 0, 1).otherwise(0)).alias("copies")

@@ -35,13 +35,21 @@ def test_base_score_equals_brute_force(docs, texts, head, monkeypatch):
 
 
 def test_scores_do_not_depend_on_the_head(docs, monkeypatch):
-    monkeypatch.setattr(C, "CLUSTERED", 10)
+    monkeypatch.setattr(C, "CLUSTERED", 4)
     monkeypatch.setattr(C, "TYPES", 4)
     whole = sorted((str(r["doc_id"]), round(r["score"], 6)) for r in C.class_scores(docs, is_held()).collect())
-    monkeypatch.setattr(C, "HEAD", 12)
+    monkeypatch.setattr(C, "HEAD", 20)
     assert whole == sorted((str(r["doc_id"]), round(r["score"], 6)) for r in C.class_scores(docs, is_held()).collect())
 
 
+def test_frequent_words(spark, monkeypatch):
+    counts = spark.createDataFrame([(f"w{i}".encode(), 1 + i // 10) for i in range(100)], "word binary, n long")
+    for most in (0, 5, 10, 37, 100, 500):
+        monkeypatch.setattr(C, "HEAD", most)
+        got = C.frequent(counts)
+        assert len(got) == min(most // 10 * 10, 100) and sorted(n for _, n in got) == sorted(1 + i // 10 for i in range(100))[100 - len(got) :]
+
+
 def test_probabilities_sum_to_one(docs, monkeypatch):
     monkeypatch.setattr(C, "CLUSTERED", 10)
     monkeypatch.setattr(C, "TYPES", 4)
