@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]"
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +84,15 @@ def rank_column(doc_id: str = "doc_id", text: str = "text"):
     return F.unhex(F.concat(number, F.lpad(F.hex(F.xxhash64(text_or_empty(text))), 16, "0")))
 
 
+def to_python(df: DataFrame) -> DataFrame:
+    """df, whose Arrow batches are bounded in bytes by a setting of its session, for texts can be long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)[a-z]*", str(conf.get(key, None) or 0).lower()).groups()
+    if not 0 < int(number) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(unit, 0) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def afresh(digest: str = "digest"):
     """A digest of 32 bytes under an expression of its own. Where rows dealt out by the digest meet a join or a
     grouping by this, they are dealt anew, so a large partition of the join can be split."""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import as_bytes, boxed, rank_column, table, text_or_empty, with_text, written
+from nearfold.llm.common import as_bytes, boxed, rank_column, table, text_or_empty, to_python, with_text, written
 
 KEY_WORDS = 5
 RARE_HOLDERS = 100
@@ -113,7 +113,7 @@ def _align(batches):
 def hashed_lines(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(rank_column().alias("rank"), "doc_id", text_or_empty().alias("text"))
-    return written(rows.mapInArrow(_hashed, f"rank binary, doc_id {kind}, lines array<long>, words array<int>, keys array<long>"), "lines")
+    return written(to_python(rows).mapInArrow(_hashed, f"rank binary, doc_id {kind}, lines array<long>, words array<int>, keys array<long>"), "lines")
 
 
 def candidate_pairs(lines: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import as_bytes, table
+from nearfold.llm.common import as_bytes, table, to_python
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -161,7 +161,7 @@ def language_references(docs: DataFrame) -> dict:
     """A Reference for each language, and for the whole corpus under "". What comes to the driver is bounded by the number of languages."""
     from pyspark.sql import Window
 
-    counts = docs.select("text", "lang").mapInArrow(_count, "lang string, kind string, item binary, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    counts = to_python(docs.select("text", "lang")).mapInArrow(_count, "lang string, kind string, item binary, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
     def first(df: DataFrame, *by) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("lang", "kind", *by).orderBy(F.desc("n"), "item"))
@@ -219,12 +219,12 @@ def quality(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, both distances and the verdict for each row of docs."""
     judge = _judge(language_references(docs), keep_only=False)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "lang").mapInArrow(judge, f"doc_id {kind}, {FIELDS}")
+    return to_python(docs.select("doc_id", "text", "lang")).mapInArrow(judge, f"doc_id {kind}, {FIELDS}")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, unchanged."""
-    return docs.mapInArrow(_judge(language_references(docs), keep_only=True), docs.schema)
+    return to_python(docs).mapInArrow(_judge(language_references(docs), keep_only=True), docs.schema)
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from nearfold.llm.common import table
+from nearfold.llm.common import table, to_python
 
 N_BEST = 4
 MARK = "▁"
@@ -389,7 +389,7 @@ def _encode(path: str, n: int):
 def encode_nbest(docs: DataFrame, model_path: str, n: int = N_BEST) -> DataFrame:
     """doc_id, n_ids, ids of the best segmentation, nbest_scores, nbest_sizes and round_trip for each row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_encode(model_path, n), f"doc_id {kind}, {FIELDS}")
+    return to_python(docs.select("doc_id", "text")).mapInArrow(_encode(model_path, n), f"doc_id {kind}, {FIELDS}")
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:

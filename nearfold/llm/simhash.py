@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import as_bytes, boxed, rank_column, segments, table, written
+from nearfold.llm.common import as_bytes, boxed, rank_column, segments, table, to_python, written
 from nearfold.llm.components import components
 
 SHINGLE = 4
@@ -189,7 +189,7 @@ def links(prints: DataFrame, refine: bool) -> DataFrame:
 def near_dedup(docs: DataFrame, refine: bool | None = None) -> DataFrame:
     """doc_id, fp, component_id for each row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = written(docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp long"), "fingerprints")
+    rows = written(to_python(docs.select("doc_id", "text")).mapInArrow(_fingerprints, f"doc_id {kind}, fp long"), "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     refine = prints.count() > REFINE_AT if refine is None else refine
     roots = components(links(prints, refine))

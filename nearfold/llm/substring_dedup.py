@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import boxed, rank_column, segments, table, text_or_empty, with_text, written
+from nearfold.llm.common import boxed, rank_column, segments, table, text_or_empty, to_python, with_text, written
 
 MIN_UNIT_WORDS = 4
 MIN_RUN_WORDS = 25
@@ -94,7 +94,7 @@ def id_of(rank) -> F.Column:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """rank, start, end, words, first: the runs to be removed, and the rank of the document that keeps the first unit's earliest occurrence."""
     ranked = docs.select(rank_column().alias("rank"), text_or_empty().alias("text"))
-    found = ranked.mapInArrow(_digests, "digest binary, rank binary, unit int, start int, end int, words int")
+    found = to_python(ranked).mapInArrow(_digests, "digest binary, rank binary, unit int, start int, end int, words int")
     groups = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
     repeated = written(groups.where("n > 1").select("digest", "first"), "repeated-units")
     occurrences = found.join(repeated.hint("shuffle_hash"), "digest").repartition("rank").sortWithinPartitions("rank")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import afresh, as_bytes, scratch_path, text_or_empty
+from nearfold.llm.common import afresh, as_bytes, scratch_path, text_or_empty, to_python
 
 #: Words held by one Python worker's memo; it starts anew when full.
 MEMO_WORDS = 300_000
@@ -101,7 +101,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     keyed = with_digest(docs)
     contents = keyed.groupBy("digest").agg(F.first("content").alias("content"))
     misses = contents.join(stored(), "digest", "left_anti")
-    misses.select("digest", "content").mapInArrow(_encode(tokenizer_path, version), CACHE).write.mode("append").parquet(cache_path)
+    to_python(misses.select("digest", "content")).mapInArrow(_encode(tokenizer_path, version), CACHE).write.mode("append").parquet(cache_path)
     # One count for each digest, even where two jobs appended the same one.
     counts = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counts = counts.select(afresh().alias("known"), "n_tokens")
