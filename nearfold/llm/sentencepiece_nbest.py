@@ -40,7 +40,7 @@ MARK = "▁"
 #: Scores at or below are sentinels, not of usual pieces.
 SENTINEL = -1e8
 BELOW = 10.0
-MEMO_WORDS = 200_000
+MEMO_WORDS = 120_000
 #: Characters of the longest word that is analysed together with others.
 LONGEST = 48
 
@@ -368,8 +368,8 @@ def _encode(path: str, n: int):
     def run(batches):
         encoder = _encoder(path, n)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
                 flat, sizes, scores, counts, trips = [], [], [], [], []
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for text, (ids, best, infos) in zip(texts, encoder.encode_all(texts)):
