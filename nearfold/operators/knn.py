@@ -87,6 +87,19 @@ def exact_knn(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return top_k(found, k, ["qid"], ["dist", "vec_id"]).select("qid", "rank", "vec_id", "dist")
 
 
+def against(base: DataFrame, queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Each row of base with each of a stated set of queries (qid, q), of which blocks of bounded size are broadcast in turn. For rankings that need expressions; exact_knn is faster for distances."""
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("q")), F.lit(1)).alias("d")).first()
+    block = max(1, min(QUERY_BLOCK, block_bytes // (8 * max(1, size["d"]))))
+    parts = max(1, -(-size["n"] // block))
+    dealt = queries.withColumn("_part", F.pmod(F.xxhash64("qid"), F.lit(parts)))
+    out = None
+    for i in range(parts):
+        pairs = base.crossJoin(F.broadcast(dealt.where(F.col("_part") == i).drop("_part")))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
 def recall(result: DataFrame, truth: DataFrame, k: int, m: int | None = None) -> DataFrame:
     """recall: the share of the first k results that are among the first m true neighbours (m = k unless given). Both: qid, rank, vec_id."""
     m = m or k

@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.functions import vector as V
 from nearfold.functions.codebook import normal_levels
+from nearfold.operators.knn import matrix
 
 
 def random_rotation(d: int, seed: int = 42) -> np.ndarray:
@@ -53,13 +55,20 @@ def kmeans_1d(values: DataFrame, k: int, rounds: int = 25) -> list[float]:
 
 
 def second_moment(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """i, j, m: the uncentred second-moment matrix, upper triangle. Each row is expanded in its own task; sums are partial first."""
-    v = V.doubles(column)
-    rows = vectors.select(v.alias("v"))
-    n = rows.count()
-    first = rows.select("v", F.posexplode("v").alias("i", "a"))
-    both = first.select("i", "a", F.posexplode("v").alias("j", "b")).where("i <= j")
-    return both.groupBy("i", "j").agg((F.sum(F.col("a") * F.col("b")) / n).alias("m"))
+    """i, j, m: the uncentred second-moment matrix, upper triangle. Each partition adds up its own by matrix products."""
+    sums = vectors.select(F.col(column).alias("v")).mapInArrow(_products, "i int, j int, s double, n long")
+    return sums.groupBy("i", "j").agg((F.sum("s") / F.sum("n")).alias("m"))
+
+
+def _products(batches):
+    total, n = None, 0
+    for batch in batches:
+        if batch.num_rows:
+            x = matrix(batch.column("v"))
+            total, n = x.T @ x + (0 if total is None else total), n + len(x)
+    if n:
+        i, j = np.triu_indices(len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j]), pa.array(np.full(len(i), n))], names=["i", "j", "s", "n"])
 
 
 def principal_axes(vectors: DataFrame, k: int, column: str = "embedding") -> np.ndarray:
@@ -83,11 +92,29 @@ def class_scatter_axes(vectors: DataFrame, label: str, k: int, column: str = "em
 
 
 def group_means(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """key, n, mean of each group: sums by component, partial first, so a group of any size is summed everywhere."""
-    parts = vectors.select(key, F.posexplode(V.doubles(column)).alias("pos", "x")).groupBy(key, "pos").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
+    """key, n, mean of each group (integer keys): each batch is summed by key and component first, so a group of any size is summed everywhere."""
+    kind = vectors.schema[key].dataType.simpleString()
+    sums = vectors.select(key, F.col(column).alias("v")).mapInArrow(_sums(key), f"{key} {kind}, pos int, s double, n long")
+    parts = sums.groupBy(key, "pos").agg((F.sum("s") / F.sum("n")).alias("m"), F.sum("n").alias("n"))
     return parts.groupBy(key).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("s")).select(key, "n", F.transform("s", lambda x: x["m"]).alias("mean"))
 
 
+def _sums(key: str):
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column("v"))
+            keys, at, n = np.unique(batch.column(key).to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+            total = np.zeros((len(keys), x.shape[1]))
+            np.add.at(total, at, x)
+            d = x.shape[1]
+            columns = [pa.array(np.repeat(keys, d)).cast(batch.schema.field(key).type), pa.array(np.tile(np.arange(d, dtype=np.int32), len(keys))), pa.array(total.ravel()), pa.array(np.repeat(n, d))]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "pos", "s", "n"])
+
+    return run
+
+
 @dataclass(frozen=True)
 class Quantiser:
     """Primary levels for each component, and levels for what they leave over."""

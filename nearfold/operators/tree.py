@@ -24,6 +24,11 @@ class Tree:
     k2: int
     k3: int
 
+    def held(self) -> "Tree":
+        """The same tables, held by the driver: at most k1 * k2 * k3 rows, which plans then need not make again."""
+        tables = [t.sparkSession.createDataFrame(t.collect(), t.schema) for t in (self.l1, self.l2, self.l3)]
+        return Tree(*tables, self.k2, self.k3)
+
     def assign(self, vectors: DataFrame) -> DataFrame:
         """vec_id, embedding, c1, c2, c3, cell_id and r3, the residual of the cell's absolute centroid."""
         first = level_down(vectors.select("vec_id", "embedding", V.doubles("embedding").alias("r")), self.l1, [], "c1")

@@ -91,6 +91,7 @@ def s_rec(a: str, levels) -> str:
     return f"list_transform({a}, lambda c: {s_list(levels)}[c + 1])"
 
 
+NEXT = "nx AS (SELECT a.vec_id AS qid, b.vec_id, a.v AS q, b.v FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)"
 E = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT vec_id AS qid, v AS q FROM e WHERE vec_id % 100 = 0)"
 PAIRS = f"{E}, pairs AS (SELECT qid, vec_id, q, v, round({s_l2('q', 'v')}, 6) AS dist FROM q, e), knn AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS INTEGER) AS rank, vec_id, dist FROM pairs QUALIFY rank <= {TOP})"
 CODED = f"{E}, c0 AS (SELECT *, {s_quant('v', QUANT.primary)} AS code FROM e), c1_ AS (SELECT *, {s_rec('code', QUANT.primary)} AS y FROM c0), c2_ AS (SELECT *, {s_quant(s_sub('v', 'y'), QUANT.residual)} AS residual_code FROM c1_), coded AS (SELECT *, {s_rec('residual_code', QUANT.residual)} AS z FROM c2_)"
@@ -149,7 +150,7 @@ def coded(spark, d) -> DataFrame:
 
 
 def tree(spark, d) -> T.Tree:
-    return T.seeded_tree(embeddings(spark, d), F.expr(ROOTS), K2, K3)
+    return T.seeded_tree(embeddings(spark, d), F.expr(ROOTS), K2, K3).held()
 
 
 def cells(spark, d) -> DataFrame:
@@ -313,32 +314,31 @@ def l2_normalize(spark, d):
     return tripled.select("vec_id", r6(F.aggregate(V.l2_normalize(F.col("v")), F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
-def _pairs(spark, d):
-    """All rows with all queries: a stated query set, in broadcast blocks of bounded size."""
-    return vectors(spark, d).crossJoin(F.broadcast(queries_of(spark, d)))
+def _next(rows: DataFrame, column: str = "v") -> DataFrame:
+    """Each row as qid, q, with the row of the next id."""
+    a = rows.select(F.col("vec_id").alias("qid"), F.col(column).alias("q"), (F.col("vec_id") + 1).alias("vec_id"))
+    return a.join(rows, "vec_id")
 
 
-@query(f"WITH {PAIRS} SELECT qid, vec_id, dist FROM pairs")
+@query(f"WITH {E}, {NEXT} SELECT qid, vec_id, round({s_l2('q', 'v')}, 6) AS dist FROM nx")
 def l2sq(spark, d):
-    return _pairs(spark, d).select("qid", "vec_id", r6(V.l2sq(F.col("q"), F.col("v"))).alias("dist"))
+    return _next(vectors(spark, d)).select("qid", "vec_id", r6(V.l2sq(F.col("q"), F.col("v"))).alias("dist"))
 
 
-@query(f"WITH {E}, i AS (SELECT vec_id, list_transform(v, lambda x: {INT8}) AS b FROM e) SELECT a.vec_id AS qid, i.vec_id, CAST({s_l2('a.b', 'i.b')} AS INTEGER) AS dist FROM i, i a WHERE a.vec_id % 100 = 0")
+@query(f"WITH {E}, i AS (SELECT vec_id, list_transform(v, lambda x: {INT8}) AS b FROM e) SELECT a.vec_id AS qid, i.vec_id, CAST({s_l2('a.b', 'i.b')} AS INTEGER) AS dist FROM i JOIN i a ON i.vec_id = a.vec_id + 1")
 def l2sq_int(spark, d):
-    rows = _int8(spark, d)
-    q = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    return rows.crossJoin(F.broadcast(q)).select("qid", "vec_id", V.l2sq_int(F.col("q"), F.col("embedding")).alias("dist"))
+    return _next(_int8(spark, d), "embedding").select("qid", "vec_id", V.l2sq_int(F.col("q"), F.col("embedding")).alias("dist"))
 
 
-@query(f"WITH {E} SELECT qid, vec_id, round({s_sq('v')} - 2 * {s_dot('q', 'v')}, 6) AS dist, round({s_sq('q')} + {s_sq('v')} - 2 * {s_dot('q', 'v')}, 6) AS full_dist FROM q, e")
+@query(f"WITH {E}, {NEXT} SELECT qid, vec_id, round({s_sq('v')} - 2 * {s_dot('q', 'v')}, 6) AS dist, round({s_sq('q')} + {s_sq('v')} - 2 * {s_dot('q', 'v')}, 6) AS full_dist FROM nx")
 def l2_expanded(spark, d):
     q, v = F.col("q"), F.col("v")
-    return _pairs(spark, d).select("qid", "vec_id", r6(V.l2_expanded(q, v, V.sqnorm(v))).alias("dist"), r6(V.sqnorm(q) + V.sqnorm(v) - 2 * V.dot(q, v)).alias("full_dist"))
+    return _next(vectors(spark, d)).select("qid", "vec_id", r6(V.l2_expanded(q, v, V.sqnorm(v))).alias("dist"), r6(V.sqnorm(q) + V.sqnorm(v) - 2 * V.dot(q, v)).alias("full_dist"))
 
 
-@query(f"WITH {E} SELECT qid, vec_id, round({s_dot('q', 'v')}, 6) AS dot FROM q, e")
+@query(f"WITH {E}, {NEXT} SELECT qid, vec_id, round({s_dot('q', 'v')}, 6) AS dot FROM nx")
 def dot(spark, d):
-    return _pairs(spark, d).select("qid", "vec_id", r6(V.dot(F.col("q"), F.col("v"))).alias("dot"))
+    return _next(vectors(spark, d)).select("qid", "vec_id", r6(V.dot(F.col("q"), F.col("v"))).alias("dot"))
 
 
 @query(f"WITH {E} SELECT vec_id, round({s_sq('v')}, 6) AS norm FROM e")
@@ -430,14 +430,20 @@ def best_route_residual(spark, d):
 # Distances from codes
 
 
-@query(f"WITH {CODED} SELECT qid, vec_id, round({s_l2('q', 'y')}, 6) AS adc FROM q, coded")
+def _next_coded(spark, d):
+    """The codes of each row, with the vector of the row before it as the query."""
+    q = embeddings(spark, d).select(F.col("vec_id").alias("qid"), V.doubles("embedding").alias("q"), (F.col("vec_id") + 1).alias("vec_id"))
+    return coded(spark, d).join(q, "vec_id")
+
+
+@query(f"WITH {CODED} SELECT a.vec_id AS qid, b.vec_id, round({s_l2('a.v', 'b.y')}, 6) AS adc FROM coded a JOIN coded b ON b.vec_id = a.vec_id + 1")
 def adc_distance(spark, d):
-    return coded(spark, d).crossJoin(F.broadcast(queries_of(spark, d))).select("qid", "vec_id", r6(QUANT.code_distance(F.col("q"))).alias("adc"))
+    return _next_coded(spark, d).select("qid", "vec_id", r6(QUANT.code_distance(F.col("q"))).alias("adc"))
 
 
-@query(f"WITH {CODED} SELECT qid, vec_id, round({s_l2('q', s_add('y', 'z'))}, 5) AS dist FROM q, coded")
+@query(f"WITH {CODED} SELECT a.vec_id AS qid, b.vec_id, round({s_l2('a.v', s_add('b.y', 'b.z'))}, 5) AS dist FROM coded a JOIN coded b ON b.vec_id = a.vec_id + 1")
 def composite_distance(spark, d):
-    return coded(spark, d).crossJoin(F.broadcast(queries_of(spark, d))).select("qid", "vec_id", F.round(QUANT.composite_distance(F.col("q")), 5).alias("dist"))
+    return _next_coded(spark, d).select("qid", "vec_id", F.round(QUANT.composite_distance(F.col("q")), 5).alias("dist"))
 
 
 @query(f"WITH {TREE} SELECT qid, block_id, vec_id, round(adc, 6) AS adc FROM scan")
@@ -445,11 +451,10 @@ def adc_corrected(spark, d):
     return scanned(spark, d).select("qid", "block_id", "vec_id", r6("adc").alias("adc"))
 
 
-@query(f"WITH {E}, p AS (SELECT vec_id, [" + ", ".join(s_dot("v", s_list(r)) for r in PROJECTION) + f"] AS p FROM e) SELECT a.vec_id AS qid, p.vec_id, round({s_l2('a.p', 'p.p')}, 6) AS dist FROM p, p a WHERE a.vec_id % 100 = 0")
+@query(f"WITH {E}, p AS (SELECT vec_id, [" + ", ".join(s_dot("v", s_list(r)) for r in PROJECTION) + f"] AS p FROM e) SELECT a.vec_id AS qid, p.vec_id, round({s_l2('a.p', 'p.p')}, 6) AS dist FROM p JOIN p a ON p.vec_id = a.vec_id + 1")
 def jl_scan(spark, d):
     p = vectors(spark, d).select("vec_id", V.matvec(PROJECTION, F.col("v")).alias("p"))
-    q = p.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("p").alias("q"))
-    return p.crossJoin(F.broadcast(q)).select("qid", "vec_id", r6(V.l2sq(F.col("q"), F.col("p"))).alias("dist"))
+    return _next(p, "p").select("qid", "vec_id", r6(V.l2sq(F.col("q"), F.col("p"))).alias("dist"))
 
 
 # Training
@@ -521,7 +526,7 @@ def scatter_axes(spark, d):
 
 @query()
 def train_tree(spark, d):
-    t = T.train_tree(embeddings(spark, d), 4, K2, K3)
+    t = T.train_tree(embeddings(spark, d), 4, K2, K3).held()
     return t.assign(embeddings(spark, d)).select("vec_id", "c1", "c2", "c3", "cell_id")
 
 
@@ -699,7 +704,7 @@ TRUTH = f"truth AS (SELECT qid, vec_id, CAST(row_number() OVER (PARTITION BY qid
 
 
 def _approx(spark, d):
-    rows = coded(spark, d).crossJoin(F.broadcast(queries_of(spark, d))).withColumn("adc", QUANT.code_distance(F.col("q")))
+    rows = N.against(coded(spark, d), queries_of(spark, d)).withColumn("adc", QUANT.code_distance(F.col("q")))
     return N.top_k(rows, TOP, ["qid"], ["adc", "vec_id"]).select("qid", "rank", "vec_id")
 
 
@@ -745,19 +750,19 @@ def region_reuse(spark, d):
 
 @query(f"WITH {PAIRS} SELECT vec_id, dist FROM pairs WHERE qid = 0 ORDER BY dist, vec_id LIMIT {TOP}")
 def topk_sort(spark, d):
-    return _pairs(spark, d).where("qid = 0").select("vec_id", r6(V.l2sq(F.col("q"), F.col("v"))).alias("dist")).orderBy("dist", "vec_id").limit(TOP)
+    return N.against(vectors(spark, d), queries_of(spark, d).where("qid = 0")).select("vec_id", r6(V.l2sq(F.col("q"), F.col("v"))).alias("dist")).orderBy("dist", "vec_id").limit(TOP)
 
 
 @query(f"WITH {E} SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS INTEGER) AS rank, vec_id, dist FROM (SELECT qid, vec_id, round({s_l2('q', 'v')}, 1) AS dist FROM q, e) QUALIFY rank <= {TOP}")
 def topk_tiebreak(spark, d):
-    coarse = _pairs(spark, d).select("qid", "vec_id", F.round(V.l2sq(F.col("q"), F.col("v")), 1).alias("dist"))
+    coarse = N.against(vectors(spark, d), queries_of(spark, d)).select("qid", "vec_id", F.round(V.l2sq(F.col("q"), F.col("v")), 1).alias("dist"))
     return N.top_k(coarse, TOP, ["qid"], ["dist", "vec_id"]).select("qid", "rank", "vec_id", "dist")
 
 
 @query(f"WITH {CODED}, l AS (SELECT coded.*, label AS list_id FROM coded), s AS (SELECT qid, vec_id, y, z, q, {s_l2('q', 'y')} AS adc FROM q, l WHERE list_id < 5), k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY adc, vec_id) <= 40) SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS INTEGER) AS rank, vec_id, dist FROM (SELECT qid, vec_id, round({s_l2('q', s_add('y', 'z'))}, 5) AS dist FROM k) QUALIFY rank <= {TOP}")
 def ivf_topck(spark, d):
     """Lists are the labels; those below 5 are probed."""
-    lists = coded(spark, d).where("label < 5").crossJoin(F.broadcast(queries_of(spark, d))).withColumn("adc", QUANT.code_distance(F.col("q")))
+    lists = N.against(coded(spark, d).where("label < 5"), queries_of(spark, d)).withColumn("adc", QUANT.code_distance(F.col("q")))
     kept = N.top_k(lists, 40, ["qid"], ["adc", "vec_id"], "_r").withColumn("dist", F.round(QUANT.composite_distance(F.col("q")), 5))
     return N.top_k(kept, TOP, ["qid"], ["dist", "vec_id"]).select("qid", "rank", "vec_id", "dist")
 
