@@ -1,10 +1,9 @@
 """Line dedup by pairwise alignment.
 
-Documents are paired by shared rare lines: each document with the earliest
-holder of each of its rare lines, so a line of any number of holders makes one
-pair for each, never all pairs. A line is rare if at most RARE_HOLDERS documents
-or one in RARE_ONE_IN have it, or if no shared line of the document at hand is
-rarer; lines of under KEY_WORDS words don't pair documents.
+Documents are paired by shared lines: each document with the earliest holder of
+each of its lines, however common, so a line of any number of holders makes one
+pair for each, never all pairs. A line of under KEY_WORDS words pairs documents
+by the lines from it on that have KEY_WORDS words together.
 
 Each pair is aligned by patience diff over all its lines. Blocks of consecutive
 aligned lines with KEY_WORDS words or more are deleted from the later document.
@@ -22,14 +21,33 @@ from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.llm.common import as_bytes, boxed, rank_column, table, text_or_empty, to_python, with_text, written
 
 KEY_WORDS = 5
-RARE_HOLDERS = 100
-RARE_ONE_IN = 100
+
+
+def pairing_keys(hashes: list[int], words: list[int]) -> set[int]:
+    """Hashes of lines of KEY_WORDS words or more, and of the shortest blocks that reach as many from a shorter line on."""
+    import xxhash
+
+    keys = set()
+    end = total = 0  # words of lines start to end
+    for start, n in enumerate(words):
+        while end < len(words) and total < KEY_WORDS:
+            total += words[end]
+            end += 1
+        if total < KEY_WORDS:
+            break
+        if n >= KEY_WORDS:
+            keys.add(hashes[start])
+        elif n:
+            block = b"".join(h.to_bytes(8, "little", signed=True) for h in hashes[start:end])
+            keys.add(xxhash.xxh64_intdigest(block) - (1 << 63))
+        total -= n
+    return keys
 
 
 def _hashed(batches):
@@ -41,7 +59,7 @@ def _hashed(batches):
             lines = text.split(b"\n")
             words = [len(x.split()) for x in lines]
             hashes = [xxhash.xxh64_intdigest(x.strip()) - (1 << 63) for x in lines]
-            for column, value in zip(rows, (hashes, words, list({h for h, n in zip(hashes, words) if n >= KEY_WORDS}))):
+            for column, value in zip(rows, (hashes, words, list(pairing_keys(hashes, words)))):
                 column.append(value)
         types = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column("rank"), batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(rows, types))], names=["rank", "doc_id", "lines", "words", "keys"])
@@ -117,15 +135,11 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(lines: DataFrame) -> DataFrame:
-    """rank, first: documents and the earliest holders of their rare lines."""
+    """rank, first: documents and the earliest holders of their lines."""
     keys = lines.select("rank", F.explode("keys").alias("key"))
-    holders = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")).where("n > 1"), "holders")
-    bound = max(RARE_HOLDERS, lines.count() // RARE_ONE_IN)
-    # Rows equal in id and text meet by distinct(), under another key than the join's, so that a common line's rows can be split there.
-    shared = keys.join(holders.hint("shuffle_hash"), "key").withColumn("key", F.bitwise_not("key")).distinct()
-    least = F.min("n").over(Window.partitionBy("rank"))
-    rare = shared.withColumn("least", least).where((F.col("n") <= bound) | (F.col("n") == F.col("least")))
-    return rare.where("first <> rank").select("rank", "first").distinct()
+    holders = written(keys.groupBy("key").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first <> last").select("key", "first"), "holders")
+    shared = keys.join(holders.hint("shuffle_hash"), "key")
+    return shared.where("first <> rank").select("rank", "first").distinct()
 
 
 def removed_lines(lines: DataFrame) -> DataFrame:

@@ -62,3 +62,18 @@ def test_a_common_line_pairs_each_document_once(spark):
     lines = L.hashed_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert L.candidate_pairs(lines).count() == 299
     assert L.removed_lines(lines).count() == 299
+
+
+def test_common_lines_pair_beside_rarer_ones(spark):
+    common = "a line of words that all of them have"
+    rows = [(i, f"{common}\nown line number {i} with words") for i in range(200)]
+    rows += [(1000, "a rarer line that only two documents have"), (1001, f"a rarer line that only two documents have\n{common}\nand a new line of words here")]
+    lines = L.hashed_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["removed"] for r in lines.join(L.removed_lines(lines), "rank").collect()}
+    assert got == {1001: [0, 1], **{i: [0] for i in range(1, 200)}}
+
+
+def test_blocks_of_short_lines_pair(spark):
+    rows = [(1, "Salt\nOil\nTwo eggs\n\nSome flour\nA cup of milk"), (2, "Other words stand here first\nSalt\nOil\nTwo eggs\n\nSome flour\nSugar"), (3, "Salt\nOil")]
+    lines = L.hashed_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["removed"] for r in lines.join(L.removed_lines(lines), "rank").collect()} == {2: [1, 2, 3, 4, 5]}
