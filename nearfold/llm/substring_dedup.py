@@ -3,8 +3,8 @@
 Units are normalised (lower case, one space between words) and their digests
 grouped over the whole corpus. The earliest occurrence by document rank and
 place stays. Every other occurrence is a repeat; repeats that follow each other
-in a document form a run, and runs of MIN_RUN_WORDS or more are returned with
-their offsets in the original text, in code points. Units of under
+in a document form a run, and every run is returned with its offsets in the
+original text, in code points. Units of under
 MIN_UNIT_WORDS words (what is left at the end of a line) are not hashed: between
 two repeats they belong to the run.
 
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from nearfold.llm.common import boxed, rank_column, segments, table, text_or_empty, to_python, with_text, written
 
 MIN_UNIT_WORDS = 4
-MIN_RUN_WORDS = 25
+#: Every repeated unit counts, so no run is too short.
+MIN_RUN_WORDS = MIN_UNIT_WORDS
 
 
 def units(text: str) -> list[tuple[list[str], int, int]]:
@@ -80,7 +81,7 @@ def _runs(batches):
                 found[-1] |= {"last": row["unit"], "end": row["end"], "words": found[-1]["words"] + row["words"]}
             else:
                 found.append({"last": row["unit"], "start": row["start"], "end": row["end"], "words": row["words"], "first": row["first"]})
-        if found := [x for x in found if x["words"] >= MIN_RUN_WORDS]:
+        if found:
             n = len(found)
             yield pa.RecordBatch.from_pydict({"rank": pa.array([row["rank"]] * n, pa.binary()), **{k: pa.array([x[k] for x in found], pa.int32()) for k in ("start", "end", "words")}, "first": pa.array([x["first"] for x in found], pa.binary())})
 

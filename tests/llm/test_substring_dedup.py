@@ -56,3 +56,11 @@ def test_negative_and_missing_ids(spark):
     rows = spark.createDataFrame([(-5, t), (2**62, t), (None, t)], "doc_id long, text string")
     got = {r[0]: r[1] for r in U.repeated_runs(rows).select(U.id_of("rank"), U.id_of("first")).collect()}
     assert got == {2**62: -5, None: -5}
+
+
+def test_short_repeats_are_runs(spark):
+    line = "All rights of this page reserved"
+    rows = spark.createDataFrame([(i, f"{prose(90 + i, 2, 20)}\n{line}\n{prose(190 + i, 2, 20)}") for i in range(4)], "doc_id long, text string")
+    runs = U.repeated_runs(rows)
+    assert sorted((r[0], r[1], r[2]) for r in runs.select(U.id_of("rank"), "words", U.id_of("first")).collect()) == [(i, 6, 0) for i in (1, 2, 3)]
+    assert [line in r["text"] for r in U.without_runs(rows, runs).orderBy("doc_id").collect()] == [True, False, False, False]
