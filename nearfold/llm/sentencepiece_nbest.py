@@ -3,23 +3,31 @@
 All segmentations of a text are the paths through a lattice whose arcs are
 pieces. A forward Viterbi pass gives the best score from the start to every
 position. Those scores are exact heuristics for an A* search from the end
-backwards: the first N paths that reach the start are the N best, in order.
-
-No piece continues over a blank mark that follows another character, so the
-lattice of a text is a chain of lattices of its words, and its N best paths
-combine those of its words. Words are analysed once for a memo of bounded size:
-their best path, and by how much their second path is worse. Only the N - 1
-words of least loss in a text can differ from their best path in its N best;
-these are searched by A*, and their paths combined best-first. Texts with runs
-of blanks are cut at those runs only.
+backwards: the first N paths that reach the start are the N best, in order. No
+position is left more than N times, so the search is linear in the length even
+where all paths are equally good, as in a long run of one character.
+
+No piece continues over a blank mark that follows another character, nor over a
+line end if no piece of the model holds one. So the lattice of a text is a chain
+of lattices of its units (a word with the blank or line end before it), and its
+N best paths combine those of its units. Units are analysed once for a memo of
+bounded size: their best path, and by how much their second path is worse. Only
+the N - 1 units of least loss in a text can differ from their best path in its N
+best; these are searched by A*, and their paths combined best-first. Texts with
+runs of blanks are cut at those runs only.
 
 Characters that are no piece are arcs of one character, scored below all usual
 pieces; they are encoded as byte pieces.
 
+All N segmentations are returned: the best as ids, each as the spans of those
+ids that it replaces (`segmentations` writes them out). round_trip says whether
+every one of them decodes to the text.
+
 Null and empty texts: no ids, one path of score 0, decoded to the empty text.
 Equal scores: the order of paths is the same for the same text. Repeated rows:
 each encoded. Empty table: no rows. Extra columns are ignored. A text that holds
-the blank mark itself decodes to a blank there, and round_trip is false.
+the blank mark itself decodes to a blank there, and round_trip is false. Null
+ids decode to a null text.
 """
 
 from __future__ import annotations
@@ -28,10 +36,13 @@ import functools
 import heapq
 import re
 from array import array
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from nearfold.llm.common import table, to_python
 
@@ -40,52 +51,39 @@ MARK = "▁"
 #: Scores at or below are sentinels, not of usual pieces.
 SENTINEL = -1e8
 BELOW = 10.0
-MEMO_WORDS = 120_000
-#: Characters of the longest word that is analysed together with others.
+#: Units of one generation of a worker's memo.
+MEMO_UNITS = 160_000
+#: Characters of the longest unit that is analysed together with others.
 LONGEST = 48
 
 
-#: Powers of an odd base modulo 2^64 and their inverses: hashes of substrings come from sums of prefixes.
-BASE = 0x9E3779B97F4A7C15
-POWERS = np.array([pow(BASE, i, 1 << 64) for i in range(LONGEST + 1)], np.uint64)
-INVERSES = np.array([pow(BASE, -i, 1 << 64) for i in range(LONGEST + 1)], np.uint64)
-
-
-def points(words: list[str], n: int) -> np.ndarray:
-    """Code points of words of n characters, a row each."""
-    return np.array(words, f"<U{n}").view(np.uint32).reshape(len(words), n)
-
-
-class HashTable:
-    """Distinct hashes with ids and scores, in buckets of a quarter of an entry on average."""
-
-    def __init__(self, hashes: np.ndarray, ids: np.ndarray, scores: np.ndarray):
-        bits = max(4, int(4 * len(hashes)).bit_length())
-        self.shift = np.uint64(64 - bits)
-        slot = self._slot(hashes)
-        order = np.argsort(slot, kind="stable")
-        self.hashes, self.ids, self.scores = hashes[order], ids[order], scores[order]
-        self.count = np.bincount(slot, minlength=1 << bits)
-        self.start = np.cumsum(self.count) - self.count
-
-    def _slot(self, hashes: np.ndarray) -> np.ndarray:
-        return ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> self.shift).astype(np.int64)
-
-    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the hashes that are there, ascending, and their places."""
-        slot = self._slot(wanted)
-        left = self.count[slot]
-        found = np.full(len(wanted), -1)
-        rows = np.flatnonzero(left)
-        at = self.start[slot[rows]]
-        while len(rows):
-            hit = self.hashes[at] == wanted[rows]
-            found[rows[hit]] = at[hit]
-            left[rows] -= 1
-            more = ~hit & (left[rows] > 0)
-            rows, at = rows[more], at[more] + 1
-        rows = np.flatnonzero(found >= 0)
-        return rows, found[rows]
+class Transitions:
+    """Child nodes of a trie by (node, letter): an open table of edges, with a further one for those that met a taken slot."""
+
+    def __init__(self, keys: np.ndarray, children: np.ndarray, odd: int = 0x9E3779B97F4A7C15):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.odd, self.shift = np.uint64(odd), np.uint64(64 - bits)
+        slot = self._slot(keys)
+        first = np.unique(slot, return_index=True)[1]
+        self.keys, self.children = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        self.keys[slot[first]], self.children[slot[first]] = keys[first], children[first]
+        rest = np.setdiff1d(np.arange(len(keys)), first)
+        self.more = np.zeros(1 << bits, bool)
+        self.more[slot[rest]] = True
+        self.next = Transitions(keys[rest], children[rest], (odd * 5 + 2) % (1 << 64) | 1) if len(rest) else None
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * self.odd) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The child of each edge, or -1."""
+        slot = self._slot(keys)
+        found = np.where(self.keys[slot] == keys, self.children[slot], -1)
+        if self.next:
+            other = np.flatnonzero(self.more[slot] & (found < 0))
+            if len(other):
+                found[other] = self.next.find(keys[other])
+        return found
 
 
 class Pieces:
@@ -108,15 +106,24 @@ class Pieces:
                 self.prefixes.setdefault(p[:j], -1)
             self.prefixes[p] = i
         self.byte_ids = {int(self.piece[i][3:5], 16): i for i in ids if model.is_byte(i)}
-        # Ids of single bytes by code point, and for each length the pieces by hash.
         self.ascii_ids = np.array([self.byte_ids.get(b, -1) for b in range(128)])
-        self.by_length: dict[int, HashTable] = {}
-        for n in sorted({len(self.piece[i]) for i in usual}):
-            same = np.array([i for i in usual if len(self.piece[i]) == n])
-            hashes = (points([self.piece[i] for i in same], n).astype(np.uint64) * POWERS[:n]).sum(axis=1, dtype=np.uint64)
-            self.by_length[n] = HashTable(hashes, same, np.array(self.score)[same])
+        self.lines_apart = not any("\n" in self.piece[i] for i in usual if len(self.piece[i]) > 1)
         values = {i: b for b, i in self.byte_ids.items()}
         self.bytes_of = [bytes([values[i]]) if i in values else b"" if model.is_control(i) or model.is_unknown(i) else self.piece[i].replace(MARK, " ").encode() for i in ids]
+        self._build_trie()
+
+    def _build_trie(self) -> None:
+        """Nodes are prefixes, the root is 0. Letters are the characters of pieces, from 1 on; no edge has letter 0."""
+        letters = {c: k for k, c in enumerate(sorted(set(chain.from_iterable(self.prefixes))), 1)}
+        self.letter = np.zeros(0x110000, np.int64)
+        self.letter[[ord(c) for c in letters]] = list(letters.values())
+        self.letters = len(letters) + 1
+        node = {"": 0} | {p: k for k, p in enumerate(self.prefixes, 1)}
+        edges = np.array([node[p[:-1]] * self.letters + letters[p[-1]] for p in self.prefixes], np.int64)
+        self.edges = Transitions(edges, np.arange(1, len(node), dtype=np.int32))
+        self.piece_at = np.array([-1, *self.prefixes.values()], np.int64)
+        self.scores = np.array(self.score)
+        self.longest = max(map(len, self.prefixes), default=1)
 
     def arcs(self, s: str) -> list[list[tuple[int, float, int]]]:
         """For each position, the arcs that end there: start, score, id (-1: a character that is no piece)."""
@@ -150,10 +157,14 @@ class Pieces:
         for j in range(1, len(ends)):
             forward[j] = max(forward[i] + x for i, x, _ in ends[j])
         out: list[tuple[float, list[int]]] = []
+        left = [n] * len(ends)  # the n best paths leave no position more than n times
         pushed = 0
-        heap: list = [(-forward[-1], 0, len(s), 0.0, None)]
+        heap: list = [(-forward[-1], len(s), 0, 0.0, None)]
         while heap and len(out) < n:
-            _, _, at, so_far, path = heapq.heappop(heap)
+            _, at, _, so_far, path = heapq.heappop(heap)  # of equal paths the one nearest to the start
+            if not left[at]:
+                continue
+            left[at] -= 1
             if not at:
                 arcs = []
                 while path:
@@ -162,8 +173,9 @@ class Pieces:
                 out.append((so_far, self.ids(s, arcs)))
                 continue
             for i, x, k in ends[at]:
-                pushed += 1
-                heapq.heappush(heap, (-(so_far + x + forward[i]), pushed, i, so_far + x, ((i, k), path)))
+                if left[i]:
+                    pushed += 1
+                    heapq.heappush(heap, (-(so_far + x + forward[i]), i, pushed, so_far + x, ((i, k), path)))
         return out
 
     def analyse(self, s: str) -> tuple[bytes, float, float]:
@@ -200,145 +212,253 @@ class Pieces:
         ids.reverse()
         return array("i", ids).tobytes(), first[n], first[n] - second[n]
 
-    def _analyse_equal(self, words: list[str], n: int) -> list[tuple[bytes, float, float] | None]:
-        """analyse for words of n characters at once. None for words with a character of several bytes that is no piece."""
-        cp = points(words, n)
-        sums = np.zeros((len(words), n + 1), np.uint64)
-        np.cumsum(cp.astype(np.uint64) * POWERS[:n], axis=1, out=sums[:, 1:])
-        first = np.full((n + 1, len(words)), -np.inf)
-        second = first.copy()
-        first[0] = 0.0
-        chosen, back = np.full((n + 1, len(words)), -1), np.zeros((n + 1, len(words)), np.int64)
-        for j in range(1, n + 1):
-            for size in sorted((m for m in self.by_length if m <= j), reverse=True):  # of equal paths the longest last piece
-                i = j - size
-                table_ = self.by_length[size]
-                rows, at = table_.find((sums[:, j] - sums[:, i]) * INVERSES[i])
-                if size == 1 and len(rows) < len(words):
-                    piece, gain = np.full(len(words), -1), np.full(len(words), self.unknown)
-                    piece[rows], gain[rows] = table_.ids[at], table_.scores[at]
-                    rows = slice(None)
-                elif not len(rows):
+    def _arcs_of(self, letters: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Starts and ids of the pieces of each length, from 1 on, within letters."""
+        out = []
+        at, node = np.flatnonzero(letters), np.zeros(1, np.int64)
+        for size in range(self.longest):
+            node = self.edges.find(node * self.letters + letters[at + size]).astype(np.int64)
+            alive = np.flatnonzero(node >= 0)
+            at, node = at[alive], node[alive]
+            piece = self.piece_at[node]
+            hit = np.flatnonzero(piece >= 0)
+            out.append((at[hit], piece[hit]))
+            if not len(at):
+                break
+        return out
+
+    def _analyse_short(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """analyse for units of at most LONGEST characters at once. Their places are laid out one after another, a unit's last place being its end."""
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        start = np.cumsum(size + 1) - size - 1
+        places = int(start[-1] + size[-1] + 1)
+        within = np.arange(places) - np.repeat(start, size + 1)
+        inner = np.ones(places, bool)
+        inner[start + size] = False
+        points = np.zeros(places + self.longest, np.int64)
+        points[:places][inner] = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = self.letter[points]
+        letters[:places][~inner] = 0
+        letters[places:] = 0
+        arcs = self._arcs_of(letters)
+        unknown = inner.copy()
+        if arcs:
+            unknown[arcs[0][0]] = False
+        lone = np.flatnonzero(unknown)
+        singles = arcs[0] if arcs else (lone[:0], lone[:0])
+        arcs[:1] = [(np.concatenate([singles[0], lone]), np.concatenate([singles[1], np.full(len(lone), -1)]))]
+        longest = int(size.max())
+        by_start = []
+        for at, piece in arcs:
+            order = np.argsort(within[at].astype(np.int16), kind="stable")
+            at, piece = at[order], piece[order]
+            gain = np.where(piece >= 0, self.scores[piece], self.unknown)
+            by_start.append((at, piece, gain, np.searchsorted(within[at], np.arange(longest + 1))))
+        first, second = np.full(places, -np.inf), np.full(places, -np.inf)
+        first[start] = 0.0
+        chosen, back = np.full(places, -1), np.zeros(places, np.int64)
+        for j in range(1, longest + 1):
+            for m in range(min(j, len(by_start)), 0, -1):  # of equal paths the longest last piece
+                at, piece, gain, cut = by_start[m - 1]
+                lo, hi = cut[j - m], cut[j - m + 1] if j - m < longest else len(at)
+                if lo == hi:
                     continue
-                else:
-                    piece, gain = table_.ids[at], table_.scores[at]
-                x, y = first[i, rows] + gain, second[i, rows] + gain
-                f = first[j, rows]
+                i = at[lo:hi]
+                e = i + m
+                x, y = first[i] + gain[lo:hi], second[i] + gain[lo:hi]
+                f = first[e]
                 better = x > f
-                second[j, rows] = np.where(better, np.maximum(f, y), np.maximum(second[j, rows], x))
-                first[j, rows] = np.where(better, x, f)
-                chosen[j, rows] = np.where(better, piece, chosen[j, rows])
-                back[j, rows] = np.where(better, size, back[j, rows])
-        path, count = np.zeros((len(words), n), np.int32), np.zeros(len(words), np.int64)
-        odd = np.zeros(len(words), bool)
-        at, row = np.full(len(words), n), np.arange(len(words))
+                second[e] = np.where(better, np.maximum(f, y), np.maximum(second[e], x))
+                won = np.flatnonzero(better)
+                e = e[won]
+                first[e], chosen[e], back[e] = x[won], piece[lo:hi][won], m
+        end = start + size
+        path, count = np.zeros((len(units), longest), np.int32), np.zeros(len(units), np.int64)
+        odd = np.zeros(len(units), bool)
+        row, at = np.flatnonzero(size), end[size > 0]
         while len(row):
-            piece = chosen[at, row]
-            single = piece < 0
-            if single.any():
-                code = cp[row, at - 1].astype(np.int64)
-                odd[row[single & (code >= 128)]] = True
-                piece = np.where(single, self.ascii_ids[np.minimum(code, 127)], piece)
+            piece = chosen[at]
+            single = np.flatnonzero(piece < 0)
+            if len(single):
+                code = points[at[single] - 1]
+                odd[row[single[code >= 128]]] = True
+                piece[single] = self.ascii_ids[np.minimum(code, 127)]
             count[row] += 1
-            path[row, n - count[row]] = piece
-            at = at - back[at, row]
-            row, at = row[at > 0], at[at > 0]
-        data, width = path.tobytes(), 4 * n
-        loss = (first[n] - second[n]).tolist()
-        return [None if o else (data[(r + 1) * width - 4 * c : (r + 1) * width], f, d) for r, (o, c, f, d) in enumerate(zip(odd.tolist(), count.tolist(), first[n].tolist(), loss))]
-
-    def analyse_many(self, words: list[str]) -> dict[str, tuple[bytes, float, float]]:
-        """analyse of each word. Words of equal length are analysed together, a few thousand at a time."""
-        by: dict[int, list[str]] = {}
-        for w in words:
-            by.setdefault(len(w), []).append(w)
-        out = {}
-        for n, same in by.items():
-            for lo in range(0, len(same), 8192):
-                part = same[lo : lo + 8192]
-                if n > LONGEST or len(part) < 8:
-                    out |= {w: self.analyse(w) for w in part}
-                else:
-                    out |= {w: x or self.analyse(w) for w, x in zip(part, self._analyse_equal(part, n))}
-        return out
+            path[row, longest - count[row]] = piece
+            at = at - back[at]
+            more = np.flatnonzero(at > start[row])
+            row, at = row[more], at[more]
+        ids = path[np.arange(longest) >= (longest - count)[:, None]]
+        score, loss = first[end], first[end] - second[end]
+        odd = np.flatnonzero(odd)
+        if not len(odd):
+            return ids, count, score, loss
+        split = np.split(ids, np.cumsum(count)[:-1])
+        for k in odd.tolist():  # of characters that are several bytes
+            split[k] = np.frombuffer(self.analyse(units[k])[0], np.int32)
+            count[k] = len(split[k])
+        return np.concatenate(split), count, score, loss
+
+    def analyse_many(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """analyse of each unit: ids of all, their number, score and loss by unit."""
+        parts = []
+        held: list[str] = []
+
+        def flush():
+            if held:
+                parts.append(self._analyse_short(held))
+                held.clear()
+
+        for u in units:
+            if len(u) > LONGEST:
+                flush()
+                ids, score, loss = self.analyse(u)
+                found = np.frombuffer(ids, np.int32)
+                parts.append((found, np.array([len(found)]), np.array([score]), np.array([loss])))
+            else:
+                held.append(u)
+                if len(held) == 16384:
+                    flush()
+        flush()
+        return tuple(np.concatenate(x) for x in zip(*parts))
 
     def decode(self, ids: list[int]) -> bytes:
         """The text, without the blank that encoding puts before it."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).removeprefix(b" ")
 
 
-def lattice_of(word: str) -> str:
-    return word if word[:1] == MARK else MARK + word
+def lattice_of(unit: str) -> str:
+    return unit if unit[:1] == MARK or unit[:1] == "\n" else MARK + unit
 
 
-#: Runs of blanks with what follows up to the next blank.
+def surface(lattice: str) -> bytes:
+    """What a lattice stands for in the text."""
+    return lattice.replace(MARK, " ").encode()
+
+
+#: Runs of blanks with what follows up to the next blank, without and with line ends as starts of units.
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
+LINES = re.compile(f"\n[^{MARK}\n]*|{MARK}+[^{MARK}\n]*")
+
+
+class Memo:
+    """Analyses by unit, each in a row of arrays."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.ids, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.score, self.loss, self.sound = np.zeros(0), np.zeros(0), np.zeros(0, bool)
+
+    def add(self, units: list[str], ids, size, score, loss, sound) -> None:
+        self.index.update(zip(units, range(len(self.index), len(self.index) + len(units))))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        for name, new in (("ids", ids), ("size", size), ("score", score), ("loss", loss), ("sound", sound)):
+            setattr(self, name, np.concatenate([getattr(self, name), new]))
+
+    def ids_of(self, at: np.ndarray) -> np.ndarray:
+        """Ids of the units at these rows, one after another."""
+        size = self.size[at]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Encoder:
-    """N-best encoding of whole texts with a memo of words: two generations, of which the older is dropped when the younger is full."""
+    """N-best encoding of whole texts with a memo of units: two generations, of which the older is dropped when the younger is full."""
 
     def __init__(self, pieces: Pieces, n: int = N_BEST):
         self.pieces, self.n = pieces, n
-        #: By word, without the blank marks before it if it is one mark, with them if they are several.
-        self.memo: dict[str, tuple[bytes, float, float]] = {}
-        self.older: dict[str, tuple[bytes, float, float]] = {}
+        self.memo, self.older = Memo(), Memo()
         self.paths: dict[str, list[tuple[float, list[int]]]] = {}
 
-    @staticmethod
-    def split(text: str) -> list[str]:
-        """The words of a text: each stands for itself with a blank mark before it, or holds its marks if there are several."""
+    def split(self, text: str) -> list[str]:
+        """The units of a text: one that begins with neither a blank mark nor a line end has one mark before it in the lattice."""
         marked = text.replace(" ", MARK)
-        if MARK * 2 in marked or marked[:1] == MARK:
-            return [c[1:] if c[1:2] != MARK else c for c in CHUNK.findall(MARK + marked)]
-        return marked.split(MARK)
+        apart = marked.replace("\n", MARK + "\n")
+        if MARK * 2 in apart or marked[:1] == MARK or (len(apart) > len(marked) and not self.pieces.lines_apart):
+            return self._split_slow(marked)
+        return apart.split(MARK)
+
+    def _split_slow(self, marked: str) -> list[str]:
+        found = (LINES if self.pieces.lines_apart else CHUNK).findall(MARK + marked)
+        return [c if c[:1] == "\n" or c[1:2] in (MARK, "\n") else c[1:] for c in found]
+
+    def _places(self, units: list[str]) -> np.ndarray:
+        """Rows of the memo of all units; the new ones are analysed first."""
+        if len(self.memo.index) > MEMO_UNITS:
+            self.memo, self.older = Memo(), self.memo
+        memo, older = self.memo, self.older
+        at = np.fromiter(map(memo.index.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return at
+        names = [units[i] for i in missing.tolist()]
+        fresh = set(names)
+        again = [w for w in fresh if w in older.index]
+        if again:
+            rows = np.fromiter(map(older.index.__getitem__, again), np.int64, len(again))
+            memo.add(again, older.ids_of(rows), older.size[rows], older.score[rows], older.loss[rows], older.sound[rows])
+            fresh.difference_update(again)
+        if fresh:
+            new = sorted(fresh, key=len)
+            lattices = list(map(lattice_of, new))
+            ids, size, score, loss = self.pieces.analyse_many(lattices)
+            memo.add(new, ids, size, score, loss, self._sound(lattices, ids, size))
+        at[missing] = np.fromiter(map(memo.index.__getitem__, names), np.int64, len(names))
+        return at
+
+    def _sound(self, lattices: list[str], ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the ids of each unit decode to it."""
+        decoded = list(map(self.pieces.bytes_of.__getitem__, ids.tolist()))
+        if b"".join(decoded) == surface("".join(lattices)):
+            return np.ones(len(lattices), bool)
+        ends = np.cumsum(size).tolist()
+        return np.array([b"".join(decoded[b - n : b]) == surface(x) for x, b, n in zip(lattices, ends, size.tolist())], bool)
 
     def encode_all(self, texts: list[str]):
-        """For each text: ids of the best path; the n best scores, each with the words that differ from their best path and their ids; the words' analyses."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo, self.older = {}, self.memo
-        if len(self.paths) > MEMO_WORDS // 8:
-            self.paths.clear()
+        """Of each text: ids of the best path (all texts' in one array) and their number; the n best scores, each with the changes
+        (place in the best ids, ids dropped there, ids instead); whether all of them decode to the text."""
         split = [self.split(t) if t else [] for t in texts]
-        memo, older = self.memo, self.older
-        fresh = set().union(*split).difference(memo)
-        once = {}
-        for w in [w for w in fresh if w in older]:
-            memo[w] = older[w]
-            fresh.discard(w)
-        if fresh:
-            marked = {lattice_of(w): w for w in fresh}
-            for m, found in self.pieces.analyse_many(list(marked)).items():
-                w = marked[m]
-                (once if "\n" in w else memo)[w] = found  # what stands around a line end rarely does so again
-        get = memo.get
-        for words in split:
-            if not words:
-                yield np.zeros(0, np.int32), [(0.0, {})], []
-                continue
-            infos = [get(w) or once[w] for w in words]
-            ids, scores, losses = zip(*infos)
-            loss = np.array(losses)
-            least = np.argsort(loss, kind="stable")[: self.n - 1] if len(loss) <= 64 else self._least(loss)
-            options = [(int(c), self._nbest(lattice_of(words[c]), ids[c])) for c in least if np.isfinite(loss[c])]
-            yield np.frombuffer(b"".join(ids), np.int32), self._combine(float(sum(scores)), options), infos
-
-    def encode(self, text: str):
-        return next(self.encode_all([text]))
-
-    def _nbest(self, chunk: str, best: bytes) -> list[tuple[float, list[int]]]:
-        found = self.paths.get(chunk)
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        units = list(chain.from_iterable(split))
+        at = self._places(units)
+        memo = self.memo
+        size, loss, sound = memo.size[at], memo.loss[at], memo.sound[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        total = np.bincount(np.repeat(np.arange(len(count)), count), memo.score[at], len(count))
+        best, trips, lo = [], [], 0
+        for k, n in enumerate(count.tolist()):
+            hi = lo + n
+            least = [lo + int(c) for c in self._least(loss[lo:hi])]
+            options = [(c, self._nbest(units[c], memo.ids_of(at[c : c + 1]))) for c in least]
+            paths = self._combine(float(total[k]), options)
+            first = ends[lo]
+            best.append([(score, [(int(ends[c] - first), int(size[c]), ids) for c, ids in sorted(other.items())]) for score, other in paths])
+            fits = sound[lo:hi].all() and MARK not in texts[k] if n else True
+            trips.append(bool(fits and all(b"".join(map(self.pieces.bytes_of.__getitem__, ids)) == surface(lattice_of(units[c])) for _, other in paths for c, ids in other.items())))
+            lo = hi
+        bounds = np.concatenate([[0], np.cumsum(count)])
+        return memo.ids_of(at), ends[bounds[1:]] - ends[bounds[:-1]], best, trips
+
+    def _nbest(self, unit: str, best: np.ndarray) -> list[tuple[float, list[int]]]:
+        found = self.paths.get(unit)
         if found is None:
-            found = self.pieces.nbest(chunk, self.n)
+            if len(self.paths) > MEMO_UNITS // 8:
+                self.paths.clear()
+            found = self.pieces.nbest(lattice_of(unit), self.n)
             # Of equal paths the one that the analysis chose comes first.
-            chosen = np.frombuffer(best, np.int32).tolist()
-            found = self.paths[chunk] = [(found[0][0], chosen), *(x for x in found if x[1] != chosen)][: self.n]
+            chosen = best.tolist()
+            found = self.paths[unit] = [(found[0][0], chosen), *(x for x in found if x[1] != chosen)][: self.n]
         return found
 
-    def _least(self, loss: np.ndarray) -> np.ndarray:
-        bound = np.partition(loss, self.n - 2)[self.n - 2]
-        at = np.flatnonzero(loss <= bound)
-        return at[np.argsort(loss[at], kind="stable")][: self.n - 1]
+    def _least(self, loss: np.ndarray) -> list[int]:
+        """The n - 1 units of least loss, of those that have a second path."""
+        if len(loss) > 64:
+            bound = np.partition(loss, self.n - 2)[self.n - 2]
+            near = np.flatnonzero(loss <= bound)
+            near = near[np.argsort(loss[near], kind="stable")][: self.n - 1]
+        else:
+            near = np.argsort(loss, kind="stable")[: self.n - 1]
+        return [k for k in near.tolist() if loss[k] < np.inf]
 
     def _combine(self, total: float, options: list[tuple[int, list[tuple[float, list[int]]]]]) -> list[tuple[float, dict[int, list[int]]]]:
         """The n best choices of one path for each chunk, best-first."""
@@ -355,7 +475,9 @@ class Encoder:
         return out
 
 
-FIELDS = "n_ids long, ids array<int>, nbest_scores array<double>, nbest_sizes array<long>, round_trip boolean"
+CHANGE = "struct<at:int,drop:int,ids:array<int>>"
+FIELDS = f"n_ids long, ids array<int>, nbest_scores array<double>, nbest_sizes array<long>, nbest_changes array<array<{CHANGE}>>, round_trip boolean"
+NAMES = ["n_ids", "ids", "nbest_scores", "nbest_sizes", "nbest_changes", "round_trip"]
 
 
 @functools.lru_cache(maxsize=2)
@@ -364,35 +486,76 @@ def _encoder(path: str, n: int) -> Encoder:
     return Encoder(Pieces(path), n)
 
 
+def _nested(counts: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+
+def _changes(best: list) -> pa.Array:
+    """nbest_changes as nested arrays."""
+    paths = [changes for text in best for _, changes in text]
+    flat = [c for changes in paths for c in changes]
+    ids = _nested([len(c[2]) for c in flat], pa.array([i for c in flat for i in c[2]], pa.int32()))
+    each = pa.StructArray.from_arrays([pa.array([c[0] for c in flat], pa.int32()), pa.array([c[1] for c in flat], pa.int32()), ids], names=["at", "drop", "ids"])
+    return _nested([len(text) for text in best], _nested([len(changes) for changes in paths], each))
+
+
 def _encode(path: str, n: int):
     def run(batches):
         encoder = _encoder(path, n)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                flat, sizes, scores, counts, trips = [], [], [], [], []
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for text, (ids, best, infos) in zip(texts, encoder.encode_all(texts)):
-                    flat.append(ids)
-                    sizes.append(len(ids))
-                    scores.append([s for s, _ in best])
-                    counts.append([len(ids) + sum(len(x) - len(infos[c][0]) // 4 for c, x in other.items()) for _, other in best])
-                    trips.append(encoder.pieces.decode(ids.tolist()) == text.encode())
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))
-                columns = [pa.array(sizes, pa.int64()), ids, pa.array(scores, pa.list_(pa.float64())), pa.array(counts, pa.list_(pa.int64())), pa.array(trips, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", *(f.split()[0] for f in FIELDS.split(", "))])
+                ids, sizes, best, trips = encoder.encode_all([t or "" for t in part.column("text").to_pylist()])
+                scores = [[s for s, _ in text] for text in best]
+                counts = [[k + sum(len(c[2]) - c[1] for c in changes) for _, changes in text] for k, text in zip(sizes.tolist(), best)]
+                columns = [pa.array(sizes, pa.int64()), _nested(sizes, pa.array(ids)), pa.array(scores, pa.list_(pa.float64())), pa.array(counts, pa.list_(pa.int64())), _changes(best), pa.array(trips, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", *NAMES])
 
     return run
 
 
 def encode_nbest(docs: DataFrame, model_path: str, n: int = N_BEST) -> DataFrame:
-    """doc_id, n_ids, ids of the best segmentation, nbest_scores, nbest_sizes and round_trip for each row of docs."""
+    """For each row of docs: doc_id; n_ids and ids of the best segmentation; scores, sizes and changes of the n best, the best first; round_trip.
+
+    A change replaces `drop` of the best ids from place `at` on by `ids`; the best segmentation has none."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     return to_python(docs.select("doc_id", "text")).mapInArrow(_encode(model_path, n), f"doc_id {kind}, {FIELDS}")
 
 
+def segmentations(encoded: DataFrame) -> DataFrame:
+    """doc_id, place (0 is the best), score, ids: a row for each of the n best segmentations of encode_nbest."""
+    none = F.array().cast("array<int>")
+    each = encoded.select("doc_id", F.col("ids").alias("best"), F.posexplode(F.arrays_zip("nbest_scores", "nbest_changes")).alias("place", "path"))
+
+    def step(acc, c):
+        return F.struct((c["at"] + c["drop"]).alias("at"), F.concat(acc["out"], F.slice("best", acc["at"] + 1, c["at"] - acc["at"]), c["ids"]).alias("out"))
+
+    def end(acc):
+        return F.concat(acc["out"], F.slice("best", acc["at"] + 1, F.greatest(F.size("best") - acc["at"], F.lit(0))))
+
+    ids = F.aggregate("path.nbest_changes", F.struct(F.lit(0).alias("at"), none.alias("out")), step, end)
+    return each.select("doc_id", "place", F.col("path.nbest_scores").alias("score"), ids.alias("ids"))
+
+
+def _decode(path: str):
+    def run(batches):
+        pieces = _encoder(path, N_BEST).pieces
+        for batch in batches:
+            texts = [None if ids is None else pieces.decode(ids).decode(errors="replace") for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+
+    return run
+
+
+def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
+    """encoded with the text of its ids as decoded. Bytes that are no UTF-8 become U+FFFD; an id that the model lacks is an error."""
+    fields = [f for f in encoded.columns if f != "decoded"]
+    kept = encoded.select(*(F.col(f"`{f}`") for f in fields))
+    return to_python(kept).mapInArrow(_decode(model_path), StructType([*kept.schema.fields, StructField("decoded", StringType())]))
+
+
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """encode_nbest of all documents: null and empty texts have no ids, repeated rows are each returned, an empty table gives no rows."""
     import public_tokenizers
 
     return encode_nbest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

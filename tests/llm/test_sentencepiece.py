@@ -44,9 +44,20 @@ def test_nbest_equals_all_segmentations(pieces, text):
     whole = pieces.nbest(marked, 4)
     assert [round(x, 6) for x, _ in whole] == want
     assert len({tuple(i) for _, i in whole}) == len(whole) and all((round(x, 6), i) in [(round(y, 6), j) for y, j in every] for x, i in whole)
-    ids, best, infos = N.Encoder(pieces, 4).encode(text)
-    assert [round(x, 6) for x, _ in best] == want
-    assert pieces.decode(ids.tolist()) == text.encode()
+    ids, sizes, best, trips = N.Encoder(pieces, 4).encode_all([text])
+    assert [round(x, 6) for x, _ in best[0]] == want
+    assert sizes.tolist() == [len(ids)] and trips == [True] and pieces.decode(ids.tolist()) == text.encode()
+    rebuilt = [rebuild(ids.tolist(), changes) for _, changes in best[0]]
+    assert len(set(map(tuple, rebuilt))) == len(rebuilt)
+    assert all((round(x, 6), r) in [(round(y, 6), j) for y, j in every] for (x, _), r in zip(best[0], rebuilt))
+
+
+def rebuild(ids, changes):
+    out, at = [], 0
+    for place, drop, instead in changes:
+        out += ids[at:place] + list(instead)
+        at = place + drop
+    return out + ids[at:]
 
 
 def test_analysis_has_the_best_and_the_loss_of_the_second(pieces):
@@ -62,18 +73,44 @@ def test_analysis_has_the_best_and_the_loss_of_the_second(pieces):
 def test_analysis_of_many_words_equals_that_of_each(pieces):
     rng = random.Random(9)
     words = list({N.MARK + "".join(rng.choice("etaonish.,é日\n▁") for _ in range(rng.randrange(0, 14))) for _ in range(600)}) + ["x" * 100, N.MARK]
-    assert pieces.analyse_many(words) == {w: pieces.analyse(w) for w in words}
+    ids, size, score, loss = pieces.analyse_many(words)
+    want = [pieces.analyse(w) for w in words]
+    assert ids.tobytes() == b"".join(x for x, _, _ in want) and (4 * size).tolist() == [len(x) for x, _, _ in want]
+    assert score.tolist() == [x for _, x, _ in want] and loss.tolist() == [x for _, _, x in want]
 
 
 def test_memo_generations_change_nothing(pieces, monkeypatch):
-    monkeypatch.setattr(N, "MEMO_WORDS", 8)
     small, large = N.Encoder(pieces), N.Encoder(N.Pieces(PATH))
     for t in TEXTS * 3:
-        a = small.encode(t)
-        monkeypatch.setattr(N, "MEMO_WORDS", 10**6)
-        b = large.encode(t)
-        monkeypatch.setattr(N, "MEMO_WORDS", 8)
-        assert a[0].tolist() == b[0].tolist() and a[1] == b[1]
+        monkeypatch.setattr(N, "MEMO_UNITS", 4)
+        a = small.encode_all([t, "", t])
+        monkeypatch.setattr(N, "MEMO_UNITS", 10**6)
+        b = large.encode_all([t, "", t])
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist() and a[2:] == b[2:]
+
+
+@pytest.mark.parametrize("apart", [True, False])
+def test_units_are_the_text(pieces, monkeypatch, apart):
+    monkeypatch.setattr(pieces, "lines_apart", apart)
+    rng = random.Random(3)
+    for _ in range(400):
+        text = "".join(rng.choice("ab \n\n.é ") for _ in range(rng.randrange(1, 12)))
+        units = N.Encoder(pieces).split(text)
+        assert "".join(map(N.lattice_of, units)) == N.MARK + text.replace(" ", N.MARK)
+        ids, _, best, trips = N.Encoder(pieces, 4).encode_all([text])
+        want = pieces.nbest(N.MARK + text.replace(" ", N.MARK), 4)
+        assert [x for x, _ in best[0]] == [x for x, _ in want] and trips == [True]
+
+
+def test_long_runs_take_linear_time(pieces):
+    import time
+
+    began = time.process_time()
+    for text in ("=" * 60001, "a" * 60001, "日" * 20000, "\x01" * 20000):
+        ids, _, best, trips = N.Encoder(pieces, 4).encode_all([text])
+        assert trips == [True] and pieces.decode(ids.tolist()) == text.encode()
+        assert [x for x, _ in best[0]] == sorted((x for x, _ in best[0]), reverse=True)
+    assert time.process_time() - began < 60
 
 
 def test_scores_equal_the_library(pieces):
@@ -97,7 +134,19 @@ def test_documents(docs, texts, no_docs):
         by.setdefault(str(r["doc_id"]), []).append(r)
         assert r["n_ids"] == len(r["ids"]) == r["nbest_sizes"][0]
         assert r["nbest_scores"] == sorted(r["nbest_scores"], reverse=True)
-        assert len(r["nbest_scores"]) == len(r["nbest_sizes"])
+        assert len(r["nbest_scores"]) == len(r["nbest_sizes"]) == len(r["nbest_changes"])
+        assert [len(rebuild(r["ids"], c)) for c in r["nbest_changes"]] == r["nbest_sizes"]
     assert by["130"][0]["ids"] == [] and by["130"][0]["nbest_scores"] == [0.0] and by["130"][0]["round_trip"]
     assert [str(i) for i, t in texts if t and "▁" in t] == [k for k, rs in by.items() if not all(r["round_trip"] for r in rs)]
     assert N.encode_nbest(no_docs, PATH).count() == 0
+
+
+def test_segmentations_decode_to_the_text(spark, docs):
+    encoded = N.encode_nbest(docs.where("doc_id < 8 or doc_id in (130, 131, 141)"), PATH)
+    rows = N.decode_ids(N.segmentations(encoded), PATH).collect()
+    text = {r["doc_id"]: r["text"] or "" for r in docs.where("doc_id < 8 or doc_id in (130, 131, 141)").collect()}
+    want = {(r["doc_id"], i): (s, n, rebuild(r["ids"], c)) for r in encoded.collect() for i, (s, n, c) in enumerate(zip(r["nbest_scores"], r["nbest_sizes"], r["nbest_changes"]))}
+    assert {(r["doc_id"], r["place"]): (r["score"], len(r["ids"]), r["ids"]) for r in rows} == want
+    assert all(r["decoded"] == text[r["doc_id"]].replace(N.MARK, " ") for r in rows)
+    odd = spark.createDataFrame([(1, None, "x"), (2, [], "y")], "doc_id long, ids array<int>, decoded string")
+    assert {r["doc_id"]: r["decoded"] for r in N.decode_ids(odd, PATH).collect()} == {1: None, 2: ""}
