@@ -1,12 +1,17 @@
-"""Substring dedup by hashing lines, cut at the ends of sentences.
+"""Substring dedup by hashing lines, which are cut at points that their own words set.
 
-Units are normalised (lower case, one space between words) and their digests
-grouped over the whole corpus. The earliest occurrence by document rank and
-place stays. Every other occurrence is a repeat; repeats that follow each other
-in a document form a run, and every run is returned with its offsets in the
-original text, in code points. Units of under
-MIN_UNIT_WORDS words (what is left at the end of a line) are not hashed: between
-two repeats they belong to the run.
+A line is cut after each word whose hash is the least within REACH words, so
+that equal passages are cut alike wherever they begin and end, and every unit has
+MIN_UNIT_WORDS words or more. Units are normalised (lower case, one space
+between words) and their digests grouped over the whole corpus. The earliest
+occurrence by document rank and place stays; every other one is a repeat.
+
+Repeats that follow each other in a document form a run. Removed are runs of
+MIN_PASSAGE_WORDS words or more, and of shorter ones every whole line, down to
+MIN_UNIT_WORDS words: a part of a line that is as short occurs twice by chance.
+Each run is returned with its offsets in the original text, in code points.
+Lines of fewer than MIN_UNIT_WORDS words have no unit: between two repeats they
+belong to the run.
 
 Groups of any size are summed with partial aggregation; only digests that occur
 more than once are joined to their occurrences, and that join can be split.
@@ -18,49 +23,90 @@ doc_id only are ranked by text. Empty table: no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.llm.common import boxed, rank_column, segments, table, text_or_empty, to_python, with_text, written
 
-MIN_UNIT_WORDS = 4
-#: Every repeated unit counts, so no run is too short.
-MIN_RUN_WORDS = MIN_UNIT_WORDS
-
-
-def units(text: str) -> list[tuple[list[str], int, int]]:
-    """Lower-case words of each unit, with its offsets. A line is cut at the ends of sentences, but sentences of under MIN_UNIT_WORDS words are joined to the next one of the line."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        words: list[str] = []
-        start = at
-        for part in line.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n"):  # of equal length
-            end = at + len(part)
-            words += part.lower().split()
-            if len(words) >= MIN_UNIT_WORDS:
-                out.append((words, start, end))
-                words, start = [], end + 1
-            at = end + 1
-        if words:
-            out.append((words, start, at - 1))
-    return out
+MIN_UNIT_WORDS = 5
+MIN_PASSAGE_WORDS = 15
+#: Words on either side among which a cut has the least hash.
+REACH = 4
+
+SPAN = re.compile(r"\S+")
+
+
+def cuts(hashes: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Whether a unit ends after each word. line: the number of each word's line, ascending from 0."""
+    n = len(hashes)
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    size = np.diff(np.append(first, n))
+    rank = np.cumsum(np.concatenate([[True], line[1:] != line[:-1]])) - 1
+    place = np.arange(n) - first[rank]
+    # Lines are set REACH places apart, so that no window crosses a line end.
+    at = np.arange(n) + REACH * (rank + 1)
+    laid = np.full(at[-1] + 1 + REACH, 1 << 62, np.int64)
+    laid[at] = hashes
+    cut = (place >= MIN_UNIT_WORDS - 1) & (place < size[rank] - MIN_UNIT_WORDS)
+    for k in range(1, REACH + 1):  # of equal ones the first
+        cut &= (hashes < laid[at - k]) & (hashes <= laid[at + k])
+    cut[first + size - 1] = True
+    return cut
+
+
+def units(text: str) -> list[tuple[str, int, int, int, int]]:
+    """Of each unit: its words, lower-case with one space between them; its offsets; how many words; 1 if it begins a line, plus 2 if it ends one."""
+    spans = [m.span() for m in SPAN.finditer(text)]
+    if not spans:
+        return []
+    words = [text[a:b].lower() for a, b in spans]
+    ends = np.cumsum([len(x) + 1 for x in text.split("\n")])
+    line = np.searchsorted(ends, [a for a, _ in spans], side="right")
+    last = np.flatnonzero(cuts(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)), line))
+    first = np.concatenate([[0], last[:-1] + 1])
+    begins = np.concatenate([[True], line[last[:-1]] != line[first[1:]]])
+    place = begins + 2 * np.append(begins[1:], True)
+    return [(" ".join(words[i : j + 1]), spans[i][0], spans[j][1], j + 1 - i, p) for i, j, p in zip(first.tolist(), last.tolist(), place.tolist()) if j + 1 - i >= MIN_UNIT_WORDS]
+
+
+COLUMNS = {"digest": pa.binary(), "rank": pa.binary(), "unit": pa.int32(), "start": pa.int32(), "end": pa.int32(), "words": pa.int32(), "place": pa.int32()}
 
 
 def _digests(batches):
     import xxhash
 
     for batch in batches:
-        rows: list[list] = [[], [], [], [], [], []]
+        rows: list[list] = [[] for _ in COLUMNS]
         for rank, text in zip(batch.column("rank").to_pylist(), batch.column("text").to_pylist()):
-            n = 0
-            for words, start, end in units(text):
-                if len(words) >= MIN_UNIT_WORDS:
-                    for column, value in zip(rows, (xxhash.xxh3_128_digest(" ".join(words).encode()), rank, n, start, end, len(words))):
-                        column.append(value)
-                    n += 1
-        types = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types)], names=["digest", "rank", "unit", "start", "end", "words"])
+            for n, (words, *where) in enumerate(units(text)):
+                for column, value in zip(rows, (xxhash.xxh3_128_digest(words.encode("utf-8", "surrogatepass")), rank, n, *where)):
+                    column.append(value)
+        for lo in range(0, len(rows[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + (1 << 16)], t) for v, t in zip(rows, COLUMNS.values())], names=list(COLUMNS))
+
+
+def removed_runs(repeats: list[dict]) -> list[list[dict]]:
+    """Runs of one document's repeated units, given in order: those that are long enough, and the whole lines of the others."""
+    runs: list[list[dict]] = []
+    for row in repeats:
+        if runs and runs[-1][-1]["unit"] == row["unit"] - 1:
+            runs[-1].append(row)
+        else:
+            runs.append([row])
+    out = []
+    for run in runs:
+        if sum(r["words"] for r in run) < MIN_PASSAGE_WORDS:
+            begun = next((i for i, r in enumerate(run) if r["place"] & 1), len(run))
+            ended = next((i for i in range(len(run), begun, -1) if run[i - 1]["place"] & 2), begun)
+            run = run[begun:ended]
+        if run:
+            out.append(run)
+    return out
 
 
 def _runs(batches):
@@ -75,15 +121,11 @@ def _runs(batches):
             if row["rank"] != row["first"] or row["digest"] in seen:
                 repeats.append(row)
             seen.add(row["digest"])
-        found: list[dict] = []
-        for row in repeats:
-            if found and found[-1]["last"] == row["unit"] - 1:
-                found[-1] |= {"last": row["unit"], "end": row["end"], "words": found[-1]["words"] + row["words"]}
-            else:
-                found.append({"last": row["unit"], "start": row["start"], "end": row["end"], "words": row["words"], "first": row["first"]})
+        found = removed_runs(repeats)
         if found:
-            n = len(found)
-            yield pa.RecordBatch.from_pydict({"rank": pa.array([row["rank"]] * n, pa.binary()), **{k: pa.array([x[k] for x in found], pa.int32()) for k in ("start", "end", "words")}, "first": pa.array([x["first"] for x in found], pa.binary())})
+            columns = [[run[0]["start"] for run in found], [run[-1]["end"] for run in found], [sum(r["words"] for r in run) for run in found]]
+            rank, first = pa.array([row["rank"]] * len(found), pa.binary()), pa.array([run[0]["first"] for run in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([rank, *(pa.array(c, pa.int32()) for c in columns), first], names=["rank", "start", "end", "words", "first"])
 
 
 def id_of(rank) -> F.Column:
@@ -95,7 +137,7 @@ def id_of(rank) -> F.Column:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """rank, start, end, words, first: the runs to be removed, and the rank of the document that keeps the first unit's earliest occurrence."""
     ranked = docs.select(rank_column().alias("rank"), text_or_empty().alias("text"))
-    found = to_python(ranked).mapInArrow(_digests, "digest binary, rank binary, unit int, start int, end int, words int")
+    found = to_python(ranked).mapInArrow(_digests, "digest binary, rank binary, unit int, start int, end int, words int, place int")
     groups = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
     repeated = written(groups.where("n > 1").select("digest", "first"), "repeated-units")
     occurrences = found.join(repeated.hint("shuffle_hash"), "digest").repartition("rank").sortWithinPartitions("rank")
@@ -114,6 +156,6 @@ def without_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """A row for each removed run; documents without repeats have none."""
+    """A row for each removed run of documents, words of short lines in between not counted. Null and empty texts, and those without repeats, have none."""
     runs = repeated_runs(table(spark, sf_dir, "documents"))
     return runs.select(id_of("rank").alias("doc_id"), "start", "end", "words", id_of("first").alias("keep_id"))
