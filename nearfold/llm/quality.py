@@ -10,7 +10,8 @@ minimum length a test is not made at all.
 Besides, simple counts (repeated lines, words in repeated 8-word windows) reject
 documents that are too short or repeat themselves.
 
-Null text: no words, rejected by length. Null language: a language of its own.
+Null text: no words, rejected by length. Null language: a language of its own,
+and the empty string another.
 A language with fewer than MIN_LANGUAGE_WORDS words is compared with the whole
 corpus. Empty table: no rows. Repeated rows: each judged alike. Extra columns
 are ignored.
@@ -36,6 +37,8 @@ MAX_REPEAT_PERCENT = 30
 COMMON_BYTES = 6
 COMMON = 64
 MIN_LANGUAGE_WORDS = 2_000
+#: Words held while counting, before they are passed on.
+FLUSH = 300_000
 #: Largest distances, with slack / sqrt(length), and the least lengths at which they are tested.
 CHAR_LIMIT, CHAR_SLACK, CHAR_MIN = 0.15, 2.6, 100
 WORD_LIMIT, WORD_SLACK, WORD_MIN = 0.17, 2.2, 50
@@ -123,24 +126,36 @@ def base_counts(text: bytes) -> tuple[list[bytes], np.ndarray, dict[bytes, int],
 
 
 def _count(batches):
-    """Character classes and common words of each language in one part of the corpus."""
-    classes: dict = {}
-    words: dict = {}
+    """Character classes and common words of each language in one part of the corpus. At most FLUSH words and one batch's are held."""
+    names = ["lang", "kind", "item", "n"]
+    kept: dict = {}  # by language: character classes, all words, common words
+
+    def flush():
+        rows = []
+        for lang, (classes, total, common) in kept.items():
+            rows += [(lang, "class", str(i).encode(), int(n)) for i, n in enumerate(classes)]
+            rows += [(lang, "word", w, n) for w, n in common.items() if w]
+            rows.append((lang, "all", b"", total))
+        kept.clear()
+        for lo in range(0, len(rows), 1 << 16):
+            columns = zip(*rows[lo : lo + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.binary(), pa.int64()))], names=names)
+
     for batch in batches:
+        words: dict = {}
         for text, lang in zip(as_bytes(batch.column("text")), batch.column("lang").to_pylist()):
-            classes[lang] = classes.get(lang, 0) + char_classes(text)
+            held = kept.setdefault(lang, [np.zeros(len(CLASSES), np.int64), 0, Counter()])
+            held[0] += char_classes(text)
             words.setdefault(lang, Counter()).update(text.split())
-    out = []
-    for lang, counts in classes.items():
-        out += [(lang, "class", str(i).encode(), int(n)) for i, n in enumerate(counts)]
-        short: Counter = Counter()
-        for w, n in words[lang].items():
-            if len(w) <= COMMON_BYTES + 2 and len(p := plain_word(w)) <= COMMON_BYTES:
-                short[p] += n
-        out += [(lang, "word", w, n) for w, n in short.items() if w]
-        out.append((lang, "all", b"", sum(words[lang].values())))
-    cols = list(zip(*out)) if out else [[], [], [], []]
-    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64())], names=["lang", "kind", "item", "n"])
+        for lang, counted in words.items():
+            held = kept[lang]
+            held[1] += counted.total()
+            for w, n in counted.items():
+                if len(w) <= COMMON_BYTES + 2 and len(p := plain_word(w)) <= COMMON_BYTES:
+                    held[2][p] += n
+        if sum(len(held[2]) for held in kept.values()) > FLUSH:
+            yield from flush()
+    yield from flush()
 
 
 class Reference:
@@ -157,8 +172,8 @@ class Reference:
         self.hist = np.array([*common, max(0, self.total - sum(common))], np.float64)
 
 
-def language_references(docs: DataFrame) -> dict:
-    """A Reference for each language, and for the whole corpus under "". What comes to the driver is bounded by the number of languages."""
+def language_references(docs: DataFrame) -> tuple[dict, Reference]:
+    """A Reference for each language (null is one, the empty string another), and for the whole corpus. What comes to the driver is bounded by the number of languages."""
     from pyspark.sql import Window
 
     counts = to_python(docs.select("text", "lang")).mapInArrow(_count, "lang string, kind string, item binary, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
@@ -168,16 +183,15 @@ def language_references(docs: DataFrame) -> dict:
         return df.withColumn("rank", rank).where((F.col("kind") != "word") | (F.col("rank") <= COMMON))
 
     # First in each of many parts of a language's words, then among those.
-    rows = [r.asDict() for r in first(first(counts, F.pmod(F.xxhash64("item"), F.lit(256)))).collect()]
-    whole = Counter()
+    rows = [r.asDict() | {"item": bytes(r["item"])} for r in first(first(counts, F.pmod(F.xxhash64("item"), F.lit(256)))).collect()]
+    whole: Counter = Counter()
+    by: dict = {}
     for r in rows:
-        whole[r["kind"], bytes(r["item"])] += r["n"]
+        whole[r["kind"], r["item"]] += r["n"]
+        by.setdefault(r["lang"], []).append(r)
     everything = Reference([{"kind": k, "item": w, "n": n} for (k, w), n in whole.items()])
-    out = {"": everything}
-    for lang in {r["lang"] for r in rows}:
-        own = Reference([r | {"item": bytes(r["item"])} for r in rows if r["lang"] == lang])
-        out[lang or "\0"] = own if own.total >= MIN_LANGUAGE_WORDS else everything
-    return out
+    own = {lang: Reference(held) for lang, held in by.items()}
+    return {lang: ref for lang, ref in own.items() if ref.total >= MIN_LANGUAGE_WORDS}, everything
 
 
 def distances(text: bytes, n_words: int, ids: np.ndarray, index: dict[bytes, int], ref: Reference) -> tuple[float, float]:
@@ -193,7 +207,9 @@ def distances(text: bytes, n_words: int, ids: np.ndarray, index: dict[bytes, int
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean"
 
 
-def _judge(references: dict, keep_only: bool):
+def _judge(references: tuple[dict, Reference], keep_only: bool):
+    own, everything = references
+
     def run(batches):
         for batch in batches:
             out: dict[str, list] = {f.split()[0]: [] for f in FIELDS.split(", ")}
@@ -201,7 +217,7 @@ def _judge(references: dict, keep_only: bool):
                 words, ids, index, row = base_counts(text)
                 n = len(words)
                 failed = n < MIN_WORDS or 100 * row["n_repeat_words"] > MAX_REPEAT_PERCENT * n
-                c, w = distances(text, n, ids, index, references.get(lang or "\0", references[""]))
+                c, w = distances(text, n, ids, index, own.get(lang, everything))
                 kept = not failed and not (row["word_chars"] >= CHAR_MIN and c > CHAR_LIMIT + CHAR_SLACK / row["word_chars"] ** 0.5) and not (n >= WORD_MIN and w > WORD_LIMIT + WORD_SLACK / n**0.5)
                 for k, v in (row | {"base_failed": failed, "char_distance": c, "word_distance": w, "kept": kept}).items():
                     out[k].append(v)
@@ -228,4 +244,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """quality of all documents: null and empty texts are rejected, repeated rows judged alike; no rows for an empty table."""
     return quality(table(spark, sf_dir, "documents"))

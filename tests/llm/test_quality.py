@@ -64,3 +64,84 @@ def test_keep_good_keeps_rows_unchanged(docs, no_docs):
     want = {str(r["doc_id"]) for r in Q.quality(docs).where("kept").collect()}
     assert {str(r["doc_id"]) for r in kept.collect()} == want
     assert Q.keep_good(no_docs).count() == 0 and Q.quality(no_docs).count() == 0
+
+
+def brute_class(c):
+    if c == "\n":
+        return "line"
+    if c in " \t\x0b\x0c\r":
+        return "blank"
+    if ord(c) < 32 or ord(c) == 127:
+        return "control"
+    if ord(c) >= 128:
+        return "two-byte" if ord(c) < 0x800 else "longer"
+    for name, chars in (("lower", "abcdefghijklmnopqrstuvwxyz"), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("digit", "0123456789"), ("stop", ".,;:'\"-()?"), ("symbol", "#*$%&|<>@^_=+~{}[]\\/`!")):
+        if c in chars:
+            return name
+    return "other punctuation"
+
+
+def brute_common(text):
+    """Common words of a text, and all words, by plain loops."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    plain = (re.sub(r"[A-Z]", lambda m: m[0].lower(), w).strip(".,;:!?\"'()") for w in words if len(w.encode()) <= 8)
+    return Counter(p for p in plain if p and len(p.encode()) <= 6), len(words)
+
+
+def brute_distance(p, q, keys):
+    a, b = sum(p.get(k, 0) for k in keys), sum(q.get(k, 0) for k in keys)
+    if not a or not b:
+        return 0.0
+    out = 0.0
+    for k in keys:
+        x, y = p.get(k, 0) / a, q.get(k, 0) / b
+        for z in (x, y):
+            out += z * math.log2(2 * z / (x + y)) if z else 0.0
+    return math.sqrt(max(0.0, out / 2))
+
+
+def brute_verdicts(rows):
+    """Distances and kept of (id, text, lang), references included."""
+    languages = {}
+    for _, text, lang in rows:
+        classes, common, total = languages.setdefault(lang, (Counter(), Counter(), [0]))
+        words, n = brute_common(text or "")
+        classes.update(map(brute_class, text or ""))
+        common.update(words)
+        total[0] += n
+    top = {lang: dict(sorted(common.items(), key=lambda x: (-x[1], x[0].encode()))[:64]) for lang, (_, common, _) in languages.items()}
+    refs = {lang: (classes, top[lang], total[0]) for lang, (classes, _, total) in languages.items()}
+    whole = sum((r[0] for r in refs.values()), Counter()), sum((Counter(r[1]) for r in refs.values()), Counter()), sum(r[2] for r in refs.values())
+    out = []
+    for i, text, lang in rows:
+        text = text or ""
+        ref = refs[lang] if refs[lang][2] >= 2000 else whole
+        n, chars, _, _, repeated = brute(text)
+        mine, theirs = Counter(), dict(ref[1])
+        for w, k in brute_common(text)[0].items():
+            if w in theirs:
+                mine[w] = k
+        mine[None], theirs[None] = n - sum(mine.values()), max(0, ref[2] - sum(theirs.values()))
+        c = brute_distance(Counter(map(brute_class, text)), ref[0], set(ref[0]) | set(map(brute_class, text)))
+        w = brute_distance(mine, theirs, theirs)
+        bad = n < 20 or 100 * repeated > 30 * n or (chars >= 100 and c > 0.15 + 2.6 / math.sqrt(chars)) or (n >= 50 and w > 0.17 + 2.2 / math.sqrt(n))
+        out.append((str(i), round(c, 6), round(w, 6), not bad))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("flush", [300_000, 5])
+def test_verdicts_equal_brute_force(spark, docs, monkeypatch, flush):
+    import random
+
+    monkeypatch.setattr(Q, "FLUSH", flush)
+    rng = random.Random(2)
+    own = {"en": "the of and to in river, stone".split(), "de": "der die und zu Straße von \"Fluß\"".split(), None: "el la y de RÍO que".split(), "": "le les et à la (mer)".split()}
+    rows = [(1000 + i, " ".join(rng.choice(own[lang]) for _ in range(rng.choice([5, 60, 300]))) + rng.choice(["", ".\n\x01ok 日本 ~ 12"]), lang) for i in range(120) for lang in own]
+    rows += [(2000 + i, " ".join(rng.choice(own[b]) for _ in range(200)), a) for i, (a, b) in enumerate((a, b) for a in own for b in own)]
+    rows += [(r["doc_id"], r["text"], r["lang"]) for r in docs.select("doc_id", "text", "lang").collect()]
+    got = Q.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = brute_verdicts(rows)
+    assert sorted((str(r["doc_id"]), round(r["char_distance"], 6), round(r["word_distance"], 6), r["kept"]) for r in got) == want
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    # Null and the empty string are languages apart: a text of one goes under the other.
+    assert [kept[2000 + i] for i, (a, b) in enumerate((a, b) for a in own for b in own) if not a and not b] == [True, False, False, True]
