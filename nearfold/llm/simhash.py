@@ -1,16 +1,18 @@
 """SimHash near-dedup by anchor-point covering.
 
-The 64 bits of a fingerprint are cut into four blocks: one of 23 bits and three
-of 14, 14 and 13. Two fingerprints that differ in at most 4 bits differ in at
-most 1 bit of the first block, or else agree in one of the others, for
-otherwise they would differ in at least 2 + 1 + 1 + 1 bits.
-
-- Anchors of the first block are the 4,096 words of the perfect binary Golay
-  code, of covering radius 3. A fingerprint goes to every anchor within 3 + 1
-  bits of its block, 5.3 of them on average, so two that differ in 1 bit there
-  meet at the anchor nearest to either.
-- Anchors of the other blocks are all their values, of covering radius 0 with
-  threshold 0: one copy each.
+The 64 bits of a fingerprint are cut into three blocks of 23, 23 and 18 bits. Two
+fingerprints that differ in at most 4 bits differ in at most 1 bit of some
+block, for otherwise they would differ in at least 2 + 2 + 2 bits.
+
+- Anchors of the blocks of 23 bits are the 4,096 words of the perfect binary
+  Golay code, of covering radius 3. A fingerprint goes to every anchor within
+  3 + 1 bits of its block, 5.3 of them on average.
+- Anchors of the block of 18 bits are the 2^14 words of the Hamming code of 15
+  bits with three free bits beside it, of covering radius 1. A fingerprint goes
+  to every anchor within 1 + 1 bits, 10.8 on average.
+
+So two fingerprints that differ in 1 bit of a block meet at the anchor nearest to
+either, and each is copied to 21.4 anchors on average.
 
 Only distinct fingerprints are replicated, whatever their number of documents.
 At each anchor all fingerprints are compared; the anchor returns not the pairs
@@ -20,9 +22,9 @@ from one fingerprint at a time, each of which is compared with the unassigned
 rest only, so dense groups are absorbed at once. Stars of all anchors are then
 joined into components.
 
-With more than REFINE_AT fingerprints, each anchor is divided by a second
-pigeonhole: five parts of the bits outside the block, one of which must agree.
-The links found are the same.
+With more than REFINE_AT fingerprints, each anchor is divided by a pigeonhole:
+five parts of the bits outside the block, one of which must agree. The links
+found are the same.
 
 Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; shingles of 4
 words, or the whole sequence if shorter. Null and blank texts: fingerprint zero,
@@ -45,9 +47,10 @@ from nearfold.llm.components import components
 
 SHINGLE = 4
 THRESHOLD = 4
-#: (first bit, bits) of each block; the first has Golay anchors.
-BLOCKS = ((0, 23), (23, 14), (37, 14), (51, 13))
-REFINE_AT = 1 << 24
+#: First bit, bits and covering radius of each block. Two fingerprints within THRESHOLD are within 1 bit in one of three.
+BLOCKS = ((0, 23, 3), (23, 23, 3), (46, 18, 1))
+IN_BLOCK = THRESHOLD // len(BLOCKS)
+REFINE_AT = 1 << 22
 REFINE_PARTS = 5
 
 UPPER = bytes(range(65, 91))
@@ -82,38 +85,45 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
 
-@functools.cache
-def golay() -> tuple[np.ndarray, list[np.ndarray]]:
-    """Syndromes of the 23 single bits, and all error patterns of at most 4 bits by syndrome."""
+def checks(size: int) -> list[int]:
+    """The syndrome of each single bit: of the Golay code of 23 bits, or of the Hamming code of 15 bits with free bits, of syndrome 0, after it."""
+    if size != 23:
+        return [*range(1, 16), *[0] * (size - 15)]
     generator = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
-    single = np.zeros(23, np.int64)
-    for i in range(23):
+    single = []
+    for i in range(size):
         x = 1 << i
-        for bit in range(22, 10, -1):
+        for bit in range(size - 1, 10, -1):
             if x >> bit & 1:
                 x ^= generator << (bit - 11)
-        single[i] = x
-    by: list[list[int]] = [[] for _ in range(2048)]
+        single.append(x)
+    return single
+
+
+@functools.cache
+def patterns(size: int, reach: int) -> list[np.ndarray]:
+    """All error patterns of at most `reach` bits of a block, by syndrome."""
+    single = checks(size)
+    by: list[list[int]] = [[] for _ in range(1 << max(single).bit_length())]
 
     def grow(pattern: int, syndrome: int, start: int, left: int) -> None:
         by[syndrome].append(pattern)
-        for i in range(start, 23) if left else ():
-            grow(pattern | 1 << i, syndrome ^ int(single[i]), i + 1, left - 1)
+        for i in range(start, size) if left else ():
+            grow(pattern | 1 << i, syndrome ^ single[i], i + 1, left - 1)
 
-    grow(0, 0, 0, 4)
-    return single, [np.array(p, np.int64) for p in by]
+    grow(0, 0, 0, reach)
+    return [np.array(p, np.int64) for p in by]
 
 
-def golay_anchors(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and anchors: each 23-bit value with every code word within covering radius 3 + threshold 1 of it."""
-    single, patterns = golay()
+def anchors(block: np.ndarray, size: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and anchors: each value of a block with every code word within covering radius + IN_BLOCK bits of it."""
+    errors = patterns(size, radius + IN_BLOCK)
     syndrome = np.zeros(len(block), np.int64)
-    for i in range(23):
-        syndrome ^= np.where(block >> i & 1, single[i], 0)
-    counts = np.array([len(p) for p in patterns])[syndrome]
+    for i, x in enumerate(checks(size)):
+        syndrome ^= np.where(block >> i & 1, x, 0)
+    counts = np.array([len(p) for p in errors])[syndrome]
     rows = np.repeat(np.arange(len(block)), counts)
-    errors = np.concatenate([patterns[s] for s in syndrome]) if len(block) else np.zeros(0, np.int64)
-    return rows, block[rows] ^ errors
+    return rows, block[rows] ^ (np.concatenate([errors[s] for s in syndrome]) if len(block) else rows)
 
 
 def _replicate(refine: bool):
@@ -121,9 +131,9 @@ def _replicate(refine: bool):
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False)
             bits = fp.view(np.uint64)
-            for b, (first, size) in enumerate(BLOCKS):
+            for b, (first, size, radius) in enumerate(BLOCKS):
                 block = (bits >> np.uint64(first) & np.uint64((1 << size) - 1)).astype(np.int64)
-                rows, anchor = golay_anchors(block) if b == 0 else (np.arange(len(fp)), block)
+                rows, anchor = anchors(block, size, radius)
                 key = anchor << 2 | b
                 if refine:
                     rest = np.concatenate([np.arange(first), np.arange(first + size, 64)])
@@ -207,5 +217,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
+    """near_dedup of all documents: null and blank texts have fingerprint zero, repeated rows are each returned; no rows for an empty table."""
     found = near_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

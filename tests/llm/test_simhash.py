@@ -1,3 +1,4 @@
+import math
 import re
 
 import numpy as np
@@ -33,10 +34,35 @@ def brute_components(prints):
     return {p: find(p) for p in distinct}
 
 
-def test_the_code_is_perfect():
-    single, patterns = S.golay()
-    assert len(patterns) == 2048 and max(min(int(e).bit_count() for e in p) for p in patterns) == 3
-    assert sum(map(len, patterns)) == 1 + 23 + 253 + 1771 + 8855
+def test_codes_cover_their_blocks():
+    for _, size, radius in S.BLOCKS:
+        by = S.patterns(size, radius + 1)
+        assert max(min(int(e).bit_count() for e in p) for p in by) == radius
+        assert sum(map(len, by)) == sum(math.comb(size, k) for k in range(radius + 2))
+    assert len(S.patterns(23, 4)) == 2048 and len(S.patterns(18, 2)) == 16
+    assert sum(size for _, size, _ in S.BLOCKS) == 64 and len(S.BLOCKS) * (S.IN_BLOCK + 1) > S.THRESHOLD
+
+
+@pytest.mark.parametrize("first, size, radius", S.BLOCKS)
+def test_anchors_are_all_code_words_in_reach(first, size, radius):
+    rng = np.random.default_rng(size)
+    single = S.checks(size)
+    block = rng.integers(0, 1 << size, 40)
+    rows, anchor = S.anchors(block, size, radius)
+    got = {(int(r), int(a)) for r, a in zip(rows, anchor)}
+    assert len(got) == len(rows)
+
+    def syndrome(x):
+        out = 0
+        for i in range(size):
+            out ^= single[i] if x >> i & 1 else 0
+        return out
+
+    assert all(syndrome(a) == 0 and (a ^ int(block[r])).bit_count() <= radius + 1 for r, a in got)
+    for r, x in enumerate(block.tolist()):  # one bit apart: they meet
+        for i in range(size):
+            _, other = S.anchors(np.array([x ^ 1 << i]), size, radius)
+            assert {a for k, a in got if k == r} & set(other.tolist())
 
 
 @pytest.mark.parametrize("refine", [False, True])
