@@ -77,11 +77,17 @@ def segments(batches, key: str):
         yield pa.Table.from_batches(held)
 
 
-def rank_column(doc_id: str = "doc_id", text: str = "text"):
-    """17 bytes that order documents by doc_id (null last), then by the hash of their text. Rows equal in both have the same."""
-    sign = F.lit(-(2**63))
-    number = F.when(F.col(doc_id).isNull(), F.lit("01" + "F" * 16)).otherwise(F.concat(F.lit("00"), F.lpad(F.hex(F.col(doc_id).cast("long").bitwiseXOR(sign)), 16, "0")))
-    return F.unhex(F.concat(number, F.lpad(F.hex(F.xxhash64(text_or_empty(text))), 16, "0")))
+def rank_column(docs: DataFrame):
+    """Bytes that order documents by doc_id (null last), then by the hash of their text. Rows equal in both have the same.
+
+    Whole numbers are ordered as such and make 17 bytes; ids of other types are ordered as text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        number = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    else:
+        number = F.concat(F.hex(F.col("doc_id").cast("string").cast("binary")), F.lit("00"))
+    known = F.when(F.col("doc_id").isNull(), F.lit("01" + "F" * 16)).otherwise(F.concat(F.lit("00"), number))
+    return F.unhex(F.concat(known, F.lpad(F.hex(F.xxhash64(text_or_empty())), 16, "0")))
 
 
 def to_python(df: DataFrame) -> DataFrame:
@@ -101,7 +107,7 @@ def afresh(digest: str = "digest"):
 
 def boxed(docs: DataFrame) -> DataFrame:
     """doc, a struct of all columns, and rank. No name that an operator adds can clash with one of docs; unboxed by select("doc.*")."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), rank_column().alias("rank"))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), rank_column(docs).alias("rank"))
 
 
 def with_text(docs: DataFrame, text, changed):

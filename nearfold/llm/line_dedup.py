@@ -5,11 +5,14 @@ each of its lines, however common, so a line of any number of holders makes one
 pair for each, never all pairs. A line of under KEY_WORDS words pairs documents
 by the lines from it on that have KEY_WORDS words together.
 
-Each pair is aligned by patience diff over all its lines. Blocks of consecutive
-aligned lines with KEY_WORDS words or more are deleted from the later document.
+Each pair is aligned by patience diff over all its lines: by those that occur
+once on either side, and in a gap without such lines by the occurrences of each
+line, the first on one side with the first on the other and so on. Blocks of
+consecutive aligned lines with KEY_WORDS words or more are deleted from the later
+document.
 The first occurrence of a line is never deleted, as no earlier document has it.
 
-Lines are compared without blanks at their ends. Null text: one empty line.
+Lines are compared without blanks at their ends, by hashes of 128 bits. Null text: one empty line.
 Null doc_id: the latest, by text. Rows equal in doc_id and text are one document,
 and each is returned alike; rows equal in doc_id only are ordered by text. Empty
 table: no rows. Extra columns are ignored here and kept by without_blocks.
@@ -29,7 +32,7 @@ from nearfold.llm.common import as_bytes, boxed, rank_column, table, text_or_emp
 KEY_WORDS = 5
 
 
-def pairing_keys(hashes: list[int], words: list[int]) -> set[int]:
+def pairing_keys(hashes: list[bytes], words: list[int]) -> set[bytes]:
     """Hashes of lines of KEY_WORDS words or more, and of the shortest blocks that reach as many from a shorter line on."""
     import xxhash
 
@@ -44,8 +47,7 @@ def pairing_keys(hashes: list[int], words: list[int]) -> set[int]:
         if n >= KEY_WORDS:
             keys.add(hashes[start])
         elif n:
-            block = b"".join(h.to_bytes(8, "little", signed=True) for h in hashes[start:end])
-            keys.add(xxhash.xxh64_intdigest(block) - (1 << 63))
+            keys.add(xxhash.xxh3_128_digest(b"".join(hashes[start:end])))
         total -= n
     return keys
 
@@ -58,10 +60,10 @@ def _hashed(batches):
         for text in as_bytes(batch.column("text")):
             lines = text.split(b"\n")
             words = [len(x.split()) for x in lines]
-            hashes = [xxhash.xxh64_intdigest(x.strip()) - (1 << 63) for x in lines]
+            hashes = [xxhash.xxh3_128_digest(x.strip()) for x in lines]
             for column, value in zip(rows, (hashes, words, list(pairing_keys(hashes, words)))):
                 column.append(value)
-        types = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        types = (pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.binary()))
         yield pa.RecordBatch.from_arrays([batch.column("rank"), batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(rows, types))], names=["rank", "doc_id", "lines", "words", "keys"])
 
 
@@ -82,8 +84,24 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned positions of a and b: equal ends, then lines unique in both, in the order that most of them share, then what lies between them."""
+def _once(lines: list) -> dict:
+    """The place of each line that occurs once."""
+    count = Counter(lines)
+    return {x: k for k, x in enumerate(lines) if count[x] == 1}
+
+
+def _numbered(lines: list) -> dict:
+    """The place of each (line, how many of it came before)."""
+    seen: Counter = Counter()
+    out = {}
+    for k, x in enumerate(lines):
+        out[x, seen[x]] = k
+        seen[x] += 1
+    return out
+
+
+def patience(a: list, b: list) -> list[tuple[int, int]]:
+    """Aligned positions of a and b: equal ends, then lines unique in both, in the order that most of them share, then what lies between them. Without unique ones, occurrences of lines take their place."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -96,10 +114,12 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             out.append((n, m))
         if i == n or j == m:
             continue
-        in_a, in_b = Counter(a[i:n]), Counter(b[j:m])
-        place = {x: k for k, x in enumerate(b[j:m], j) if in_b[x] == 1}
-        anchors = _increasing([(k, place[x]) for k, x in enumerate(a[i:n], i) if in_a[x] == 1 and x in place])
-        if not anchors:
+        for places in (_once, _numbered):
+            in_a, in_b = places(a[i:n]), places(b[j:m])
+            anchors = _increasing([(i + k, j + in_b[x]) for x, k in in_a.items() if x in in_b])
+            if anchors:
+                break
+        else:
             continue
         out += anchors
         for (p, q), (r, s) in zip([(i - 1, j - 1), *anchors], [*anchors, (n, m)]):
@@ -107,7 +127,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(later: list[int], earlier: list[int], words: list[int]) -> list[int]:
+def common_blocks(later: list, earlier: list, words: list[int]) -> list[int]:
     """Lines of the later document in aligned blocks of KEY_WORDS words or more."""
     out: list[int] = []
     block: list[int] = []
@@ -130,8 +150,8 @@ def _align(batches):
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(rank_column().alias("rank"), "doc_id", text_or_empty().alias("text"))
-    return written(to_python(rows).mapInArrow(_hashed, f"rank binary, doc_id {kind}, lines array<long>, words array<int>, keys array<long>"), "lines")
+    rows = docs.select(rank_column(docs).alias("rank"), "doc_id", text_or_empty().alias("text"))
+    return written(to_python(rows).mapInArrow(_hashed, f"rank binary, doc_id {kind}, lines array<binary>, words array<int>, keys array<binary>"), "lines")
 
 
 def candidate_pairs(lines: DataFrame) -> DataFrame:
@@ -164,6 +184,7 @@ def without_blocks(docs: DataFrame) -> DataFrame:
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed and removed_lines of each document: a null text is one line, repeated rows are returned alike; no rows for an empty table."""
     lines = hashed_lines(table(spark, sf_dir, "documents"))
     found = lines.select("rank", "doc_id", F.size("lines").alias("n_lines")).join(written(removed_lines(lines), "removed"), "rank", "left")
     none = F.array().cast("array<int>")

@@ -78,7 +78,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     Rows equal in doc_id and text share what they give. n_chars, if there, follows the text.
     """
-    plan = mix(docs.select("doc_id", "source", "text", rank_column().alias("rank")), ("rank",))
+    plan = mix(docs.select("doc_id", "source", "text", rank_column(docs).alias("rank")), ("rank",))
     plan = plan.where("taken > 0").groupBy("rank").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"))
     rows = boxed(docs).dropDuplicates(["rank"]).join(written(plan, "plan").hint("shuffle_hash"), "rank")
     copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))

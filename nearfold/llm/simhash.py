@@ -211,7 +211,7 @@ def near_dedup(docs: DataFrame, refine: bool | None = None) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each component the document of the smallest doc_id (null last), then text hash; of equal rows one."""
-    ranked = near_dedup(docs.select(rank_column().alias("doc_id"), "text"))
+    ranked = near_dedup(docs.select(rank_column(docs).alias("doc_id"), "text"))
     kept = written(ranked.where("doc_id = component_id").select(F.col("doc_id").alias("rank")).distinct(), "kept")
     return boxed(docs).dropDuplicates(["rank"]).join(kept.hint("shuffle_hash"), "rank", "left_semi").select("doc.*")
 

@@ -136,7 +136,7 @@ def id_of(rank) -> F.Column:
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """rank, start, end, words, first: the runs to be removed, and the rank of the document that keeps the first unit's earliest occurrence."""
-    ranked = docs.select(rank_column().alias("rank"), text_or_empty().alias("text"))
+    ranked = docs.select(rank_column(docs).alias("rank"), text_or_empty().alias("text"))
     found = to_python(ranked).mapInArrow(_digests, "digest binary, rank binary, unit int, start int, end int, words int, place int")
     groups = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
     repeated = written(groups.where("n > 1").select("digest", "first"), "repeated-units")

@@ -20,21 +20,89 @@ def test_blocks_need_words():
     assert L.common_blocks([1, 2], [1, 2], [2, 3]) == [0, 1]
 
 
+def plain_patience(a, b):
+    """Patience diff as a recursion over lists of (place, line)."""
+    if not a or not b:
+        return []
+    if a[0][1] == b[0][1]:
+        return [(a[0][0], b[0][0]), *plain_patience(a[1:], b[1:])]
+    if a[-1][1] == b[-1][1]:
+        return [*plain_patience(a[:-1], b[:-1]), (a[-1][0], b[-1][0])]
+    la, lb = [x for _, x in a], [x for _, x in b]
+    pairs = [(i, lb.index(x)) for i, x in enumerate(la) if la.count(x) == 1 == lb.count(x)]
+    if not pairs:
+        numbered = [[(x, side[:i].count(x)) for i, x in enumerate(side)] for side in (la, lb)]
+        pairs = [(i, numbered[1].index(x)) for i, x in enumerate(numbered[0]) if x in numbered[1]]
+    if not pairs:
+        return []
+    best = [1] * len(pairs)
+    back = [-1] * len(pairs)
+    for k in range(len(pairs)):
+        for h in range(k):
+            if pairs[h][1] < pairs[k][1] and best[h] + 1 > best[k]:
+                best[k], back[k] = best[h] + 1, h
+    k, chain = max(range(len(pairs)), key=lambda k: best[k]), []
+    while k >= 0:
+        chain.insert(0, pairs[k])
+        k = back[k]
+    out, before = [], (-1, -1)
+    for p in [*chain, (len(a), len(b))]:
+        out += plain_patience(a[before[0] + 1 : p[0]], b[before[1] + 1 : p[1]])
+        if p[0] < len(a):
+            out.append((a[p[0]][0], b[p[1]][0]))
+        before = p
+    return out
+
+
+def plain_blocks(later, earlier):
+    """Lines of the later document in aligned blocks of 5 words or more."""
+    pairs = plain_patience(list(enumerate(later)), list(enumerate(earlier)))
+    out = set()
+    for k, (i, j) in enumerate(pairs):
+        block, n = [i], k
+        while n + 1 < len(pairs) and pairs[n + 1] == (pairs[n][0] + 1, pairs[n][1] + 1):
+            n += 1
+            block.append(pairs[n][0])
+        n = k
+        while n and pairs[n - 1] == (pairs[n][0] - 1, pairs[n][1] - 1):
+            n -= 1
+            block.append(pairs[n][0])
+        if sum(len(later[x].split()) for x in block) >= 5:
+            out.add(i)
+    return sorted(out)
+
+
 def brute(texts):
-    """Removed lines by a loop over documents in order, each aligned with the earliest holders of its lines."""
+    """Removed lines by a loop over documents in order, each aligned with the earliest holders of its lines and of its blocks of short lines."""
     order = sorted({(i is None, i or 0, t or "") for i, t in texts})
     lines = {d: [x.strip(" \t\n\x0b\x0c\r") for x in d[2].split("\n")] for d in order}
-    words = {d: [len(x.split()) for x in lines[d]] for d in order}
-    first = {}
-    for d in order:
-        for x, n in zip(lines[d], words[d]):
-            if n >= L.KEY_WORDS:
-                first.setdefault(x, d)
-    out = {}
+    first, keys = {}, {}
     for d in order:
-        partners = {first[x] for x, n in zip(lines[d], words[d]) if n >= L.KEY_WORDS} - {d}
-        out[d] = sorted({k for p in partners for k in L.common_blocks(lines[d], lines[p], words[d])})
-    return out
+        keys[d] = set()
+        for i, x in enumerate(lines[d]):
+            if x:
+                for end in range(i + 1, len(lines[d]) + 1):
+                    if len(" ".join(lines[d][i:end]).split()) >= 5:
+                        keys[d].add(tuple(lines[d][i:end]))
+                        break
+        for key in keys[d]:
+            first.setdefault(key, d)
+    return {d: sorted({k for p in {first[key] for key in keys[d]} - {d} for k in plain_blocks(lines[d], lines[p])}) for d in order}
+
+
+def test_repeated_lines_align():
+    assert L.patience([9, 1, 1, 2, 2, 8], [7, 1, 1, 2, 2, 6]) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(14))] for _ in range(2))
+        assert bool(L.patience(a, b)) == bool(set(a) & set(b)) == bool(plain_patience(list(enumerate(a)), list(enumerate(b))))
+
+
+def test_twice_repeated_lines_go(spark):
+    shared = "\n".join(f"a line that is there twice, number {i}\na line that is there twice, number {i}" for i in range(16))
+    rows = spark.createDataFrame([("b", f"first words of its own\n{shared}\nlast words of its own"), ("a", f"other words begin this one\n{shared}\nand end it here too")], "doc_id string, text string")
+    lines = L.hashed_lines(rows)
+    assert {r["doc_id"]: r["removed"] for r in lines.join(L.removed_lines(lines), "rank").collect()} == {"b": list(range(1, 33))}
 
 
 def test_removed_lines_equal_brute_force(docs, texts):
