@@ -1,35 +1,43 @@
 """Scoring texts by a Brown class-based bigram model.
 
-Tokens are the words of a text, A-Z lower-cased, then one end. The model has
-units: the CLUSTERED most frequent tokens, and for all other words one unit for
-each of the TYPES most frequent endings (two bytes), or one for the rest.
-Exchange clustering assigns units to classes: each unit in turn moves to the
-class that raises the likelihood of the class bigrams most. A token's
-probability is
-
-    p(class | class before) * p(unit | class) * p(word | unit)
-
-where the last factor, for words that share a unit, is add-one over the unit's
-words and one share for unseen words. Probabilities sum to 1 over the known
-words and the unseen shares.
-
-Counts of words and unit bigrams cover all training documents and are summed by
-Spark. The driver gets the HEAD most frequent words, the totals by ending (at
-most 65,792) and the bigrams of at most CLUSTERED + TYPES + 1 units: bounds that
-don't grow with the corpus. Counts of words outside the head are joined to the
-documents' own words, by word; no word there is frequent, for the frequent ones
-are in the head.
+Tokens are the words of a text, A-Z lower-cased, then one end. Exchange
+clustering assigns every word that training has MIN_COUNT times or more to one of
+CLASSES classes. A token's probability is
+
+    p(class | class before) * p(word | class)
+
+Words that are rarer, and unseen ones, are a class of their own, whose words have
+add-one probabilities with one share for unseen words; DISCOUNT is taken off the
+count of each other word and passed to this class. What follows a rare word
+depends on the class of the last word before it that isn't rare. Transitions are
+smoothed by the frequency of the class. Probabilities sum to 1 over the known
+words and the unseen share.
+
+- The ANCHORS most frequent tokens exchange one at a time, in the driver, by
+  their counts of each other: a square table of bounded size.
+- All other words exchange together, as a table: for each its counts of anchor
+  classes before and after it. In each of ROUNDS rounds every word moves to the
+  class under which its neighbours are likeliest, and the classes' counts are
+  summed anew. The table has a row for each word, so it grows with the
+  vocabulary; what is broadcast is the class table.
+- Transitions are counted over all training tokens, in their final classes.
+
+The driver gets the HEAD most frequent words with their classes, a bound that
+doesn't grow with the corpus. Tokens outside the head are joined to the
+vocabulary by word; no word there is frequent, for the frequent ones are in the
+head.
 
 Null text: empty, one end token. Null doc_id: like an empty id for the choice of
 training documents. Repeated rows: counted and scored each. Empty table: no
-rows; no training documents: N = 0 and all tokens unknown. Extra columns are
-ignored.
+rows; no training documents: N = 0 and all tokens unknown, score 0. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +48,20 @@ from nearfold.llm.common import as_bytes, table, to_python, written
 from nearfold.llm.simhash import TO_LOWER
 
 HEAD = 200_000
-CLUSTERED = 700
-TYPES = 300
-CLASSES = 48
-ROUNDS = 8
+ANCHORS = 1000
+CLASSES = 100
+MIN_COUNT = 2
+#: Most rounds of the anchors, and rounds of the other words.
+ANCHOR_ROUNDS = 8
+ROUNDS = 3
 #: Weight of the class's own frequency in a class transition.
 PRIOR = 5.0
+#: Taken off each count within a class, for words that are rare or unseen.
+DISCOUNT = 0.75
 #: Words held while counting, before they are passed on.
 FLUSH = 400_000
+#: Bytes of texts that are looked at together.
+CHUNK = 4 << 20
 END = b""
 
 
@@ -55,6 +69,18 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [*text.translate(TO_LOWER).split(), END]
 
 
+def _chunks(texts: list[bytes]):
+    """Ranges of texts of about CHUNK bytes, at least one text each."""
+    lo = held = 0
+    for hi, text in enumerate(texts):
+        held += len(text)
+        if held > CHUNK:
+            yield lo, hi + 1
+            lo, held = hi + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def _count_words(batches):
     seen: Counter = Counter()
 
@@ -72,35 +98,114 @@ def _count_words(batches):
     yield flush()
 
 
-class Units:
-    """Tokens to units. top: the tokens with units of their own, by falling count; types: endings with units of their own."""
-
-    def __init__(self, top: list[bytes], types: list[bytes]):
-        self.own = {w: i for i, w in enumerate(top)}
-        self.types = {t: len(top) + i for i, t in enumerate(types)}
-        self.rest = len(top) + len(types)
-        self.size = self.rest + 1
+def _summed(total: np.ndarray, name: str):
+    """Rows of the positions that are not 0."""
+    at = np.flatnonzero(total)
+    for i in range(0, len(at), 1 << 16):
+        part = at[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], names=[name, "n"])
 
-    def of(self, word: bytes) -> int:
-        i = self.own.get(word)
-        return self.types.get(word[-2:], self.rest) if i is None else i
 
+def _count_anchors(anchors: list[bytes]):
+    """Counts of (anchor, next anchor), as rows of before * anchors + after."""
 
-def _count_bigrams(units: Units):
     def run(batches):
-        own, types, rest, size = units.own.get, units.types.get, units.rest, units.size
-        end = units.of(END)
+        size = len(anchors) + 1  # the last stands for all other words
+        index = {w: i for i, w in enumerate(anchors)}
         total = np.zeros(size * size, np.int64)
         for batch in batches:
-            for text in as_bytes(batch.column("text")):
-                words = tokens_of(text)
-                ids = np.fromiter((types(w[-2:], rest) if (i := own(w)) is None else i for w in words), np.int64, len(words))
-                before = np.concatenate([[end], ids[:-1]])
-                np.add.at(total, before * size + ids, 1)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["pair", "n"])
+            texts = as_bytes(batch.column("text"))
+            for lo, hi in _chunks(texts):
+                ids = np.fromiter(map(index.get, chain.from_iterable(map(tokens_of, texts[lo:hi])), repeat(size - 1)), np.int64)
+                before = np.concatenate([[index[END]], ids[:-1]])
+                total += np.bincount(before * size + ids, minlength=size * size)
+        yield from _summed(np.ascontiguousarray(total.reshape(size, size)[:-1, :-1]).ravel(), "pair")
+
+    return run
+
+
+def _count_neighbours(anchors: list[bytes], member: np.ndarray, classes: int):
+    """For each other word: code, n. Codes are the class of an anchor before it, classes + that of one after it, and 2 * classes for each occurrence."""
+
+    def run(batches):
+        width = 2 * classes + 1
+        index = {w: i for i, w in enumerate(anchors)}
+        class_of = np.append(member, -1)  # -1: no anchor
+        names, codes, counts = list(index), [], []
+
+        def flush():
+            code, back = np.unique(np.concatenate(codes), return_inverse=True)
+            n = np.bincount(back, np.concatenate(counts)).astype(np.int64)
+            word = code // width
+            for i in range(0, len(code), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array([names[w] for w in word[part].tolist()], pa.binary()), pa.array((code[part] % width).astype(np.int16)), pa.array(n[part])], names=["word", "code", "n"])
+            for name in names[len(anchors) :]:
+                del index[name]
+            del names[len(anchors) :]
+            codes.clear()
+            counts.clear()
+
+        for batch in batches:
+            texts = as_bytes(batch.column("text"))
+            for lo, hi in _chunks(texts):
+                tokens = list(chain.from_iterable(map(tokens_of, texts[lo:hi])))
+                get, known = index.get, len(names)
+                ids = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
+                new = np.flatnonzero(ids < 0).tolist()
+                fresh = list(dict.fromkeys(tokens[i] for i in new))
+                index.update(zip(fresh, range(known, known + len(fresh))))
+                names.extend(fresh)
+                ids[new] = [index[tokens[i]] for i in new]
+                at = np.flatnonzero(ids >= len(anchors))
+                near = class_of[np.minimum(np.concatenate([[index[END]], ids]), len(anchors))]
+                lead, follow = near[at], near[np.minimum(at + 2, len(ids))]  # near is one place on; a word is never last
+                base = ids[at] * width
+                found = np.concatenate([(base + lead)[lead >= 0], (base + classes + follow)[follow >= 0], base + 2 * classes])
+                code, n = np.unique(found, return_counts=True)
+                codes.append(code)
+                counts.append(n)
+                if len(names) > FLUSH:
+                    yield from flush()
+        if codes:
+            yield from flush()
+
+    return run
+
+
+def _gather(width: int):
+    """Rows sorted by word, and code, as one row for each word: n, codes, counts."""
+
+    def made(word, code, n):
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+        row = np.zeros(len(word), np.int64)
+        row[first[1:]] = 1
+        row = np.cumsum(row)
+        key, back = np.unique(row * width + code, return_inverse=True)
+        total = np.bincount(back, n).astype(np.int64)
+        row, code = key // width, key % width
+        occurrences = np.zeros(len(first), np.int64)
+        own = code == width - 1
+        occurrences[row[own]] = total[own]
+        keep = ~own & (occurrences >= MIN_COUNT)[row]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(first)))]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(offsets), x) for x in (pa.array(code[keep].astype(np.int16)), pa.array(total[keep]))]
+        return pa.RecordBatch.from_arrays([pa.array(word[first].tolist(), pa.binary()), pa.array(occurrences), *lists], names=["word", "n", "codes", "counts"])
+
+    def run(batches):
+        held: list = [np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        for batch in batches:
+            word = np.empty(batch.num_rows, object)
+            word[:] = batch.column("word").to_pylist()
+            now = [np.concatenate([h, x]) for h, x in zip(held, (word, batch.column("code").to_numpy().astype(np.int64), batch.column("n").to_numpy()))]
+            if not len(now[0]):
+                continue
+            cut = int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1 if now[0][0] != now[0][-1] else 0
+            if cut:
+                yield made(*(x[:cut] for x in now))
+            held = [x[cut:] for x in now]
+        if len(held[0]):
+            yield made(*held)
 
     return run
 
@@ -109,7 +214,7 @@ def _xlogx(x):
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ANCHOR_ROUNDS) -> np.ndarray:
     """The class of each unit. bigrams: counts of (unit before, unit). Units start dealt by falling count."""
     units = len(bigrams)
     classes = min(classes, units)
@@ -149,80 +254,52 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     return np.unique(member, return_inverse=True)[1]  # an empty class has no number
 
 
-class Model:
-    """Probabilities, as logarithms to base 10."""
-
-    def __init__(self, units: Units, bigrams: np.ndarray, head: list[tuple[bytes, int]], kinds: dict[int, tuple[int, int]], total: int, distinct: int):
-        """kinds: tokens and distinct words of each shared unit. total, distinct: of all training tokens."""
-        self.units, self.total, self.distinct = units, total, distinct
-        self.member = member = exchange(bigrams)
-        classes = member.max() + 1
-        one = np.eye(classes)[member]
-        m = one.T @ bigrams @ one
-        prior = (m.sum(axis=0) + 1) / (m.sum() + classes)
-        self.move = np.log10((m + PRIOR * prior) / (m.sum(axis=1, keepdims=True) + PRIOR))
-        counts = bigrams.sum(axis=0) + 0.5
-        self.emit = np.log10(counts / (counts @ one)[member])
-        self.share = np.zeros(units.size)  # of the last factor's denominator
-        for u in range(len(units.own), units.size):
-            n, v = kinds.get(u, (0, 0))
-            self.share[u] = math.log10(n + v + 1)
-        self.base_share = math.log10(total + distinct + 1)
-        self.index = {w: i for i, (w, _) in enumerate(head)}
-        unit = np.array([units.of(w) for w, _ in head], np.int64) if head else np.zeros(0, np.int64)
-        log = np.log10(np.array([n for _, n in head], np.float64) + 1)
-        self.unit = unit
-        self.log = log
-        self.last = np.where(unit >= len(units.own), log - self.share[unit], 0.0) if head else log
-
-    def score(self, words: list[bytes]) -> tuple[int, float, float, list[bytes]]:
-        """Known tokens of the head, base and model score, and the words outside the head, for which log10(count + 1) is still to be added to both scores."""
-        get = self.index.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        inside = at >= 0
-        units = np.empty(len(at), np.int64)
-        units[inside] = self.unit[at[inside]]
-        outside = np.flatnonzero(~inside)
-        other = [words[i] for i in outside]
-        if other:
-            units[outside] = [self.units.of(w) for w in other]
-        classes = self.member[units]
-        start = self.member[self.units.of(END)]
-        known = at[inside]
-        base = self.log[known].sum() - len(at) * self.base_share
-        model = self.move[np.concatenate([[start], classes[:-1]]), classes].sum() + self.emit[units].sum() + self.last[known].sum() - self.share[units[outside]].sum()
-        return int(inside.sum()), float(base), float(model), other
-
-
-def _score(shared, kind: str):
+def best_classes(lead: np.ndarray, follow: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The class of each word under which its neighbours are likeliest. lead, follow: counts of classes before and after; m: counts of (class, next class)."""
+    log = np.log(m + 0.5)
+    size = np.log(m.sum(axis=1) + 0.5 * len(m))
+    return np.argmax(lead @ log + follow @ log.T - (n + follow.sum(axis=1))[:, None] * size, axis=1)
+
+
+def _dense(batch, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lead, follow, n of each row."""
+    codes, counts = batch.column("codes"), batch.column("counts")
+    row = np.repeat(np.arange(batch.num_rows), np.diff(codes.offsets.to_numpy()))
+    flat = np.bincount(row * 2 * classes + codes.flatten().to_numpy(), counts.flatten().to_numpy(), batch.num_rows * 2 * classes).reshape(-1, 2 * classes)
+    return flat[:, :classes], flat[:, classes:], batch.column("n").to_numpy()
+
+
+def _assigned(batch, m: np.ndarray, step: int = 8192):
+    """(rows, class, lead, follow) in steps; the class is len(m) where a word is rare."""
+    for lo in range(0, batch.num_rows, step):
+        part = batch.slice(lo, step)
+        lead, follow, n = _dense(part, len(m))
+        yield part, np.where(n >= MIN_COUNT, best_classes(lead, follow, n, m), len(m)), lead, follow
+
+
+def _class_counts(m: np.ndarray):
     def run(batches):
-        import xxhash
+        total = np.zeros(m.shape)
+        for batch in batches:
+            for _, member, lead, follow in _assigned(batch, m):
+                one = np.eye(len(m) + 1)[member][:, :-1]
+                total += one.T @ follow + (one.T @ lead).T
+        yield from _summed(total.ravel(), "pair")
 
-        model = shared.value
+    return run
+
+
+def _assign(m: np.ndarray):
+    def run(batches):
         for batch in batches:
-            rows = {k: [] for k in ("doc_id", "text_key", "word", "n", "n_tokens", "n_known", "base_score", "score")}
-
-            def put(doc, key, word, n, tokens, known, base, score):
-                for k, v in zip(rows, (doc, key, word, n, tokens, known, base, score)):
-                    rows[k].append(v)
-
-            for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
-                words = tokens_of(text)
-                key = xxhash.xxh64_intdigest(text) - (1 << 63)
-                known, base, score, other = model.score(words)
-                # The document's own row: no word has a blank, so this one joins nothing, and such rows spread out.
-                put(doc, key, b" %d %b" % (key, str(doc).encode()), 0, len(words), known, base, score)
-                for w, n in Counter(other).items():
-                    put(doc, key, w, n, 0, 0, 0.0, 0.0)
-            types = (kind, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            for i in range(0, len(rows["n"]), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(v[i : i + (1 << 16)], batch.schema.field("doc_id").type if t is kind else t) for v, t in zip(rows.values(), types)], names=list(rows))
+            for part, member, _, _ in _assigned(batch, m):
+                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(member.astype(np.int16))], names=["word", "n", "class"])
 
     return run
 
 
-def frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """Words and counts of at most HEAD words, by falling count: those above the least bound, in steps of a sixteenth of a power of 2, that leaves no more."""
+def frequent(counts: DataFrame) -> list[tuple]:
+    """Rows (word, n, ...) of at most HEAD words, by falling count: those above the least bound, in steps of a sixteenth of a power of 2, that leaves no more."""
     step = F.floor(F.log2("n") * 16)
     left, bound = HEAD, None
     for s, words in sorted(((r["s"], r["words"]) for r in counts.groupBy(step.alias("s")).agg(F.count("n").alias("words")).collect()), reverse=True):
@@ -232,67 +309,215 @@ def frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
     if bound is None:
         return []
     found = counts.where(step >= bound).toArrow()
-    return sorted(zip((bytes(w) for w in found.column("word").to_pylist()), found.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
+    rows = zip(*(found.column(c).to_pylist() for c in found.column_names))
+    return sorted(((bytes(r[0]), *r[1:]) for r in rows), key=lambda r: (-r[1], r[0]))
+
+
+def _matrix(pairs: DataFrame, rows: int, columns: int) -> np.ndarray:
+    """Sums of (pair, n) as a table."""
+    found = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(rows * columns)
+    out[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(rows, columns)
+
+
+class Vocabulary:
+    """The head's words with their classes, and what all words of a class have together. The rare class is the last; no word of the head is rare.
+
+    States are the classes but the rare one, then each of them with rare words after it."""
 
+    def __init__(self, head: list[tuple[bytes, int, int]], words: np.ndarray, tokens: np.ndarray, total: int, distinct: int):
+        """head: word, count, class. words, tokens: of each class. total, distinct: of all training tokens."""
+        self.index = {w: i for i, (w, _, _) in enumerate(head)}
+        self.rare = len(words) - 1
+        self.member = np.array([c for _, _, c in head], np.int64)
+        n = np.array([k for _, k, _ in head], np.float64)
+        self.total, self.rare_share = total, math.log10(tokens[-1] + words[-1] + 1)
+        self.left = np.where(words > 0, tokens - DISCOUNT * words, 1)
+        self.passed = np.append((DISCOUNT * words / np.maximum(tokens, 1))[:-1], 0)  # from each class to the rare one
+        self.base_share = math.log10(total + distinct + 1)
+        self.base = np.log10(n + 1)
+        self.emit = self.emission(n, self.member)
+        at = self.index.get(END)
+        self.start = 0 if at is None else int(self.member[at])
+
+    def emission(self, n: np.ndarray, member: np.ndarray) -> np.ndarray:
+        """log10 of p(word | class) for words of these counts and classes; count 0 is an unseen word."""
+        rare = member == self.rare
+        return np.where(rare, np.log10(n + 1) - self.rare_share, np.log10((np.maximum(n, 1) - DISCOUNT) / self.left[member]))
+
+    def transitions(self, m: np.ndarray) -> np.ndarray:
+        """log10 of p(next class | state), from counts."""
+        prior = (m.sum(axis=0) + 1) / (m.sum() + m.shape[1])
+        p = (m + PRIOR * prior) / (m.sum(axis=1, keepdims=True) + PRIOR)
+        moved = p * self.passed
+        p -= moved
+        p[:, -1] += moved.sum(axis=1)
+        return np.log10(p)
+
+
+DOCUMENT = "n_tokens long, n_known long, base double, emit double, pairs array<int>, counts array<int>"
+OUTSIDE = "out_word array<binary>, out_place array<int>, out_before array<short>, out_after array<short>"
+
+
+def _lists(row: np.ndarray, rows: int, *values: pa.Array) -> list[pa.Array]:
+    """Values by ascending row number as lists of each row."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]), pa.int32())
+    return [pa.ListArray.from_arrays(offsets, v) for v in values]
+
+
+def _documents(shared, names: list[str]):
+    """Of each document: what its tokens of the head give, the pairs of classes among them, and its other tokens with their places and the classes beside them (-1: another such token before; after: likewise)."""
+
+    def run(batches):
+        model = shared.value
+        get, width = model.index.get, model.rare + 1
+        member, base, emit = (np.append(x, 0) for x in (model.member, model.base, model.emit))
+        for batch in batches:
+            texts = as_bytes(batch.column("text"))
+            for lo, hi in _chunks(texts):
+                split = [tokens_of(t) for t in texts[lo:hi]]
+                size = np.fromiter(map(len, split), np.int64, len(split))
+                tokens = list(chain.from_iterable(split))
+                ids = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
+                doc = np.repeat(np.arange(hi - lo), size)
+                inside = ids >= 0
+                classes = np.where(inside, member[ids], -1)
+                first = np.cumsum(size) - size
+                before = np.concatenate([[0], classes[:-1]])
+                before[first] = model.start
+                both = inside & (before >= 0)
+                key, n = np.unique(doc[both] * width * width + before[both] * width + classes[both], return_counts=True)
+                pairs = _lists(key // (width * width), hi - lo, pa.array((key % (width * width)).astype(np.int32)), pa.array(n.astype(np.int32)))
+                at = np.flatnonzero(~inside)
+                after = np.append(classes, -1)[at + 1]
+                place = at - first[doc[at]]
+                out = [pa.array([tokens[i] for i in at.tolist()], pa.binary()), pa.array(place.astype(np.int32)), pa.array(before[at].astype(np.int16)), pa.array(np.where(place + 1 < size[doc[at]], after, -1).astype(np.int16))]
+                sums = [np.bincount(doc, np.where(inside, x[ids], 0.0), hi - lo) for x in (base, emit)]
+                known = np.bincount(doc[inside], minlength=hi - lo)
+                columns = [pa.array(size), pa.array(known.astype(np.int64)), pa.array(sums[0] - size * model.base_share), pa.array(sums[1]), *pairs, *_lists(doc[at], hi - lo, *out)]
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *columns], names=[*names, *(f.split()[0] for f in f"{DOCUMENT}, {OUTSIDE}".split(", "))])
+
+    return run
+
+
+def _outside_pairs(batch, rare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of documents' tokens outside the head: row, state * classes + next class, and the tokens' own order: (row, class, count)."""
+    items = batch.column("items")
+    row = np.repeat(np.arange(batch.num_rows), np.diff(items.offsets.to_numpy()))
+    place, before, after, member, n = (items.flatten().field(f).to_numpy().astype(np.int64) for f in ("place", "before", "after", "class", "n"))
+    order = np.lexsort([place, row])
+    row, before, after, member, n = (x[order] for x in (row, before, after, member, n))
+    # The last class before or at each token that isn't rare: its own, that before it, or as of the token before.
+    own = np.where(member < rare, member, before)
+    last = own[np.maximum.accumulate(np.where(own >= 0, np.arange(len(own)), 0))]
+    state = np.where(member < rare, member, rare + last)
+    before = np.where(before >= 0, before, np.concatenate([state[:1], state[:-1]]))
+    closed = after >= 0
+    width = rare + 1
+    return np.concatenate([row, row[closed]]), np.concatenate([before * width + member, (state * width + after)[closed]]), (row, member, n)
+
+
+def _outside_counts(rare: int):
+    def run(batches):
+        size = 2 * rare * (rare + 1)
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            total += np.bincount(_outside_pairs(batch, rare)[1], minlength=size)
+        yield from _summed(total, "pair")
+
+    return run
+
+
+def _outside_scores(shared, moves: np.ndarray):
+    def run(batches):
+        model, flat = shared.value, moves.ravel()
+        for batch in batches:
+            row, pairs, (token, member, n) = _outside_pairs(batch, model.rare)
+            rows = batch.num_rows
+            score = np.bincount(row, flat[pairs], rows) + np.bincount(token, model.emission(n.astype(np.float64), member), rows)
+            known, base = np.bincount(token[n > 0], minlength=rows), np.bincount(token, np.log10(n + 1.0), rows)
+            yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], names=["tag", "known", "base", "score"])
+
+    return run
 
-def train(train_docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the table of all word counts (word, n)."""
-    counts = written(to_python(train_docs.select("text")).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+
+def _inside_scores(moves: np.ndarray):
+    def run(batches):
+        flat = moves.ravel()
+        for batch in batches:
+            pairs, counts = batch.column("pairs"), batch.column("counts")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(pairs.offsets.to_numpy()))
+            score = np.bincount(row, flat[pairs.flatten().to_numpy()] * counts.flatten().to_numpy(), batch.num_rows) + batch.column("emit").to_numpy()
+            names = [n for n in batch.schema.names if n not in ("pairs", "counts", "emit")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score)], names=[*names, "score"])
+
+    return run
+
+
+def train(train_docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """The head's vocabulary, and the table of all words but the anchors (word, n, class)."""
+    texts = to_python(train_docs.select("text"))
+    counts = written(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
-    head = frequent(counts)
-    texts = train_docs.count()
-    if texts and END not in dict(head):
-        head.append((END, texts))
-    top = list(dict.fromkeys([*(w for w, _ in head[:CLUSTERED]), END]))
-    endings = {bytes(r["ending"]): [r["n"], r["v"]] for r in counts.groupBy(F.substring("word", -2, 2).alias("ending")).agg(F.sum("n").alias("n"), F.count("n").alias("v")).toArrow().to_pylist()}
-    own = dict(head) | {END: texts}
-    for w in top:
-        if w[-2:] in endings and own[w]:
-            endings[w[-2:]][0] -= own[w]
-            endings[w[-2:]][1] -= 1
-    types = sorted((t for t, (n, v) in endings.items() if v), key=lambda t: (-endings[t][0], t))[:TYPES]
-    units = Units(top, types)
-    kinds = {units.types[t]: tuple(endings[t]) for t in types}
-    left = [nv for t, nv in endings.items() if t not in units.types]
-    kinds[units.rest] = (sum(n for n, _ in left), sum(v for _, v in left))
-    pairs = to_python(train_docs.select("text")).mapInArrow(_count_bigrams(units), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    bigrams = np.zeros(units.size**2)
-    bigrams[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
-    return Model(units, bigrams.reshape(units.size, units.size), head, kinds, total, distinct), counts
+    if not total:
+        empty = train_docs.sparkSession.createDataFrame([], "word binary, n long, class short")
+        return Vocabulary([], np.zeros(2), np.zeros(2), 0, 0), empty
+    top = {bytes(r["word"]): r["n"] for r in counts.where((F.col("n") >= MIN_COUNT) | (F.length("word") == 0)).orderBy(F.desc(F.length("word") == 0), F.desc("n"), "word").limit(ANCHORS).collect()}
+    anchors = list(top)
+    m = _matrix(texts.mapInArrow(_count_anchors(anchors), "pair long, n long"), len(anchors), len(anchors))
+    member = exchange(m)
+    classes = int(member.max()) + 1
+    one = np.eye(classes)[member]
+    fixed = now = one.T @ m @ one
+    visits = texts.mapInArrow(_count_neighbours(anchors, member, classes), "word binary, code short, n long")
+    gathered = visits.repartition("word").sortWithinPartitions("word").mapInArrow(_gather(2 * classes + 1), "word binary, n long, codes array<short>, counts array<long>")
+    words = written(gathered, "word-neighbours")
+    for _ in range(ROUNDS - 1):
+        now = fixed + _matrix(words.where(F.col("n") >= MIN_COUNT).mapInArrow(_class_counts(now), "pair long, n long"), classes, classes)
+    assigned = written(words.mapInArrow(_assign(now), "word binary, n long, class short"), "word-classes")
+    sums = {r["class"]: (r["words"], r["tokens"]) for r in assigned.groupBy("class").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).collect()}
+    held = np.array([sums.get(c, (0, 0)) for c in range(classes + 1)], np.float64)
+    for w, c in zip(anchors, member):
+        held[c] += 1, top[w]
+    head = [(w, top[w], int(c)) for w, c in zip(anchors, member)] + frequent(assigned.where(F.col("n") >= MIN_COUNT))
+    return Vocabulary(head, held[:, 0], held[:, 1], total, distinct), assigned
 
 
 def class_scores(docs: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row of docs. held_out: a Column, true for rows that the model must not learn from."""
     spark = docs.sparkSession
-    model, counts = train(docs.where(~held_out))
+    model, assigned = train(docs.where(~held_out))
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = f"doc_id {kind}, text_key long, word binary, n long, n_tokens long, n_known long, base_score double, score double"
-    rows = to_python(docs.select("doc_id", "text")).mapInArrow(_score(shared, kind), fields)
-    joined = rows.join(counts.withColumnRenamed("n", "c"), "word", "left")
-    log = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))
-    copies = F.sum(F.when(F.col("n") == 0, 1).otherwise(0)).alias("copies")
-    sums = joined.groupBy("doc_id", "text_key").agg(
-        copies,
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base_score") + log).alias("base_score"),
-        F.sum(F.col("score") + log).alias("score"),
-    )
-    # Rows equal in id and text were summed up together; each is returned.
-    each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return each.select(
+    names = ["tag", "doc_id", "held_out"]
+    tagged = to_python(docs.select(F.monotonically_increasing_id().alias("tag"), "doc_id", held_out.alias("held_out"), "text"))
+    rows = written(tagged.mapInArrow(_documents(shared, names), f"tag long, doc_id {kind}, held_out boolean, {DOCUMENT}, {OUTSIDE}"), "documents")
+    outside = rows.select("tag", "held_out", F.inline(F.arrays_zip("out_word", "out_place", "out_before", "out_after"))).toDF("tag", "held_out", "word", "place", "before", "after")
+    known = outside.join(assigned, "word", "left").select("tag", "held_out", "place", "before", "after", F.coalesce("class", F.lit(model.rare).cast("short")).alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
+    grouped = known.groupBy("tag", "held_out").agg(F.collect_list(F.struct("place", "before", "after", "class", "n")).alias("items"))
+    items = written(grouped, "outside")
+    inner = rows.where(~F.col("held_out")).select(F.inline(F.arrays_zip("pairs", "counts"))).toDF("pair", "n").select(F.col("pair").cast("long").alias("pair"), F.col("n").cast("long").alias("n"))
+    outer = items.where(~F.col("held_out")).mapInArrow(_outside_counts(model.rare), "pair long, n long")
+    moves = model.transitions(_matrix(inner.unionByName(outer), 2 * model.rare, model.rare + 1))
+    each = rows.select("tag", "doc_id", "held_out", "n_tokens", "n_known", "base", "emit", "pairs", "counts").mapInArrow(_inside_scores(moves), f"tag long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
+    other = items.mapInArrow(_outside_scores(shared, moves), "tag long, known long, base double, score double").toDF("tag", "o_known", "o_base", "o_score")
+    joined = each.join(other, "tag", "left")
+    score = F.col("score") + F.coalesce("o_score", F.lit(0.0))
+    return joined.select(
         "doc_id",
-        held_out.alias("held_out"),
-        F.expr("n_tokens div copies").alias("n_tokens"),
-        F.expr("n_known div copies").alias("n_known"),
+        "held_out",
+        "n_tokens",
+        (F.col("n_known") + F.coalesce("o_known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") / F.col("copies")).alias("base_score"),
-        (F.col("score") / F.col("copies")).alias("score"),
-        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+        (F.col("base") + F.coalesce("o_base", F.lit(0.0))).alias("base_score"),
+        score.alias("score"),
+        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
     )
 
 
 def op10_class_lm(spark, sf_dir: str) -> DataFrame:
+    """class_scores of all documents: null and empty texts have one end token, repeated rows are each scored; no rows for an empty table."""
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     return class_scores(table(spark, sf_dir, "documents"), held_out)

@@ -22,11 +22,18 @@ def is_held():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-@pytest.mark.parametrize("head", [200_000, 15])
-def test_base_score_equals_brute_force(docs, texts, head, monkeypatch):
-    monkeypatch.setattr(C, "HEAD", head)
-    monkeypatch.setattr(C, "CLUSTERED", 10)
-    monkeypatch.setattr(C, "TYPES", 4)
+SIZES = [dict(HEAD=200_000), dict(HEAD=15), dict(HEAD=0, ANCHORS=7, CLASSES=4), dict(HEAD=30, ANCHORS=12, CLASSES=5, FLUSH=20, CHUNK=500)]
+
+
+def set_sizes(monkeypatch, sizes):
+    for name, value in (dict(ANCHORS=40, CLASSES=8) | sizes).items():
+        monkeypatch.setattr(C, name, value)
+    monkeypatch.setattr(C.exchange, "__defaults__", (C.CLASSES, C.ANCHOR_ROUNDS))
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_base_score_equals_brute_force(docs, texts, sizes, monkeypatch):
+    set_sizes(monkeypatch, sizes)
     got = sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in C.class_scores(docs, is_held()).collect())
     count = Counter(w for i, t in texts if not held(i) for w in tokens(t))
     n, v = sum(count.values()), len(count)
@@ -34,36 +41,119 @@ def test_base_score_equals_brute_force(docs, texts, head, monkeypatch):
     assert got == want
 
 
-def test_scores_do_not_depend_on_the_head(docs, monkeypatch):
-    monkeypatch.setattr(C, "CLUSTERED", 4)
-    monkeypatch.setattr(C, "TYPES", 4)
-    whole = sorted((str(r["doc_id"]), round(r["score"], 6)) for r in C.class_scores(docs, is_held()).collect())
-    monkeypatch.setattr(C, "HEAD", 20)
-    assert whole == sorted((str(r["doc_id"]), round(r["score"], 6)) for r in C.class_scores(docs, is_held()).collect())
+class Brute:
+    """The model from its classes alone, by plain loops over the training texts."""
+
+    def __init__(self, class_of, count, rare, texts):
+        self.class_of, self.count, self.rare = class_of, count, rare
+        self.n, self.v = Counter(), Counter()
+        for w, k in count.items():
+            self.n[self.kind(w)] += k
+            self.v[self.kind(w)] += 1
+        self.moves = Counter()
+        for t in texts:
+            self.moves.update((s, c) for s, c, _ in self.walk(t))
+        self.out, self.into = Counter(), Counter()
+        for (s, c), k in self.moves.items():
+            self.out[s] += k
+            self.into[c] += k
+        self.all = sum(self.into.values())
+
+    def kind(self, w):
+        return self.class_of.get(w, self.rare)
+
+    def walk(self, text):
+        """(state, class, word) of each token; a state is (last class that isn't rare, whether rare words followed it)."""
+        state = self.kind(""), False
+        for w in tokens(text):
+            c = self.kind(w)
+            yield state, c, w
+            state = (state[0], True) if c == self.rare else (c, False)
+
+    def word(self, state, c, w):
+        def move(x):
+            return (self.moves[state, x] + C.PRIOR * (self.into[x] + 1) / (self.all + self.rare + 1)) / (self.out[state] + C.PRIOR)
+
+        if c != self.rare:
+            return move(c) * (self.count[w] - C.DISCOUNT) / self.n[c]
+        passed = sum(move(x) * C.DISCOUNT * self.v[x] / self.n[x] for x in range(self.rare) if self.n[x])
+        return (move(c) + passed) * (self.count[w] + 1) / (self.n[c] + self.v[c] + 1)
+
+    def score(self, text):
+        return sum(math.log10(self.word(*x)) for x in self.walk(text))
+
+
+def brute_model(docs, texts):
+    """The model's classes, and a brute-force model of them. Words are bytes there and text here."""
+    model, assigned = C.train(docs.where(~is_held()))
+    train = [t for i, t in texts if not held(i)]
+    count = Counter(w for t in train for w in tokens(t))
+    kinds = {w.decode(): int(model.member[i]) for w, i in model.index.items()} | {bytes(r["word"]).decode(): r["class"] for r in assigned.collect()}
+    assert set(kinds) == set(count)
+    assert all((count[w] < C.MIN_COUNT and w != "") == (c == model.rare) for w, c in kinds.items())
+    return Brute({w: c for w, c in kinds.items() if c != model.rare}, count, model.rare, train)
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_scores_equal_brute_force(docs, texts, sizes, monkeypatch):
+    set_sizes(monkeypatch, sizes)
+    brute = brute_model(docs, texts)
+    got = sorted((str(r["doc_id"]), round(r["score"], 6), round(r["perplexity"], 3)) for r in C.class_scores(docs, is_held()).collect())
+    want = [(i, brute.score(t), len(tokens(t))) for i, t in texts]
+    assert got == sorted((str(i), round(s, 6), round(10 ** (-s / n), 3)) for i, s, n in want)
+
+
+def test_probabilities_sum_to_one(docs, texts, monkeypatch):
+    set_sizes(monkeypatch, dict(ANCHORS=12, CLASSES=5))
+    brute = brute_model(docs, texts)
+    for state in [(c, r) for c in range(brute.rare) for r in (False, True)]:
+        total = sum(brute.word(state, brute.kind(w), w) for w in brute.count) + brute.word(state, brute.rare, "an unseen word")
+        assert total == pytest.approx(1)
 
 
 def test_frequent_words(spark, monkeypatch):
-    counts = spark.createDataFrame([(f"w{i}".encode(), 1 + i // 10) for i in range(100)], "word binary, n long")
+    counts = spark.createDataFrame([(f"w{i}".encode(), 1 + i // 10, 3) for i in range(100)], "word binary, n long, class short")
     for most in (0, 5, 10, 37, 100, 500):
         monkeypatch.setattr(C, "HEAD", most)
         got = C.frequent(counts)
-        assert len(got) == min(most // 10 * 10, 100) and sorted(n for _, n in got) == sorted(1 + i // 10 for i in range(100))[100 - len(got) :]
-
-
-def test_probabilities_sum_to_one(docs, monkeypatch):
-    monkeypatch.setattr(C, "CLUSTERED", 10)
-    monkeypatch.setattr(C, "TYPES", 4)
-    model, counts = C.train(docs.where(~is_held()))
-    words = {bytes(r["word"]): r["n"] for r in counts.collect()}
-    for c in range(model.move.shape[0]):
-        total = 0.0
-        for w, n in words.items():
-            u = model.units.of(w)
-            p = model.move[c, model.member[u]] + model.emit[u]
-            total += 10 ** (p if w in model.units.own else p + math.log10(n + 1) - model.share[u])
-        for u in range(len(model.units.own), model.units.size):  # the share of unseen words
-            total += 10 ** (model.move[c, model.member[u]] + model.emit[u] - model.share[u])
-        assert total == pytest.approx(1)
+        assert len(got) == min(most // 10 * 10, 100) and sorted(n for _, n, _ in got) == sorted(1 + i // 10 for i in range(100))[100 - len(got) :]
+
+
+@pytest.mark.parametrize("flush, chunk", [(400_000, 4 << 20), (3, 100)])
+def test_neighbours_equal_brute_force(spark, docs, texts, monkeypatch, flush, chunk):
+    monkeypatch.setattr(C, "FLUSH", flush)
+    monkeypatch.setattr(C, "CHUNK", chunk)
+    anchors, member = ["", "the", "of", "a"], [1, 0, 1, 2]
+    kind = dict(zip(anchors, member))
+    want = {}
+    for _, t in texts:
+        words = ["", *tokens(t)]
+        for before, w, after in zip(words, words[1:], words[2:]):
+            if w not in kind:
+                entry = want.setdefault(w, Counter())
+                entry["n"] += 1
+                if before in kind:
+                    entry[kind[before]] += 1
+                if after in kind:
+                    entry[3 + kind[after]] += 1
+    visits = docs.select("text").mapInArrow(C._count_neighbours([a.encode() for a in anchors], np.array(member), 3), "word binary, code short, n long")
+    rows = visits.repartition("word").sortWithinPartitions("word").mapInArrow(C._gather(7), "word binary, n long, codes array<short>, counts array<long>").collect()
+    got = {bytes(r["word"]).decode(): Counter({"n": r["n"]} | dict(zip(r["codes"], r["counts"]))) for r in rows}
+    assert len(got) == len(rows)
+    assert got == {w: entry if entry["n"] >= C.MIN_COUNT else Counter(n=entry["n"]) for w, entry in want.items()}
+
+
+def test_best_class_is_the_likeliest():
+    rng = np.random.default_rng(5)
+    m = rng.poisson(9, (6, 6)).astype(float)
+    lead, follow = rng.poisson(2, (50, 6)), rng.poisson(2, (50, 6))
+    n = lead.sum(axis=1) + 1
+    for row, got in enumerate(C.best_classes(lead, follow, n, m)):
+        value = []
+        for b in range(6):
+            size = m[b].sum() + 3
+            value.append(sum(lead[row, c] * math.log(m[c, b] + 0.5) + follow[row, c] * math.log((m[b, c] + 0.5) / size) for c in range(6)) - n[row] * math.log(size))
+        assert value[got] == pytest.approx(max(value))
 
 
 def test_exchange_finds_the_classes():
@@ -101,3 +191,4 @@ def test_empty(no_docs, spark):
     rows = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = C.class_scores(rows, F.lit(True)).collect()  # nothing to learn from
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)]
+    assert all(r["score"] == pytest.approx(r["n_tokens"] * math.log10(0.5)) for r in got)
