@@ -7,9 +7,10 @@
 Reading is split into ranges of records; each task opens the file by
 pyarrow.fs, so a path can be local, shared or in an object store. All integers
 are little-endian. A file whose records differ in dimension, or that ends inside
-a record, is an error. Written rows must come with the ids 0, 1, ... in order of
-vec_id within each partition; each partition writes one file, and a folder of
-files is read in name order.
+a record, is an error. Each partition writes one file, its rows in order of vec_id; a
+folder of files is read in name order. Appended files come after those that are
+there; overwriting replaces them once all new ones are written. Vectors of a file
+have one dimension; null vectors are an error.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Records read by one task.
 ROWS = 65_536
@@ -115,51 +116,66 @@ class Written(WriterCommitMessage):
     path: str
 
 
-class _Writer(DataSourceWriter):
-    def __init__(self, options, kind: str):
-        self.path, self.kind = options["path"], kind
+class _Writer(DataSourceArrowWriter):
+    def __init__(self, options, kind: str, overwrite: bool):
+        self.path, self.kind, self.overwrite = options["path"], kind, overwrite
         self.dtype, self.minus = ELEMENTS[kind]
 
-    def write(self, rows):
+    def _place(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+
+    def write(self, batches):
         import uuid
 
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        vectors = sorted(((r["vec_id"], r["embedding"]) for r in rows), key=lambda x: x[0])
-        if not vectors:
+        rows = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pydict({"vec_id": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.int8()))})])
+        if not rows.num_rows:
             return Written("")
-        values = np.array([v for _, v in vectors])
+        rows = rows.sort_by("vec_id").combine_chunks()
+        lists = rows.column("embedding").combine_chunks()
+        sizes = np.unique(lists.value_lengths().to_numpy(zero_copy_only=False))
+        if lists.null_count or len(sizes) != 1:
+            raise ValueError("vectors to be written must not be null, and of one dimension")
+        values = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), int(sizes[0]))
         if self.minus:
             values = values.astype(np.int16) + self.minus
-        values = values.astype(self.dtype)
-        if self.kind.endswith("bin"):
-            data = np.array(values.shape, "<i4").tobytes() + values.tobytes()
-        else:
-            out = np.empty(len(values), [("d", "<i4"), ("v", self.dtype, (values.shape[1],))])
-            out["d"], out["v"] = values.shape[1], values
-            data = out.tobytes()
-        system, at = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        system, at = self._place()
         system.create_dir(at, recursive=True)
         name = f"{at}/.part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}"
         with system.open_output_stream(name) as f:
-            f.write(data)
+            if self.kind.endswith("bin"):
+                f.write(np.array(values.shape, "<i4").tobytes())
+            for lo in range(0, len(values), ROWS):
+                part = values[lo : lo + ROWS].astype(self.dtype)
+                if not self.kind.endswith("bin"):
+                    records = np.empty(len(part), [("d", "<i4"), ("v", self.dtype, (part.shape[1],))])
+                    records["d"], records["v"] = part.shape[1], part
+                    part = records
+                f.write(part.tobytes())
         return Written(name)
 
     def commit(self, messages):
-        """Files show up under their final names only once all tasks are done."""
+        """Files show up under their final names only once all tasks are done. Names begin with the number of the write, so later writes are read later."""
         from pyarrow import fs
 
-        system, _ = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        system, at = self._place()
+        system.create_dir(at, recursive=True)
+        old = [x.path for x in system.get_file_info(fs.FileSelector(at)) if x.is_file and not x.base_name.startswith(("_", "."))]
+        numbers = [int(n) for p in old if (n := p.rpartition("/")[2].split("-")[0]).isdigit()]
+        write = 0 if self.overwrite else max(numbers, default=-1) + 1
+        if self.overwrite:
+            for path in old:
+                system.delete_file(path)
         for m in messages:
             if m and m.path:
                 folder, _, name = m.path.rpartition("/")
-                system.move(m.path, f"{folder}/{name[1:].rsplit('-', 1)[0]}.{self.kind}")
+                system.move(m.path, f"{folder}/{write:06d}-{name[1:]}.{self.kind}")
 
     def abort(self, messages):
-        from pyarrow import fs
-
-        system, _ = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        system, _ = self._place()
         for m in messages:
             if m and m.path:
                 system.delete_file(m.path)
@@ -179,7 +195,7 @@ class _Source(DataSource):
         return _Reader(self.options, self.kind)
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options, self.kind)
+        return _Writer(self.options, self.kind, overwrite)
 
 
 class Fvecs(_Source):

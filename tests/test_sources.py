@@ -65,3 +65,30 @@ def test_round_trip(spark, tmp_path, kind, dtype):
 def test_empty_file(spark, tmp_path):
     (tmp_path / "x.fvecs").write_bytes(b"")
     assert spark.read.format("fvecs").load(str(tmp_path / "x.fvecs")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["fvecs", "i8bin"])
+def test_appends_add_and_overwriting_replaces(spark, tmp_path, kind):
+    path = str(tmp_path / kind)
+
+    def rows(first, n):
+        dtype = "float" if kind == "fvecs" else "tinyint"
+        return spark.createDataFrame([(i, [first, i]) for i in range(n)], "vec_id long, embedding array<int>").selectExpr("vec_id", f"cast(embedding as array<{dtype}>) as embedding").repartitionByRange(2, "vec_id")
+
+    def stored():
+        return [[int(x) for x in r["embedding"]] for r in spark.read.format(kind).load(path).orderBy("vec_id").collect()]
+
+    rows(1, 4).write.format(kind).mode("append").save(path)
+    rows(2, 3).write.format(kind).mode("append").save(path)
+    assert stored() == [[1, i] for i in range(4)] + [[2, i] for i in range(3)]
+    rows(3, 2).write.format(kind).mode("overwrite").save(path)
+    assert stored() == [[3, 0], [3, 1]]
+    rows(4, 1).write.format(kind).mode("append").save(path)
+    assert stored() == [[3, 0], [3, 1], [4, 0]]
+
+
+def test_vectors_without_a_common_dimension_are_not_written(spark, tmp_path):
+    for bad in ([(0, [1.0]), (1, None)], [(0, [1.0]), (1, [1.0, 2.0])]):
+        with pytest.raises(Exception, match="one dimension"):
+            spark.createDataFrame(bad, "vec_id long, embedding array<float>").coalesce(1).write.format("fvecs").mode("append").save(str(tmp_path / "x"))
+    assert not [p for p in (tmp_path / "x").glob("*.fvecs")] if (tmp_path / "x").exists() else True
