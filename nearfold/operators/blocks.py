@@ -12,7 +12,7 @@ from nearfold.operators.kmeans import local_kmeans
 from nearfold.operators.quantize import group_means
 
 LEAF = 128
-#: Above this many members, balanced assignment, which is quadratic, gives way to bisection.
+#: A cell of more members is cut along one axis: balanced assignment measures every member against every block.
 BALANCED_MOST = 4096
 
 
@@ -67,17 +67,32 @@ def bisect_blocks(cells: DataFrame, leaf: int = LEAF) -> DataFrame:
     return rows.groupBy("cell_id").applyInPandas(_bisect(leaf), "cell_id long, block long, pos long, vec_id long")
 
 
-def _balanced(leaf: int, rounds: int):
-    fallback = _bisect(leaf)
+def _one_axis(leaf: int):
+    """Blocks of consecutive members along the leading axis of the cell."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("vec_id")
+        ids, x = group["vec_id"].to_numpy(), np.array(group["v"].tolist())
+        centred = x - x.mean(axis=0)
+        axis = np.linalg.eigh(centred.T @ centred)[1][:, -1]
+        order = np.lexsort((ids, np.round(x @ axis, 9)))
+        at = np.arange(len(ids))
+        return pd.DataFrame({"cell_id": group["cell_id"].iloc[0], "block": at // leaf, "pos": at % leaf, "vec_id": ids[order]})
+
+    return run
+
+
+def _balanced(leaf: int, rounds: int, most: int):
+    large = _one_axis(leaf)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         n = len(group)
-        if n > BALANCED_MOST:
-            return fallback(group)
+        if n > most:
+            return large(group)
         group = group.sort_values("vec_id")
         ids, x = group["vec_id"].to_numpy(), np.array(group["v"].tolist())
         cents, _ = local_kmeans(x, -(-n // leaf), rounds)
-        d = ((x[:, None, :] - cents[None]) ** 2).sum(axis=2)
+        d = (x**2).sum(axis=1)[:, None] + (cents**2).sum(axis=1)[None, :] - 2 * x @ cents.T
         block, room = np.full(n, -1), np.full(len(cents), leaf)
         for flat in np.argsort(d, axis=None, kind="stable"):
             i, c = divmod(int(flat), len(cents))
@@ -90,10 +105,10 @@ def _balanced(leaf: int, rounds: int):
     return run
 
 
-def balanced_blocks(cells: DataFrame, leaf: int = LEAF, rounds: int = 5) -> DataFrame:
-    """As bisect_blocks, by k-means within the cell and then the nearest pairs first, at most leaf to a cluster."""
+def balanced_blocks(cells: DataFrame, leaf: int = LEAF, rounds: int = 5, most: int = BALANCED_MOST) -> DataFrame:
+    """As bisect_blocks, by k-means within the cell and then the nearest pairs first, at most leaf to a cluster. A cell of more than `most` members is ordered along its leading axis and cut."""
     rows = cells.select("vec_id", "cell_id", V.doubles("embedding").alias("v"))
-    return rows.groupBy("cell_id").applyInPandas(_balanced(leaf, rounds), "cell_id long, block long, pos long, vec_id long")
+    return rows.groupBy("cell_id").applyInPandas(_balanced(leaf, rounds, most), "cell_id long, block long, pos long, vec_id long")
 
 
 def block_centroids(blocks: DataFrame, column: str = "embedding") -> DataFrame:

@@ -7,9 +7,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries broadcast at a time, and the bytes that they may take.
+from nearfold.scratch import written
+
+#: Queries broadcast at a time, the bytes that they may take, and the distances that are held at once.
 QUERY_BLOCK = 8192
 BLOCK_BYTES = 64 << 20
+HELD = 1 << 22
 
 
 def top_k(df: DataFrame, k: int, by: list[str], order: list[Column | str], rank: str = "rank") -> DataFrame:
@@ -23,27 +26,47 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def of_dimension(batch: pa.RecordBatch, column: str, dim: int) -> pa.RecordBatch:
+    """The rows whose vector has this dimension and no null: others, null and empty ones among them, are no neighbour of any."""
+    import pyarrow.compute as pc
+
+    lists = batch.column(column)
+    fits = pc.fill_null(pc.equal(pc.list_value_length(lists), dim), False)
+    batch = batch if pc.all(fits).as_py() is not False else batch.filter(fits)
+    lists = batch.column(column)
+    if lists.flatten().null_count:
+        whole = [all(x is not None for x in v) for v in lists.to_pylist()]
+        batch = batch.filter(pa.array(whole, pa.bool_()))
+    return batch
+
+
+def nearest_rows(d: np.ndarray, measure, v: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact distances of each row's `take` nearest by approximate d, and of those tied with the last."""
+    take = min(take, d.shape[1])
+    at = np.argpartition(d, take - 1, axis=1)[:, :take]
+    bound = np.take_along_axis(d, at, axis=1).max(axis=1, keepdims=True) + 1e-9
+    most = int((d <= bound).sum(axis=1).max())
+    if most > take:  # ties beyond the margin
+        at = np.argsort(d, axis=1, kind="stable")[:, :most]
+    return v[at], measure(at)
+
+
 def _scan(shared, k: int):
     def run(batches):
         ids, queries = shared.value
+        dim = queries.shape[1]
         norms = (queries**2).sum(axis=1)
-        best_d = np.full((len(ids), 0), np.inf)
-        best_v = np.zeros((len(ids), 0), np.int64)
+        best_d, best_v = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
+        row, step = np.arange(len(ids))[:, None], max(64, HELD // len(ids))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
+            batch = of_dimension(batch, "embedding", dim)
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
                 v, x = part.column("vec_id").to_numpy(zero_copy_only=False), matrix(part.column("embedding"))
                 d = norms[:, None] + (x**2).sum(axis=1)[None, :] - 2 * queries @ x.T
-                # A margin for the error of the expanded form: candidates are measured exactly below.
-                take = min(k + 8, d.shape[1])
-                at = np.argpartition(d, take - 1, axis=1)[:, :take]
-                row = np.arange(len(ids))[:, None]
-                bound = np.take_along_axis(d, at, axis=1).max(axis=1, keepdims=True) + 1e-9
-                if (d <= bound).sum(axis=1).max() > take:  # ties beyond the margin
-                    take = int((d <= bound).sum(axis=1).max())
-                    at = np.argsort(d, axis=1, kind="stable")[:, :take]
-                exact = np.array([((x[a] - q) ** 2).sum(axis=1) for a, q in zip(at, queries)])
-                best_d, best_v = np.hstack([best_d, exact]), np.hstack([best_v, v[at]])
+                # A margin for the error of the expanded form: candidates are measured exactly.
+                near, exact = nearest_rows(d, lambda at: np.array([((x[a] - q) ** 2).sum(axis=1) for a, q in zip(at, queries)]), v, k + 8)
+                best_d, best_v = np.hstack([best_d, exact]), np.hstack([best_v, near])
                 order = np.lexsort((best_v, np.round(best_d, 6)), axis=1)[:, :k]
                 best_d, best_v = best_d[row, order], best_v[row, order]
         n = best_d.shape[1]
@@ -53,51 +76,85 @@ def _scan(shared, k: int):
 
 
 def query_blocks(queries: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """Queries (qid, q) in blocks of bounded size, as NumPy arrays."""
+    """Queries (qid, q) in blocks of bounded size, as NumPy arrays. Queries without a vector of the usual dimension are left out."""
     dim = queries.select(F.max(F.size("q"))).first()[0]
-    if not dim:
+    if not dim or dim < 1:
         return
     block = max(1, min(QUERY_BLOCK, block_bytes // (8 * dim)))
-    n = queries.count()
-    parts = -(-n // block)
-    dealt = queries.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts))) if parts > 1 else queries.withColumn("part", F.lit(0))
+    queries = queries.where((F.size("q") == dim) & ~F.exists("q", lambda x: x.isNull()))
+    parts = max(1, -(-queries.count() // block))
+    dealt = queries.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)))
     for i in range(parts):
-        got = dealt.where(F.col("part") == i).toArrow().combine_chunks()
+        got = dealt.where(F.col("part") == i).select("qid", "q").toArrow().combine_chunks()
         if got.num_rows:
-            q = got.column("q").combine_chunks() if isinstance(got.column("q"), pa.ChunkedArray) else got.column("q")
+            q = got.column("q").combine_chunks()
             yield got.column("qid").to_numpy(), matrix(q)
 
 
+def by_blocks(queries: DataFrame, scan, label: str) -> DataFrame | None:
+    """What scan(block) gives for all blocks of queries: one block's as a plan, several blocks' each written before the next is broadcast, so only one is held."""
+    held = None
+    before = None
+    for block in query_blocks(queries):
+        if before is not None:
+            found, shared = before
+            found = written(found, label)
+            shared.destroy()
+            held = found if held is None else held.unionByName(found)
+        shared = queries.sparkSession.sparkContext.broadcast(block)
+        before = scan(shared), shared
+    if before is None:
+        return None
+    return before[0] if held is None else held.unionByName(before[0])
+
+
 def exact_knn(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """qid, rank, vec_id, dist: the k nearest of base (vec_id, embedding) to each of queries (qid, q), by squared L2 and then vec_id.
 
     A stated set of queries against all rows: queries are broadcast in blocks of
     bounded size, each base partition keeps k candidates for each query, and the
-    candidates alone are shuffled.
+    candidates alone are shuffled. Null and empty vectors, and those of another
+    dimension, are no neighbours.
     """
-    spark = base.sparkSession
-    found = None
-    for block in query_blocks(queries):
-        shared = spark.sparkContext.broadcast(block)
-        part = base.select("vec_id", "embedding").mapInArrow(_scan(shared, k), "qid long, vec_id long, dist double")
-        found = part if found is None else found.unionByName(part)
+    rows = base.select("vec_id", "embedding")
+    found = by_blocks(queries, lambda shared: rows.mapInArrow(_scan(shared, k), "qid long, vec_id long, dist double"), "knn")
     if found is None:
-        found = spark.createDataFrame([], "qid long, vec_id long, dist double")
+        found = base.sparkSession.createDataFrame([], "qid long, vec_id long, dist double")
     found = found.withColumn("dist", F.round("dist", 6))
     return top_k(found, k, ["qid"], ["dist", "vec_id"]).select("qid", "rank", "vec_id", "dist")
 
 
-def against(base: DataFrame, queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Each row of base with each of a stated set of queries (qid, q), of which blocks of bounded size are broadcast in turn. For rankings that need expressions; exact_knn is faster for distances."""
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("q")), F.lit(1)).alias("d")).first()
-    block = max(1, min(QUERY_BLOCK, block_bytes // (8 * max(1, size["d"]))))
-    parts = max(1, -(-size["n"] // block))
-    dealt = queries.withColumn("_part", F.pmod(F.xxhash64("qid"), F.lit(parts)))
-    out = None
-    for i in range(parts):
-        pairs = base.crossJoin(F.broadcast(dealt.where(F.col("_part") == i).drop("_part")))
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+def squared(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Squared distances, by differences."""
+    return np.array([((x - a) ** 2).sum(axis=1) for a in q]).reshape(len(q), len(x))
+
+
+def _values(shared, columns: dict, column: str, extra: list[str]):
+    def run(batches):
+        ids, queries = shared.value
+        step = max(64, HELD // (len(ids) * max(1, len(columns))))
+        for batch in batches:
+            batch = of_dimension(batch, column, queries.shape[1]) if not extra else batch
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                x = matrix(part.column(column))
+                more = [part.column(e).to_numpy(zero_copy_only=False) for e in extra]
+                found = [np.asarray(f(queries, x, *more), np.float64).ravel() for f in columns.values()]
+                v = part.column("vec_id").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(v))), pa.array(np.tile(v, len(ids))), *map(pa.array, found)], names=["qid", "vec_id", *columns])
+
+    return run
+
+
+def against(base: DataFrame, queries: DataFrame, column: str = "embedding", extra: tuple[str, ...] = (), **columns) -> DataFrame:
+    """qid, vec_id and a value by each function of (queries, rows, extra columns) for each row of base with each of a stated set of queries (qid, q).
+
+    Functions take matrices and give one, so a batch is a matrix product or the like. Queries come in blocks of bounded size.
+    """
+    schema = "qid long, vec_id long, " + ", ".join(f"{c} double" for c in columns)
+    rows = base.select("vec_id", column, *extra)
+    found = by_blocks(queries, lambda shared: rows.mapInArrow(_values(shared, columns, column, list(extra)), schema), "values")
+    return base.sparkSession.createDataFrame([], schema) if found is None else found
 
 
 def recall(result: DataFrame, truth: DataFrame, k: int, m: int | None = None) -> DataFrame:

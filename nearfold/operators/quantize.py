@@ -106,10 +106,9 @@ def _sums(key: str):
                 continue
             x = matrix(batch.column("v"))
             keys, at, n = np.unique(batch.column(key).to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
-            total = np.zeros((len(keys), x.shape[1]))
-            np.add.at(total, at, x)
             d = x.shape[1]
-            columns = [pa.array(np.repeat(keys, d)).cast(batch.schema.field(key).type), pa.array(np.tile(np.arange(d, dtype=np.int32), len(keys))), pa.array(total.ravel()), pa.array(np.repeat(n, d))]
+            total = np.bincount((at[:, None] * d + np.arange(d)).ravel(), x.ravel(), len(keys) * d)
+            columns = [pa.array(np.repeat(keys, d)).cast(batch.schema.field(key).type), pa.array(np.tile(np.arange(d, dtype=np.int32), len(keys))), pa.array(total), pa.array(np.repeat(n, d))]
             yield pa.RecordBatch.from_arrays(columns, names=[key, "pos", "s", "n"])
 
     return run

@@ -7,6 +7,7 @@ from nearfold.operators import blocks as B
 from nearfold.operators import graph as G
 from nearfold.operators import kmeans as K
 from nearfold.operators import knn as N
+from nearfold.operators import lookup as L
 from nearfold.operators import quantize as Z
 from nearfold.operators import rerank as R
 from nearfold.operators.ivf import IvfIndex
@@ -130,8 +131,76 @@ def test_principal_axes(base):
 def test_ivf_recall_rises_with_probes(base, queries):
     index = IvfIndex(nlist=8, bits=2, rounds=3).train(base).add(base)
     t = N.exact_knn(base, queries, 10)
-    recalls = [N.recall(index.search(queries, 10, nprobe=p), t, 10).first()[0] for p in (1, 4, 8)]
-    assert recalls == sorted(recalls) and recalls[-1] > 0.8
+    for raw, least in ((None, 0.75), (base, 0.98)):  # without raw vectors by decoded ones
+        recalls = [N.recall(index.search(queries, 10, nprobe=p, raw=raw), t, 10).first()[0] for p in (1, 4, 8)]
+        assert recalls == sorted(recalls) and recalls[-1] >= least
+    assert listed(index.search(queries, 10, nprobe=8, alpha=40, raw=base)) == truth(10)
+
+
+@pytest.mark.parametrize("bits, residual_bits", [(1, 4), (2, 4), (4, 8)])
+def test_code_distances_equal_decoded_ones(base, queries, bits, residual_bits):
+    index = IvfIndex(nlist=4, bits=bits, residual_bits=residual_bits, rounds=2).train(base).add(base)
+    c = index.coder
+    decoded = {}
+    for r in index.lists.collect():
+        code = L.unpack(np.frombuffer(r["code"], np.uint8)[None], bits, 16)[0]
+        left = L.unpack(np.frombuffer(r["residual_code"], np.uint8)[None], residual_bits, 16)[0]
+        decoded[r["vec_id"]] = c.centroids[r["list_id"]] + (np.array(c.quantiser.primary)[code] + np.array(c.quantiser.residual)[left]) @ c.rotation
+    got = index.search(queries, 400, nprobe=4, alpha=1).collect()
+    assert len(got) == 4000
+    for r in got:
+        assert r["dist"] == pytest.approx(((X[r["qid"]] - decoded[r["vec_id"]]) ** 2).sum())
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4, 8])
+def test_packed_codes_and_byte_tables(bits):
+    codes = np.random.default_rng(bits).integers(0, 1 << bits, (30, 13)).astype(np.uint8)
+    packed = L.pack(codes, bits)
+    assert packed.shape == (30, -(-13 * bits // 8)) and (L.unpack(packed, bits, 13) == codes).all()
+    q, levels = X[0, :13], np.sort(np.random.default_rng(1).normal(size=1 << bits))
+    want = ((levels[codes] - q) ** 2).sum(axis=1)
+    assert np.allclose(L.distances(packed, L.byte_tables(L.level_table(q, levels), bits)), want)
+
+
+def test_vectors_that_are_none(spark, base, queries):
+    odd = base.select("vec_id", "embedding").unionByName(spark.createDataFrame([(1000, None), (1001, []), (1002, [1.0]), (1003, [None] * 16)], "vec_id long, embedding array<double>"))
+    assert listed(N.exact_knn(odd, queries, 10)) == truth(10)
+    more = queries.unionByName(spark.createDataFrame([(900, None), (901, [])], "qid long, q array<double>"))
+    assert listed(N.exact_knn(odd, more, 10)) == truth(10)
+    assert np.allclose(K.kmeans(odd, 4, 2), K.kmeans(base, 4, 2))
+    index = IvfIndex(nlist=4, rounds=2).train(odd).add(odd)
+    assert index.lists.count() == 400 and N.recall(index.search(more, 5, 4, raw=odd), N.exact_knn(base, queries, 5), 5).first()[0] > 0.95
+    assert len(K.kmeans(base.limit(0), 4)) == 0
+    with pytest.raises(ValueError, match="no vectors"):
+        IvfIndex().train(base.limit(0))
+
+
+def test_training_takes_any_ids(spark, base):
+    moved = base.select((F.col("vec_id") * 7 + 1_000_000).alias("vec_id"), "embedding")
+    assert np.allclose(K.strided_init(moved, 8), K.strided_init(base, 8))
+    assert np.allclose(K.strided_init(base, 8), X[[i * 400 // 8 for i in range(8)]])
+    assert K.strided_init(moved.limit(3), 8).shape == (3, 16)
+
+
+def test_empty_clusters_are_seeded_anew(spark):
+    x = [[float(i % 3), 0.0] for i in range(30)] + [[float(i), 9.0] for i in range(10)]
+    rows = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    cents = K.kmeans(rows, 4, 12, init=np.array([[0.0, 0.0], [1.0, 5.0], [99.0, 99.0], [98.0, 99.0]]))
+    sizes = {r["c"]: r["count"] for r in K.assign_fast(rows, cents).groupBy("c").count().collect()}
+    assert len(sizes) == 4
+
+
+def test_projected_kmeans_has_means_of_the_full_space(base):
+    p = Z.gaussian_projection(16, 4, 3)
+    got = {r["c"]: (r["n"], np.array(r["cent"])) for r in K.projected_kmeans(base, p, 6, 4).collect()}
+    y = X @ p.T
+    cents = y[[i * 400 // 6 for i in range(6)]]
+    for _ in range(4):
+        at = ((y[:, None] - cents[None]) ** 2).sum(axis=2).argmin(axis=1)
+        cents = np.array([y[at == c].mean(axis=0) for c in range(6)])
+    at = ((y[:, None] - cents[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert {c: n for c, (n, _) in got.items()} == dict(zip(*np.unique(at, return_counts=True)))
+    assert all(np.allclose(cent, X[at == c].mean(axis=0)) for c, (_, cent) in got.items())
 
 
 def test_ivf_adds_in_parts(base, queries, tmp_path):
@@ -205,10 +274,34 @@ def test_beam_reaches_the_nearest_blocks(spark, width):
         assert len({r["block_id"] for r in rows}) == len(rows) <= 16
 
 
-def test_walk_by_joins_finds_what_the_broadcast_walk_finds(spark, monkeypatch):
-    monkeypatch.setattr(G, "GRAPH_BYTES", 0)
-    got = G.walk_by_joins(*line_graph(spark), ef=4, hops=20).collect()
-    assert {r["block_id"] for r in got if r["qid"] == 1} == {11, 12, 13, 14}
+@pytest.mark.parametrize("ef, width, early", [(16, 1, False), (7, 3, False), (3, 1, True), (5, 4, True)])
+def test_walks_by_joins_equal_broadcast_walks(spark, monkeypatch, ef, width, early):
+    r = np.random.default_rng(ef)
+    cents = r.normal(size=(40, 3))
+    blocks = spark.createDataFrame([(i * 3, [float(v) for v in c]) for i, c in enumerate(cents)], "block_id long, cent array<double>")
+    near = ((cents[:, None] - cents[None]) ** 2).sum(axis=2).argsort(axis=1)[:, 1:4]
+    edges = graph(spark, {i * 3: [int(j) * 3 for j in near[i]] for i in range(40)})
+    q = spark.createDataFrame([(i, [float(v) for v in r.normal(size=3)]) for i in range(6)], "qid long, q array<double>")
+    entries = spark.createDataFrame([(i, int(b) * 3) for i in range(6) for b in r.choice(40, 2, replace=False)], "qid long, block_id long")
+    for knobs in ((q, entries, blocks, edges), line_graph(spark)):
+        walked = [sorted(map(tuple, f(*knobs, ef, width, early).collect())) for f in (G.beam_search, G.walk_by_joins)]
+        assert walked[0] == walked[1] and walked[0]
+        monkeypatch.setattr(G, "GRAPH_BYTES", 0)
+        assert sorted(map(tuple, G.beam_search(*knobs, ef, width, early).collect())) == walked[0]
+        monkeypatch.undo()
+
+
+def test_final_beam(spark):
+    walked = G.beam_search(*line_graph(spark), ef=16)
+    assert [(r["rank"], r["block_id"]) for r in G.final_beam(walked, 3).where("qid = 1").orderBy("rank").collect()] == [(1, 12), (2, 13), (3, 11)]
+
+
+def test_large_cells_are_cut_along_one_axis(cells):
+    got = B.balanced_blocks(cells.withColumn("cell_id", F.lit(0).cast("long")), 10, most=100).toPandas()
+    assert sorted(got["vec_id"]) == list(range(400)) and got.groupby("block").size().tolist() == [10] * 40
+    axis = np.linalg.eigh(np.cov(X.T))[1][:, -1]
+    along = (X @ axis)[got.sort_values(["block", "pos"])["vec_id"]]
+    assert (np.diff(along) >= -1e-8).all() or (np.diff(along) <= 1e-8).all()
 
 
 @pytest.mark.parametrize("mode,seeds", [("fixed", 0), ("pruned", 0), ("pruned", 2)])
