@@ -113,3 +113,14 @@ def parse_embedding(v: Column) -> Column:
 
 def cell_id(c1: Column, c2: Column, c3: Column, k2: int, k3: int) -> Column:
     return (c1 * k2 + c2) * k3 + c3
+
+
+def orderable_bits(batches, column: str, name: str):
+    """For mapInArrow: adds the bits of a float column as an int whose order is that of the floats; -0.0 is below 0.0."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        bits = np.ascontiguousarray(batch.column(column).to_numpy(zero_copy_only=False), np.float32).view(np.int32)
+        key = np.where(bits < 0, ~bits ^ np.int32(-(2**31)), bits)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key.astype(np.int32))], names=[*batch.schema.names, name])

@@ -23,11 +23,11 @@ def ingest(stream: DataFrame, index, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def serve(queries: DataFrame, index, path: str, checkpoint: str, k: int = 10, nprobe: int = 4):
-    """Answers each micro-batch of queries (qid, q) from the index and appends the neighbours to path."""
+def serve(queries: DataFrame, index, path: str, checkpoint: str, k: int = 10, **knobs):
+    """Answers each micro-batch of queries (qid, q) from the index, with the knobs of its search, and appends the neighbours to path. A batch that is run again replaces its own files."""
 
     def answer(batch: DataFrame, number: int) -> None:
-        index.search(batch, k, nprobe).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        index.search(batch, k, **knobs).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
