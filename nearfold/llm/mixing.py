@@ -1,17 +1,17 @@
 """Mixing sources to target weights.
 
 Every document gets a hash-random key. Within its source, documents are cut
-into ranges of that key and sorted in each; sums of ranges are summed up over
-the ranges and sums of rows within a range, which together are the prefix sums
-of the source. The mix takes whole epochs of a source while its budget lasts,
+into 4,096 ranges of that key and sorted in each; the ranges' sums are summed up
+in 16 lots of 256, and the lots' sums over the lots, which together with the sums
+of rows within a range are the prefix sums of the source. The mix takes whole epochs of a source while its budget lasts,
 then documents in key order, and cuts the last one at the exact word.
 
 Sources are weighed 3, 1, 2, repeating, in code point order with null last.
 They share 150 % of all words; no source gives more than twice its words, and
 what it cannot give is shared among the others by weight.
 
-Null text has no words and gives none. Null source: a source of its own. Equal
-keys (repeated rows): by doc_id, then size. Empty table: no rows. A source of
+Null text has no words and gives none. Null source: a source of its own. Null
+doc_id: the key is of the text. Equal keys (repeated rows): by doc_id, then size. Empty table: no rows. A source of
 empty texts has target 0. Extra columns are ignored.
 """
 
@@ -29,9 +29,11 @@ MOST = 2
 
 def keyed_sizes(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, key and range of each document. The first three hexadecimal digits of the key are its range."""
-    sized = docs.select("doc_id", "source", *extra, F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
-    key = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    return sized.withColumn("key", key).withColumn("range", F.substring("key", 1, 3))
+    by_text = F.concat(F.lit("text:"), F.md5(text_or_empty().cast("binary")))
+    name = F.when(F.col("doc_id").isNull(), by_text).otherwise(F.col("doc_id").cast("string"))
+    key = F.md5(F.concat(F.lit("mix:"), name).cast("binary"))
+    sized = docs.select("doc_id", "source", *extra, F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), key.alias("key"))
+    return sized.withColumn("range", F.substring("key", 1, 3))
 
 
 def source_targets(sums: DataFrame, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -55,13 +57,20 @@ def source_targets(sums: DataFrame, share: float = SHARE, most: int = MOST) -> D
     return tested.select("source", "source_size", F.when(F.col("full"), F.col("limit")).otherwise(shared).alias("target"))
 
 
+def _before(column: str, *by: str):
+    """Exclusive prefix sums in the order of the last of `by`, for each value of the others."""
+    return F.coalesce(F.sum(column).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def mix(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken and the extra columns, for each document. taken counts repeated words again."""
     rows = written(keyed_sizes(docs, extra), "mix")
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")))
-    before = F.coalesce(F.sum("range_size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = ranges.withColumn("range_start", before)
+    ranges = ranges.withColumn("lot", F.substring("range", 1, 1)).withColumn("in_lot", _before("range_size", "source", "lot", "range"))
+    lots = ranges.groupBy("source", "lot").agg(F.sum("range_size").alias("lot_size")).withColumn("lot_start", _before("lot_size", "source", "lot"))
+    starts = ranges.alias("a").join(lots.alias("l"), F.col("a.source").eqNullSafe(F.col("l.source")) & (F.col("a.lot") == F.col("l.lot")))
+    starts = starts.select("a.source", "a.range", (F.col("lot_start") + F.col("in_lot")).alias("range_start"))
     starts = starts.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "range", "range_start", "source_size", "target")
     in_range = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("before", F.coalesce(F.sum("size").over(in_range), F.lit(0)))
@@ -89,13 +98,14 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
+    """mix of all documents: null and empty texts give nothing, repeated rows are each placed; no rows for an empty table."""
     return mix(table(spark, sf_dir, "documents"))
 
 
 OP5_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, '')))) AS key
   FROM documents),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (

@@ -109,6 +109,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
+    """token_counts of all documents, from an empty cache: null and empty texts have 0, repeated rows are each returned; no rows for an empty table."""
     import public_tokenizers
 
     from nearfold.llm.common import table
