@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import written
+from nearfold.llm.common import drop, written
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
@@ -37,7 +37,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where("u <> v").distinct(), "edges")
     mark = None
     while True:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        before = edges
+        edges = written(_small_star(_large_star(before)), "edges")
+        drop(before)
         total = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if tuple(total) == mark or not total["n"]:
             return edges
