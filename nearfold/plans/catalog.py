@@ -666,7 +666,7 @@ def route_l3(spark, d):
     return tree(spark, d).route(queries_of(spark, d), 2, 2, 1).select("qid", "cell_id", r6("dist").alias("dist"))
 
 
-@query(f"WITH {STRIDED} SELECT qid, c, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, c) AS INTEGER) AS rank FROM (SELECT qid, c, {s_l2('q', 'cent')} AS d FROM q, s0) QUALIFY rank <= 3")
+@query(f"WITH {STRIDED} SELECT qid, c, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, c) AS INTEGER) AS rank FROM (SELECT qid, c, {s_l2('q', 'cent')} AS d FROM q, u0) QUALIFY rank <= 3")
 def ivf_probe(spark, d):
     cents = K.centroid_table(spark, K.strided_init(embeddings(spark, d), 8))
     return K.probes(queries_of(spark, d), cents, 3).select("qid", "c", "rank")
