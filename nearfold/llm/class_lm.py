@@ -59,9 +59,9 @@ PRIOR = 5.0
 #: Taken off each count within a class, for words that are rare or unseen.
 DISCOUNT = 0.75
 #: Words held while counting, before they are passed on.
-FLUSH = 400_000
+FLUSH = 200_000
 #: Bytes of texts that are looked at together.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 END = b""
 
 
@@ -321,25 +321,17 @@ def _matrix(pairs: DataFrame, rows: int, columns: int) -> np.ndarray:
     return out.reshape(rows, columns)
 
 
-class Vocabulary:
-    """The head's words with their classes, and what all words of a class have together. The rare class is the last; no word of the head is rare.
+class Classes:
+    """What all words of a class have together. The rare class is the last.
 
     States are the classes but the rare one, then each of them with rare words after it."""
 
-    def __init__(self, head: list[tuple[bytes, int, int]], words: np.ndarray, tokens: np.ndarray, total: int, distinct: int):
-        """head: word, count, class. words, tokens: of each class. total, distinct: of all training tokens."""
-        self.index = {w: i for i, (w, _, _) in enumerate(head)}
-        self.rare = len(words) - 1
-        self.member = np.array([c for _, _, c in head], np.int64)
-        n = np.array([k for _, k, _ in head], np.float64)
-        self.total, self.rare_share = total, math.log10(tokens[-1] + words[-1] + 1)
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, start: int):
+        """words, tokens: of each class. start: the class of the end token."""
+        self.rare, self.start = len(words) - 1, start
+        self.rare_share = math.log10(tokens[-1] + words[-1] + 1)
         self.left = np.where(words > 0, tokens - DISCOUNT * words, 1)
         self.passed = np.append((DISCOUNT * words / np.maximum(tokens, 1))[:-1], 0)  # from each class to the rare one
-        self.base_share = math.log10(total + distinct + 1)
-        self.base = np.log10(n + 1)
-        self.emit = self.emission(n, self.member)
-        at = self.index.get(END)
-        self.start = 0 if at is None else int(self.member[at])
 
     def emission(self, n: np.ndarray, member: np.ndarray) -> np.ndarray:
         """log10 of p(word | class) for words of these counts and classes; count 0 is an unseen word."""
@@ -356,6 +348,24 @@ class Vocabulary:
         return np.log10(p)
 
 
+class Vocabulary:
+    """The head's words with their classes, none of which is the rare one."""
+
+    def __init__(self, head: list[tuple[bytes, int, int]], words: np.ndarray, tokens: np.ndarray, total: int, distinct: int):
+        """head: word, count, class. words, tokens: of each class. total, distinct: of all training tokens."""
+        self.index = {w: i for i, (w, _, _) in enumerate(head)}
+        self.member = np.array([c for _, _, c in head], np.int64)
+        at = self.index.get(END)
+        self.classes = Classes(words, tokens, 0 if at is None else int(self.member[at]))
+        n = np.array([k for _, k, _ in head], np.float64)
+        self.total, self.base_share = total, math.log10(total + distinct + 1)
+        self.base, self.emit = np.log10(n + 1), self.classes.emission(n, self.member)
+
+    @property
+    def rare(self) -> int:
+        return self.classes.rare
+
+
 DOCUMENT = "n_tokens long, n_known long, base double, emit double, pairs array<int>, counts array<int>"
 OUTSIDE = "out_word array<binary>, out_place array<int>, out_before array<short>, out_after array<short>"
 
@@ -385,7 +395,7 @@ def _documents(shared, names: list[str]):
                 classes = np.where(inside, member[ids], -1)
                 first = np.cumsum(size) - size
                 before = np.concatenate([[0], classes[:-1]])
-                before[first] = model.start
+                before[first] = model.classes.start
                 both = inside & (before >= 0)
                 key, n = np.unique(doc[both] * width * width + before[both] * width + classes[both], return_counts=True)
                 pairs = _lists(key // (width * width), hi - lo, pa.array((key % (width * width)).astype(np.int32)), pa.array(n.astype(np.int32)))
@@ -430,13 +440,13 @@ def _outside_counts(rare: int):
     return run
 
 
-def _outside_scores(shared, moves: np.ndarray):
+def _outside_scores(classes: Classes, moves: np.ndarray):
     def run(batches):
-        model, flat = shared.value, moves.ravel()
+        flat = moves.ravel()
         for batch in batches:
-            row, pairs, (token, member, n) = _outside_pairs(batch, model.rare)
+            row, pairs, (token, member, n) = _outside_pairs(batch, classes.rare)
             rows = batch.num_rows
-            score = np.bincount(row, flat[pairs], rows) + np.bincount(token, model.emission(n.astype(np.float64), member), rows)
+            score = np.bincount(row, flat[pairs], rows) + np.bincount(token, classes.emission(n.astype(np.float64), member), rows)
             known, base = np.bincount(token[n > 0], minlength=rows), np.bincount(token, np.log10(n + 1.0), rows)
             yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], names=["tag", "known", "base", "score"])
 
@@ -494,15 +504,16 @@ def class_scores(docs: DataFrame, held_out) -> DataFrame:
     names = ["tag", "doc_id", "held_out"]
     tagged = to_python(docs.select(F.monotonically_increasing_id().alias("tag"), "doc_id", held_out.alias("held_out"), "text"))
     rows = written(tagged.mapInArrow(_documents(shared, names), f"tag long, doc_id {kind}, held_out boolean, {DOCUMENT}, {OUTSIDE}"), "documents")
+    shared.destroy()  # workers need not hold the head any longer
     outside = rows.select("tag", "held_out", F.inline(F.arrays_zip("out_word", "out_place", "out_before", "out_after"))).toDF("tag", "held_out", "word", "place", "before", "after")
     known = outside.join(assigned, "word", "left").select("tag", "held_out", "place", "before", "after", F.coalesce("class", F.lit(model.rare).cast("short")).alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
     grouped = known.groupBy("tag", "held_out").agg(F.collect_list(F.struct("place", "before", "after", "class", "n")).alias("items"))
     items = written(grouped, "outside")
     inner = rows.where(~F.col("held_out")).select(F.inline(F.arrays_zip("pairs", "counts"))).toDF("pair", "n").select(F.col("pair").cast("long").alias("pair"), F.col("n").cast("long").alias("n"))
     outer = items.where(~F.col("held_out")).mapInArrow(_outside_counts(model.rare), "pair long, n long")
-    moves = model.transitions(_matrix(inner.unionByName(outer), 2 * model.rare, model.rare + 1))
+    moves = model.classes.transitions(_matrix(inner.unionByName(outer), 2 * model.rare, model.rare + 1))
     each = rows.select("tag", "doc_id", "held_out", "n_tokens", "n_known", "base", "emit", "pairs", "counts").mapInArrow(_inside_scores(moves), f"tag long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
-    other = items.mapInArrow(_outside_scores(shared, moves), "tag long, known long, base double, score double").toDF("tag", "o_known", "o_base", "o_score")
+    other = items.mapInArrow(_outside_scores(model.classes, moves), "tag long, known long, base double, score double").toDF("tag", "o_known", "o_base", "o_score")
     joined = each.join(other, "tag", "left")
     score = F.col("score") + F.coalesce("o_score", F.lit(0.0))
     return joined.select(
