@@ -23,7 +23,6 @@ doc_id only are ranked by text. Empty table: no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -38,7 +37,24 @@ MIN_PASSAGE_WORDS = 15
 #: Words on either side among which a cut has the least hash.
 REACH = 4
 
-SPAN = re.compile(r"\S+")
+#: Texts that are cut together, by their characters, and words whose hashes are kept.
+CHUNK = 1 << 20
+MEMO_WORDS = 200_000
+#: Whether a code point is blank, up to the last that is.
+BLANKS = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+
+
+class Hashes(dict):
+    """CRC-32 of words, each worked out once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        found = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        return found
+
+
+HASHES = Hashes()
 
 
 def cuts(hashes: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -59,35 +75,63 @@ def cuts(hashes: np.ndarray, line: np.ndarray) -> np.ndarray:
     return cut
 
 
-def units(text: str) -> list[tuple[str, int, int, int, int]]:
-    """Of each unit: its words, lower-case with one space between them; its offsets; how many words; 1 if it begins a line, plus 2 if it ends one."""
-    spans = [m.span() for m in SPAN.finditer(text)]
-    if not spans:
-        return []
-    words = [text[a:b].lower() for a, b in spans]
-    ends = np.cumsum([len(x) + 1 for x in text.split("\n")])
-    line = np.searchsorted(ends, [a for a, _ in spans], side="right")
-    last = np.flatnonzero(cuts(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)), line))
+def units_of(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The words of each unit of all texts, lower-case with one space between them; and a row for each: the text's number, its offsets there, how many words, 1 if it begins a line plus 2 if it ends one."""
+    whole = "\n".join(texts)
+    words = whole.lower().split()
+    if not words:
+        return [], np.zeros((0, 5), np.int64)
+    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = np.concatenate([[True], BLANKS[np.minimum(points, len(BLANKS) - 1)], [True]])
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = edge[::2], edge[1::2]
+    line = np.searchsorted(np.flatnonzero(points == 10), start)
+    last = np.flatnonzero(cuts(np.fromiter(map(HASHES.__getitem__, words), np.int64, len(words)), line))
     first = np.concatenate([[0], last[:-1] + 1])
     begins = np.concatenate([[True], line[last[:-1]] != line[first[1:]]])
     place = begins + 2 * np.append(begins[1:], True)
-    return [(" ".join(words[i : j + 1]), spans[i][0], spans[j][1], j + 1 - i, p) for i, j, p in zip(first.tolist(), last.tolist(), place.tolist()) if j + 1 - i >= MIN_UNIT_WORDS]
+    size = last + 1 - first
+    whole_units = np.flatnonzero(size >= MIN_UNIT_WORDS)
+    first, last, place, size = (x[whole_units] for x in (first, last, place, size))
+    begun = np.cumsum([0] + [len(t) + 1 for t in texts])
+    text = np.searchsorted(begun, start[first], side="right") - 1
+    rows = np.stack([text, start[first] - begun[text], end[last] - begun[text], size, place], axis=1)
+    return [" ".join(words[i:j]) for i, j in zip(first.tolist(), (last + 1).tolist())], rows
+
+
+def units(text: str) -> list[tuple[str, int, int, int, int]]:
+    """Of each unit of one text: its words, offsets, number of words, and place in its line."""
+    words, rows = units_of([text])
+    return [(w, *r[1:]) for w, r in zip(words, rows.tolist())]
+
+
+def _chunks(texts: list[str]):
+    """Ranges of texts of about CHUNK characters, at least one text each."""
+    lo = held = 0
+    for hi, text in enumerate(texts):
+        held += len(text)
+        if held > CHUNK:
+            yield lo, hi + 1
+            lo, held = hi + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
 
 
-COLUMNS = {"digest": pa.binary(), "rank": pa.binary(), "unit": pa.int32(), "start": pa.int32(), "end": pa.int32(), "words": pa.int32(), "place": pa.int32()}
+COLUMNS = ("digest", "rank", "unit", "start", "end", "words", "place")
 
 
 def _digests(batches):
-    import xxhash
+    from xxhash import xxh3_128_digest
 
     for batch in batches:
-        rows: list[list] = [[] for _ in COLUMNS]
-        for rank, text in zip(batch.column("rank").to_pylist(), batch.column("text").to_pylist()):
-            for n, (words, *where) in enumerate(units(text)):
-                for column, value in zip(rows, (xxhash.xxh3_128_digest(words.encode("utf-8", "surrogatepass")), rank, n, *where)):
-                    column.append(value)
-        for lo in range(0, len(rows[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + (1 << 16)], t) for v, t in zip(rows, COLUMNS.values())], names=list(COLUMNS))
+        texts, ranks = batch.column("text").to_pylist(), batch.column("rank")
+        for lo, hi in _chunks(texts):
+            words, rows = units_of(texts[lo:hi])
+            digests = pa.array([xxh3_128_digest(w.encode("utf-8", "surrogatepass")) for w in words], pa.binary())
+            text = rows[:, 0]
+            unit = np.arange(len(text)) - np.searchsorted(text, text)
+            columns = [pa.array(c.astype(np.int32)) for c in (unit, *rows.T[1:])]
+            yield pa.RecordBatch.from_arrays([digests, ranks.take(pa.array(text + lo)).cast(pa.binary()), *columns], names=list(COLUMNS))
 
 
 def removed_runs(repeats: list[dict]) -> list[list[dict]]:
@@ -137,7 +181,7 @@ def id_of(rank) -> F.Column:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """rank, start, end, words, first: the runs to be removed, and the rank of the document that keeps the first unit's earliest occurrence."""
     ranked = docs.select(rank_column(docs).alias("rank"), text_or_empty().alias("text"))
-    found = to_python(ranked).mapInArrow(_digests, "digest binary, rank binary, unit int, start int, end int, words int, place int")
+    found = written(to_python(ranked).mapInArrow(_digests, "digest binary, rank binary, unit int, start int, end int, words int, place int"), "units")
     groups = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
     repeated = written(groups.where("n > 1").select("digest", "first"), "repeated-units")
     occurrences = found.join(repeated.hint("shuffle_hash"), "digest").repartition("rank").sortWithinPartitions("rank")
