@@ -354,3 +354,13 @@ def test_index_of_all_lists_passes_few_rows(spark, monkeypatch):
     got = catalog.QUERIES["ivf_all_lists"](spark, d)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, catalog.knn(spark, d).select(got.columns).collect()))
     assert passed[0] <= 20 * catalog.TOP * 16  # 20 queries against 2,000 rows
+
+
+def test_served_queries_pass_few_rows(spark, monkeypatch):
+    """So does stream_serve, in each micro-batch."""
+    passed, top_k = [], ivf.top_k
+    monkeypatch.setattr(ivf, "top_k", lambda df, *a: passed.append(df.count()) or top_k(df, *a))
+    d = "/root/testdata/sf0.1"
+    got = catalog.QUERIES["stream_serve"](spark, d)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, catalog.knn(spark, d).select(got.columns).collect()))
+    assert len(passed) == 2 and sum(passed) <= 20 * catalog.TOP * 16
