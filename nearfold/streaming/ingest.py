@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from nearfold.functions import vector as V
+from nearfold.operators.knn import Nearest, query_blocks
 
 
 def ingest(stream: DataFrame, index, path: str, checkpoint: str):
@@ -32,10 +32,24 @@ def serve(queries: DataFrame, index, path: str, checkpoint: str, k: int = 10, **
     return queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _nearest(shared, k: int):
+    """Of each task's vectors the k nearest to each query of all blocks."""
+
+    def run(batches):
+        blocks = [Nearest(*block, k) for block in shared.value]
+        for batch in batches:
+            for block in blocks:
+                block.add(batch)
+        yield from (block.found() for block in blocks)
+
+    return run
+
+
 def standing_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """qid, rank, vec_id, dist, updated as vectors stream past standing queries (a bounded table): the state of a query is its k nearest so far."""
-    pairs = vectors.select("vec_id", V.doubles("embedding").alias("v")).crossJoin(F.broadcast(queries.select("qid", "q")))
-    scored = pairs.select("qid", "vec_id", F.round(V.l2sq(F.col("q"), F.col("v")), 6).alias("dist"))
+    """qid, rank, vec_id, dist, updated as vectors stream past standing queries (a bounded table): the state of a query is its k nearest so far. Each task sends only its k nearest to a query there."""
+    shared = vectors.sparkSession.sparkContext.broadcast(list(query_blocks(queries)))
+    near = vectors.select("vec_id", "embedding").mapInArrow(_nearest(shared, k), "qid long, vec_id long, dist double")
+    scored = near.select("qid", "vec_id", F.round("dist", 6).alias("dist"))
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         dists, ids = (np.array(x) for x in state.get) if state.exists else (np.zeros(0), np.zeros(0, np.int64))

@@ -15,6 +15,7 @@ from nearfold.operators.ivf import IvfIndex
 from nearfold.operators.tree import train_tree
 from nearfold.plans import catalog
 from nearfold.plans.index import BlockIndex
+from nearfold.streaming.ingest import standing_top_k
 
 rng = np.random.default_rng(7)
 X = rng.normal(size=(400, 16)) / 4
@@ -364,3 +365,21 @@ def test_served_queries_pass_few_rows(spark, monkeypatch):
     got = catalog.QUERIES["stream_serve"](spark, d)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, catalog.knn(spark, d).select(got.columns).collect()))
     assert len(passed) == 2 and sum(passed) <= 20 * catalog.TOP * 16
+
+
+def test_standing_queries_in_blocks_and_null_vectors(spark, base, queries, monkeypatch, tmp_path):
+    monkeypatch.setattr(N, "QUERY_BLOCK", 3)
+    rows = base.select("vec_id", "embedding").unionByName(spark.createDataFrame([(9001, None), (9002, []), (9003, [0.0])], "vec_id long, embedding array<double>"))
+    rows.repartition(2, "vec_id").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    last: dict = {}
+    state = standing_top_k(stream, queries, 500)
+    assert "Join" not in state._jdf.queryExecution().analyzed().toString()  # no row for each pair
+
+    def put(batch, number):
+        for r in batch.collect():
+            last.setdefault(r["qid"], {}).setdefault(number, []).append((r["rank"], r["vec_id"], r["dist"]))
+
+    state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = [(q, *r) for q, batches in last.items() for r in sorted(batches[max(batches)])]
+    assert sorted(got) == sorted((r["qid"], r["rank"], r["vec_id"], r["dist"]) for r in N.exact_knn(base, queries, 500).collect())
