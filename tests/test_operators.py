@@ -383,3 +383,12 @@ def test_standing_queries_in_blocks_and_null_vectors(spark, base, queries, monke
     state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     got = [(q, *r) for q, batches in last.items() for r in sorted(batches[max(batches)])]
     assert sorted(got) == sorted((r["qid"], r["rank"], r["vec_id"], r["dist"]) for r in N.exact_knn(base, queries, 500).collect())
+
+
+def test_breadth_first_of_bounded_depth(spark):
+    """As the recursion of bfs_order's SQL, no label goes further than 12 hops."""
+    edges = graph(spark, {i: [i + 1] for i in range(29)})
+    blocks = spark.createDataFrame([(i,) for i in range(30)], "block_id long")
+    got = {r["block_id"]: (r["component"], r["depth"]) for r in G.breadth_first(edges, blocks, catalog.HOPS).collect()}
+    assert got == {i: (max(0, i - 12), min(i, 12)) for i in range(30)}
+    assert {r["depth"] for r in G.breadth_first(edges, blocks).collect()} == set(range(30))
