@@ -63,6 +63,8 @@ FLUSH = 200_000
 #: Bytes of texts that are looked at together.
 CHUNK = 1 << 20
 END = b""
+#: A code with its count, as one word's are packed on their way.
+VISIT = np.dtype([("code", "<i2"), ("n", "<i8")])
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -124,8 +126,16 @@ def _count_anchors(anchors: list[bytes]):
     return run
 
 
-def _count_neighbours(anchors: list[bytes], member: np.ndarray, classes: int):
-    """For each other word: code, n. Codes are the class of an anchor before it, classes + that of one after it, and 2 * classes for each occurrence."""
+def _visit_rows(word: pa.Array, code: np.ndarray, n: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    """word, visits: each word with the codes and counts between two ends, packed as VISIT."""
+    visits = np.empty(len(code), VISIT)
+    visits["code"], visits["n"] = code, n
+    offsets = (ends * VISIT.itemsize).astype(np.int32)
+    return pa.RecordBatch.from_arrays([word, pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(offsets), pa.py_buffer(visits)])], names=["word", "visits"])
+
+
+def _count_neighbours(anchors: list[bytes], member: np.ndarray, classes: int, packed: bool = False):
+    """For each other word: code, n; packed: the word with all of them that are counted together, as visits. Codes are the class of an anchor before it, classes + that of one after it, and 2 * classes for each occurrence."""
 
     def run(batches):
         width = 2 * classes + 1
@@ -137,9 +147,16 @@ def _count_neighbours(anchors: list[bytes], member: np.ndarray, classes: int):
             code, back = np.unique(np.concatenate(codes), return_inverse=True)
             n = np.bincount(back, np.concatenate(counts)).astype(np.int64)
             word = code // width
-            for i in range(0, len(code), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array([names[w] for w in word[part].tolist()], pa.binary()), pa.array((code[part] % width).astype(np.int16)), pa.array(n[part])], names=["word", "code", "n"])
+            first = np.flatnonzero(np.diff(word, prepend=-1)) if packed else np.arange(len(word))
+            ends = np.append(first, len(word))
+            for i in range(0, len(first), 1 << 16):
+                now = ends[i : i + (1 << 16) + 1]
+                part = slice(now[0], now[-1])
+                name = pa.array([names[w] for w in word[now[:-1]].tolist()], pa.binary())
+                if packed:
+                    yield _visit_rows(name, code[part] % width, n[part], now - now[0])
+                else:
+                    yield pa.RecordBatch.from_arrays([name, pa.array((code[part] % width).astype(np.int16)), pa.array(n[part])], names=["word", "code", "n"])
             for name in names[len(anchors) :]:
                 del index[name]
             del names[len(anchors) :]
@@ -173,43 +190,60 @@ def _count_neighbours(anchors: list[bytes], member: np.ndarray, classes: int):
     return run
 
 
-def _gather(width: int):
-    """Rows sorted by word, and code, as one row for each word: n, codes, counts."""
+def _gather(width: int, packed: bool = False):
+    """Rows sorted by word (word, code, n, or packed: word, visits) as one row for each word: n, codes, counts."""
 
-    def made(word, code, n):
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-        row = np.zeros(len(word), np.int64)
-        row[first[1:]] = 1
-        row = np.cumsum(row)
-        key, back = np.unique(row * width + code, return_inverse=True)
-        total = np.bincount(back, n).astype(np.int64)
+    def made(batch, first):
+        """first: whether a row is the first of its word."""
+        packed = batch.column("visits")
+        ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+        visits = np.frombuffer(packed.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(VISIT)
+        words = int(first.sum())
+        row = np.repeat(np.cumsum(first) - 1, np.diff(ends) // VISIT.itemsize)
+        key, back = np.unique(row * width + visits["code"], return_inverse=True)
+        total = np.bincount(back, visits["n"]).astype(np.int64)
         row, code = key // width, key % width
-        occurrences = np.zeros(len(first), np.int64)
+        occurrences = np.zeros(words, np.int64)
         own = code == width - 1
         occurrences[row[own]] = total[own]
         keep = ~own & (occurrences >= MIN_COUNT)[row]
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(first)))]).astype(np.int32)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=words))]).astype(np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(offsets), x) for x in (pa.array(code[keep].astype(np.int16)), pa.array(total[keep]))]
-        return pa.RecordBatch.from_arrays([pa.array(word[first].tolist(), pa.binary()), pa.array(occurrences), *lists], names=["word", "n", "codes", "counts"])
+        return pa.RecordBatch.from_arrays([batch.column("word").filter(pa.array(first)), pa.array(occurrences), *lists], names=["word", "n", "codes", "counts"])
+
+    def starts(batch):
+        import pyarrow.compute as pc
+
+        word = batch.column("word")
+        return np.concatenate([[True], pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False).astype(bool)])
 
     def run(batches):
-        held: list = [np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        held: list[pa.RecordBatch] = []  # rows of the last word
         for batch in batches:
-            word = np.empty(batch.num_rows, object)
-            word[:] = batch.column("word").to_pylist()
-            now = [np.concatenate([h, x]) for h, x in zip(held, (word, batch.column("code").to_numpy().astype(np.int64), batch.column("n").to_numpy()))]
-            if not len(now[0]):
+            if not batch.num_rows:
                 continue
-            cut = int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1 if now[0][0] != now[0][-1] else 0
-            if cut:
-                yield made(*(x[:cut] for x in now))
-            held = [x[cut:] for x in now]
-        if len(held[0]):
-            yield made(*held)
+            if not packed:
+                batch = _visit_rows(batch.column("word"), batch.column("code").to_numpy(), batch.column("n").to_numpy(), np.arange(batch.num_rows + 1))
+            first = starts(batch)
+            cut = int(np.flatnonzero(first)[-1])
+            if held and (cut or batch.column("word")[0] != held[0].column("word")[0]):
+                whole = _joined([*held, batch.slice(0, cut)])
+                yield made(whole, starts(whole))
+                held = []
+            elif cut:
+                yield made(batch.slice(0, cut), first[:cut])
+            held.append(batch.slice(cut))
+        if held:
+            whole = _joined(held)
+            yield made(whole, starts(whole))
 
     return run
 
 
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def _xlogx(x):
     return x * np.log(np.maximum(x, 1))
 
@@ -481,8 +515,8 @@ def train(train_docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
     classes = int(member.max()) + 1
     one = np.eye(classes)[member]
     fixed = now = one.T @ m @ one
-    visits = texts.mapInArrow(_count_neighbours(anchors, member, classes), "word binary, code short, n long")
-    gathered = visits.repartition("word").sortWithinPartitions("word").mapInArrow(_gather(2 * classes + 1), "word binary, n long, codes array<short>, counts array<long>")
+    visits = texts.mapInArrow(_count_neighbours(anchors, member, classes, packed=True), "word binary, visits binary")
+    gathered = visits.repartition("word").sortWithinPartitions("word").mapInArrow(_gather(2 * classes + 1, packed=True), "word binary, n long, codes array<short>, counts array<long>")
     words = written(gathered, "word-neighbours")
     for _ in range(ROUNDS - 1):
         now = fixed + _matrix(words.where(F.col("n") >= MIN_COUNT).mapInArrow(_class_counts(now), "pair long, n long"), classes, classes)

@@ -143,6 +143,23 @@ def test_neighbours_equal_brute_force(spark, docs, texts, monkeypatch, flush, ch
     assert got == {w: entry if entry["n"] >= C.MIN_COUNT else Counter(n=entry["n"]) for w, entry in want.items()}
 
 
+@pytest.mark.parametrize("flush, chunk, batch", [(400_000, 4 << 20, 10_000), (3, 100, 2)])
+def test_packed_neighbours_are_the_same_in_fewer_rows(spark, docs, monkeypatch, flush, chunk, batch):
+    monkeypatch.setattr(C, "FLUSH", flush)
+    monkeypatch.setattr(C, "CHUNK", chunk)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)  # words go over batches
+    made, seen = [], []
+    for packed, kind in ((False, "code short, n long"), (True, "visits binary")):
+        count = C._count_neighbours([b"", b"the", b"of", b"a"], np.array([1, 0, 1, 2]), 3, packed)
+        visits = docs.select("text").mapInArrow(count, f"word binary, {kind}")
+        seen.append(visits.count())
+        rows = visits.repartition("word").sortWithinPartitions("word").mapInArrow(C._gather(7, packed), "word binary, n long, codes array<short>, counts array<long>").collect()
+        made.append(sorted((bytes(r["word"]), r["n"], tuple(r["codes"]), tuple(r["counts"])) for r in rows))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert made[0] == made[1] and len(made[0]) > 100 and len(dict((w, n) for w, n, *_ in made[1])) == len(made[1])
+    assert seen[1] < seen[0]
+
+
 def test_best_class_is_the_likeliest():
     rng = np.random.default_rng(5)
     m = rng.poisson(9, (6, 6)).astype(float)
