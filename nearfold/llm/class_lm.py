@@ -41,10 +41,11 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import as_bytes, table, to_python, written
+from nearfold.llm.common import as_bytes, table, to_python
 from nearfold.llm.simhash import TO_LOWER
 
 HEAD = 200_000
@@ -71,16 +72,25 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [*text.translate(TO_LOWER).split(), END]
 
 
-def _chunks(texts: list[bytes]):
-    """Ranges of texts of about CHUNK bytes, at least one text each."""
+def _chunks(column: pa.Array):
+    """(first row, texts as bytes), about CHUNK bytes at a time, at least one text each: no more of a batch is held as bytes."""
+    import pyarrow.compute as pc
+
     lo = held = 0
-    for hi, text in enumerate(texts):
-        held += len(text)
+    for hi, size in enumerate(pc.binary_length(column).to_pylist()):
+        held += size or 0
         if held > CHUNK:
-            yield lo, hi + 1
+            yield lo, as_bytes(column.slice(lo, hi + 1 - lo))
             lo, held = hi + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+    if lo < len(column):
+        yield lo, as_bytes(column.slice(lo))
+
+
+def on_disk(df: DataFrame) -> DataFrame:
+    """df, computed once and kept on the executors' disks until it is unpersisted; lost parts are computed again. No files are written
+    to the shared folder: on a local file system Hadoop starts a process for each, which looks as large as the whole executor until it has begun."""
+    df.persist(StorageLevel.DISK_ONLY).count()
+    return df
 
 
 def _count_words(batches):
@@ -93,10 +103,11 @@ def _count_words(batches):
         return out
 
     for batch in batches:
-        for text in as_bytes(batch.column("text")):
-            seen.update(tokens_of(text))
-            if len(seen) > FLUSH:
-                yield flush()
+        for _, texts in _chunks(batch.column("text")):
+            for text in texts:
+                seen.update(tokens_of(text))
+                if len(seen) > FLUSH:
+                    yield flush()
     yield flush()
 
 
@@ -116,9 +127,8 @@ def _count_anchors(anchors: list[bytes]):
         index = {w: i for i, w in enumerate(anchors)}
         total = np.zeros(size * size, np.int64)
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            for lo, hi in _chunks(texts):
-                ids = np.fromiter(map(index.get, chain.from_iterable(map(tokens_of, texts[lo:hi])), repeat(size - 1)), np.int64)
+            for _, texts in _chunks(batch.column("text")):
+                ids = np.fromiter(map(index.get, chain.from_iterable(map(tokens_of, texts)), repeat(size - 1)), np.int64)
                 before = np.concatenate([[index[END]], ids[:-1]])
                 total += np.bincount(before * size + ids, minlength=size * size)
         yield from _summed(np.ascontiguousarray(total.reshape(size, size)[:-1, :-1]).ravel(), "pair")
@@ -164,9 +174,8 @@ def _count_neighbours(anchors: list[bytes], member: np.ndarray, classes: int, pa
             counts.clear()
 
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            for lo, hi in _chunks(texts):
-                tokens = list(chain.from_iterable(map(tokens_of, texts[lo:hi])))
+            for _, texts in _chunks(batch.column("text")):
+                tokens = list(chain.from_iterable(map(tokens_of, texts)))
                 get, known = index.get, len(names)
                 ids = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
                 new = np.flatnonzero(ids < 0).tolist()
@@ -418,9 +427,9 @@ def _documents(shared, names: list[str]):
         get, width = model.index.get, model.rare + 1
         member, base, emit = (np.append(x, 0) for x in (model.member, model.base, model.emit))
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            for lo, hi in _chunks(texts):
-                split = [tokens_of(t) for t in texts[lo:hi]]
+            for lo, texts in _chunks(batch.column("text")):
+                hi = lo + len(texts)
+                split = [tokens_of(t) for t in texts]
                 size = np.fromiter(map(len, split), np.int64, len(split))
                 tokens = list(chain.from_iterable(split))
                 ids = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
@@ -501,14 +510,16 @@ def _inside_scores(moves: np.ndarray):
 
 
 def train(train_docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
-    """The head's vocabulary, and the table of all words but the anchors (word, n, class)."""
+    """The head's vocabulary, and the table of all words but the anchors (word, n, class), for the caller to unpersist."""
     texts = to_python(train_docs.select("text"))
-    counts = written(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    counts = on_disk(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
     if not total:
+        counts.unpersist()
         empty = train_docs.sparkSession.createDataFrame([], "word binary, n long, class short")
         return Vocabulary([], np.zeros(2), np.zeros(2), 0, 0), empty
     top = {bytes(r["word"]): r["n"] for r in counts.where((F.col("n") >= MIN_COUNT) | (F.length("word") == 0)).orderBy(F.desc(F.length("word") == 0), F.desc("n"), "word").limit(ANCHORS).collect()}
+    counts.unpersist()
     anchors = list(top)
     m = _matrix(texts.mapInArrow(_count_anchors(anchors), "pair long, n long"), len(anchors), len(anchors))
     member = exchange(m)
@@ -517,10 +528,11 @@ def train(train_docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
     fixed = now = one.T @ m @ one
     visits = texts.mapInArrow(_count_neighbours(anchors, member, classes, packed=True), "word binary, visits binary")
     gathered = visits.repartition("word").sortWithinPartitions("word").mapInArrow(_gather(2 * classes + 1, packed=True), "word binary, n long, codes array<short>, counts array<long>")
-    words = written(gathered, "word-neighbours")
+    words = on_disk(gathered)
     for _ in range(ROUNDS - 1):
         now = fixed + _matrix(words.where(F.col("n") >= MIN_COUNT).mapInArrow(_class_counts(now), "pair long, n long"), classes, classes)
-    assigned = written(words.mapInArrow(_assign(now), "word binary, n long, class short"), "word-classes")
+    assigned = on_disk(words.mapInArrow(_assign(now), "word binary, n long, class short"))
+    words.unpersist()
     sums = {r["class"]: (r["words"], r["tokens"]) for r in assigned.groupBy("class").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).collect()}
     held = np.array([sums.get(c, (0, 0)) for c in range(classes + 1)], np.float64)
     for w, c in zip(anchors, member):
@@ -530,19 +542,22 @@ def train(train_docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
 
 
 def class_scores(docs: DataFrame, held_out) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row of docs. held_out: a Column, true for rows that the model must not learn from."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row of docs. held_out: a Column, true for rows that the model must not learn from.
+
+    The result is read from two tables that stay on the executors' disks until spark.catalog.clearCache()."""
     spark = docs.sparkSession
     model, assigned = train(docs.where(~held_out))
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["tag", "doc_id", "held_out"]
     tagged = to_python(docs.select(F.monotonically_increasing_id().alias("tag"), "doc_id", held_out.alias("held_out"), "text"))
-    rows = written(tagged.mapInArrow(_documents(shared, names), f"tag long, doc_id {kind}, held_out boolean, {DOCUMENT}, {OUTSIDE}"), "documents")
-    shared.destroy()  # workers need not hold the head any longer
+    rows = on_disk(tagged.mapInArrow(_documents(shared, names), f"tag long, doc_id {kind}, held_out boolean, {DOCUMENT}, {OUTSIDE}"))
+    shared.unpersist()  # executors need not hold the head any longer; where rows are lost it is sent again
     outside = rows.select("tag", "held_out", F.inline(F.arrays_zip("out_word", "out_place", "out_before", "out_after"))).toDF("tag", "held_out", "word", "place", "before", "after")
     known = outside.join(assigned, "word", "left").select("tag", "held_out", "place", "before", "after", F.coalesce("class", F.lit(model.rare).cast("short")).alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
     grouped = known.groupBy("tag", "held_out").agg(F.collect_list(F.struct("place", "before", "after", "class", "n")).alias("items"))
-    items = written(grouped, "outside")
+    items = on_disk(grouped)
+    assigned.unpersist()
     inner = rows.where(~F.col("held_out")).select(F.inline(F.arrays_zip("pairs", "counts"))).toDF("pair", "n").select(F.col("pair").cast("long").alias("pair"), F.col("n").cast("long").alias("n"))
     outer = items.where(~F.col("held_out")).mapInArrow(_outside_counts(model.rare), "pair long, n long")
     moves = model.classes.transitions(_matrix(inner.unionByName(outer), 2 * model.rare, model.rare + 1))

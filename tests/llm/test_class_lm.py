@@ -209,3 +209,27 @@ def test_empty(no_docs, spark):
     got = C.class_scores(rows, F.lit(True)).collect()  # nothing to learn from
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)]
     assert all(r["score"] == pytest.approx(r["n_tokens"] * math.log10(0.5)) for r in got)
+
+
+def test_no_files_are_written_on_the_way(spark, docs, monkeypatch):
+    from nearfold import scratch
+
+    paths, made = [], scratch.scratch_path
+    monkeypatch.setattr(scratch, "scratch_path", lambda *a: paths.append(made(*a)) or paths[-1])
+    spark.sparkContext._jvm.System.gc()
+    before = set(spark.sparkContext._jsc.getPersistentRDDs())
+    result = C.class_scores(docs, is_held())
+    kept = set(spark.sparkContext._jsc.getPersistentRDDs()) - before
+    assert result.count() == docs.count()
+    assert not paths and len(kept) == 2  # the tables that the result is read from; those of training are gone
+
+
+@pytest.mark.parametrize("count", [lambda: C._count_words, lambda: C._count_anchors([b"", b"the"]), lambda: C._count_neighbours([b"", b"the"], np.array([0, 1]), 2)])
+def test_a_batch_is_not_held_as_bytes_at_once(texts, monkeypatch, count):
+    sizes, convert = [], C.as_bytes
+    monkeypatch.setattr(C, "CHUNK", 2000)
+    monkeypatch.setattr(C, "as_bytes", lambda column: sizes.append([len(t) for t in convert(column)]) or convert(column))
+    batch = C.pa.RecordBatch.from_pydict({"text": C.pa.array([t for _, t in texts] * 3, C.pa.string())})
+    assert sum(b.num_rows for b in count()(iter([batch])))
+    assert sum(map(len, sizes)) == batch.num_rows and len(sizes) > 10
+    assert all(sum(s[:-1]) <= 2000 for s in sizes)
