@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -392,3 +393,30 @@ def test_breadth_first_of_bounded_depth(spark):
     got = {r["block_id"]: (r["component"], r["depth"]) for r in G.breadth_first(edges, blocks, catalog.HOPS).collect()}
     assert got == {i: (max(0, i - 12), min(i, 12)) for i in range(30)}
     assert {r["depth"] for r in G.breadth_first(edges, blocks).collect()} == set(range(30))
+
+
+def test_bfs_order_of_deep_graphs(spark, monkeypatch):
+    """bfs_order and its SQL follow a component to its end: two chains of shuffled numbers, each with a ring, and a block alone."""
+    chains = {i: [i + 1] for i in range(39) if i != 13} | {12: [13, 3], 30: [31, 36]}
+    chains = {a * 7 % 41: [b * 7 % 41 for b in bs] for a, bs in chains.items()}
+    monkeypatch.setattr(catalog, "graph_of", lambda *a: graph(spark, chains))
+    rows = catalog.QUERIES["bfs_order"](spark, "/root/testdata/sf0.001").collect()
+    ids = sorted(r["block_id"] for r in rows)
+    assert ids == list(range(41))
+    near = {i: set() for i in ids}
+    for a, bs in chains.items():
+        for b in bs:
+            near[a].add(b)
+            near[b].add(a)
+    want = {}
+    for start in ids:
+        wave, depth = {start} - set(want), 0
+        while wave:
+            want |= {i: (start, depth) for i in wave}
+            wave, depth = {j for i in wave for j in near[i]} - set(want), depth + 1
+    assert max(depth for _, depth in want.values()) > catalog.HOPS
+    assert {r["block_id"]: (r["component"], r["depth"]) for r in rows} == want
+    sql = catalog.SQL["bfs_order"]
+    pairs = ", ".join(f"({a}, {b})" for a, bs in chains.items() for b in bs)
+    tables = f"WITH RECURSIVE block AS (SELECT range AS block_id FROM range(41)), graph AS (SELECT * FROM (VALUES {pairs}) t(src, dst)), "
+    assert {b: (c, n) for b, c, n in duckdb.sql(tables + sql[sql.index("both_ AS"):]).fetchall()} == want
